@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from pagewarden.constants import LINES_PER_PAGE, PLACEHOLDER_CONTENT, VECTOR_DIM
 
 
-def page_texts(text: Column, lines_per_page: int = LINES_PER_PAGE) -> Column:
-    """Array of page texts: runs of `lines_per_page` lines, the last one shorter."""
-    lines = F.split(text, "\n")
-    starts = F.sequence(
-        F.lit(0), F.floor((F.size(lines) - 1) / lines_per_page).cast("int")
-    )
+def page_texts(lines: str, lines_per_page: int = LINES_PER_PAGE) -> Column:
+    """Array of page texts: runs of `lines_per_page` lines, the last one shorter.
+
+    Takes the name of a column that holds the lines, not an expression, which
+    would be worked out again for every page.
+    """
+    starts = F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / lines_per_page).cast("int"))
     return F.transform(
         starts,
         lambda i: F.array_join(F.slice(lines, i * lines_per_page + 1, lines_per_page), "\n"),

@@ -26,23 +26,25 @@ def message_rows(
         .agg(F.max(turn).alias("_last"))
     )
     turns = conversations.where(role.isin("user", "assistant")).join(last, conversation)
-    listed = turns.where(F.col(turn) <= F.col("_last")).select(
-        conversation,
+    is_current = F.col(turn) == F.col("_last")
+    own = F.struct(
         F.col(turn).cast("bigint").alias(turn),
         role.alias("role"),
         F.col("text").alias("content"),
-        (F.col(turn) == F.col("_last")).alias("is_current"),
+        is_current.alias("is_current"),
     )
+    listed = turns.where(F.col(turn) <= F.col("_last"))
     if not system_prompt:
-        return listed
-    opening = last.select(
-        conversation,
+        return listed.select(conversation, F.inline(F.array(own)))
+    opening = F.struct(
         F.lit(-1).cast("bigint").alias(turn),
         F.lit("system").alias("role"),
         F.lit(system_prompt).alias("content"),
         F.lit(False).alias("is_current"),
     )
-    return opening.unionByName(listed)
+    # Each conversation has one current message; the opening comes out beside it.
+    with_opening = F.when(is_current, F.array(opening, own)).otherwise(F.array(own))
+    return listed.select(conversation, F.inline(with_opening))
 
 
 def session_info(messages: DataFrame, documents: DataFrame, session: str = "session") -> DataFrame:

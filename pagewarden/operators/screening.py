@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from pagewarden.constants import DEFAULT_THRESHOLD, LINES_PER_PAGE
 from pagewarden.functions import pii
-from pagewarden.functions.text import page_texts
+from pagewarden.functions.text import page_texts, tokens
 from pagewarden.sources.pages import page_name
 
 FILE_KEY = ["unique_id", "file_path"]
@@ -31,8 +31,6 @@ def find_phrases(df: DataFrame, keys: list[str], gazetteer: DataFrame, text: str
     Word runs are built only in the lengths that phrases have, then joined by
     equality; the planner broadcasts the phrase list where its size allows.
     """
-    from pagewarden.functions.text import tokens
-
     phrases = gazetteer.select(
         "entity_group",
         F.col("phrase").alias("word"),
@@ -70,16 +68,16 @@ def screen_documents(
     Adds `pages`, an array of (page_no, text, found), and drops `text`.
     """
     rules = list(rules)
-    cut = documents.withColumn("_texts", page_texts(F.col("text"), lines_per_page)).drop("text")
     pages = F.transform(
-        "_texts",
+        page_texts("_lines", lines_per_page),
         lambda text, i: F.struct(
             (i + 1).alias("page_no"),
             text.alias("text"),
             pii.listed(pii.entities(text, rules), threshold).alias("found"),
         ),
     )
-    return cut.withColumn("pages", pages).drop("_texts")
+    lined = documents.withColumn("_lines", F.split("text", "\n")).drop("text")
+    return lined.withColumn("pages", pages).drop("_lines")
 
 
 def _bad_pages(pages="pages"):
@@ -113,8 +111,9 @@ def bad_pages(screened: DataFrame) -> DataFrame:
 def accepted_pages(screened: DataFrame) -> DataFrame:
     """Pages of the files without any finding."""
     others = [c for c in screened.columns if c != "pages"]
-    clean = screened.where(F.size(_bad_pages()) == 0)
-    return clean.select(*others, F.inline("pages")).drop("found").withColumn(
+    # Not a filter: it would be moved below the screening and repeat it there.
+    clean = F.when(F.size(_bad_pages()) == 0, F.col("pages"))
+    return screened.select(*others, F.inline(clean)).drop("found").withColumn(
         "page_number", page_name(F.col("page_no"))
     )
 
@@ -130,10 +129,14 @@ def clean_pages(
     For ingestion, which only needs yes or no.
     """
     rules = list(rules)
-    cut = documents.withColumn("_texts", page_texts(F.col("text"), lines_per_page)).drop("text")
-    clean = cut.where(~F.exists("_texts", lambda text: pii.has_pii(text, threshold, rules)))
-    others = [c for c in clean.columns if c != "_texts"]
-    pages = clean.select(*others, F.posexplode("_texts").alias("_at", "text"))
+    others = [c for c in documents.columns if c != "text"]
+    lined = documents.withColumn("_lines", F.split("text", "\n")).drop("text")
+    cut = lined.withColumn("_texts", page_texts("_lines", lines_per_page)).drop("_lines")
+    # Not a filter: it would be moved below the cutting and repeat it there.
+    clean = F.when(
+        ~F.exists("_texts", lambda text: pii.has_pii(text, threshold, rules)), F.col("_texts")
+    )
+    pages = cut.select(*others, F.posexplode(clean).alias("_at", "text"))
     number = F.col("_at") + 1
     return pages.select(
         *others,

@@ -30,10 +30,11 @@ from pagewarden.schema import PAGE_KEY
 QUESTION_LIMIT = 4096
 VISIT_LIMIT = 1_000_000
 PRUNE_LIMIT = 1_000
-RECORD_BLOCK = 50_000
-QUESTION_BLOCK = 1_024
 MERGE_WAYS = 64
+# Numbers held at a time: in one matrix, in a block of records, in one of questions.
 MATRIX_CELLS = 4_000_000
+RECORD_CELLS = 16_000_000
+QUESTION_CELLS = 2_000_000
 
 
 def _matrix(vectors: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
@@ -84,7 +85,10 @@ class _Best:
         self.held = 0
         self.room = max(4 * k * n_questions, 100_000)
 
-    def offer(self, which: np.ndarray, scores: np.ndarray, ids: pd.DataFrame) -> None:
+    def offer(
+        self, which: np.ndarray, scores: np.ndarray, ids: pa.RecordBatch, rows: np.ndarray
+    ) -> None:
+        """Scores are questions `which` by records `rows`."""
         floor = self.floor[which]
         n = scores.shape[1]
         if n > self.k:
@@ -93,7 +97,7 @@ class _Best:
         question, record = np.nonzero(scores >= floor[:, None])
         if len(question) == 0:
             return
-        part = ids.take(record).reset_index(drop=True)
+        part = ids.take(pa.array(rows[record])).to_pandas()
         part.insert(0, "_q", which[question])
         part.insert(1, "_score", scores[question, record])
         self.parts.append(part)
@@ -119,15 +123,23 @@ def _score_batch(
     best: _Best,
     questions: np.ndarray,
     visits: dict | None,
-    records: np.ndarray,
-    cells: np.ndarray | None,
-    ids: pd.DataFrame,
+    batch: pa.RecordBatch,
+    ids: list[str],
     metric: str,
 ) -> None:
+    """Offer the records of a batch, a matrix of bounded size at a time."""
+    step = max(64, MATRIX_CELLS // max(questions.shape))
+    for at in range(0, batch.num_rows, step):
+        _score_slice(best, questions, visits, batch.slice(at, step), ids, metric)
+
+
+def _score_slice(best, questions, visits, batch, ids, metric) -> None:
+    records = _matrix(batch.column("_vector"), questions.shape[1])
+    keys = batch.select(ids)
     if visits is None:
         groups = [(np.arange(len(questions)), np.arange(len(records)))]
     else:
-        codes, names = pd.factorize(cells, use_na_sentinel=True)
+        codes, names = pd.factorize(batch.column("_cell").to_pandas().to_numpy())
         order = np.argsort(codes, kind="stable")
         bounds = np.searchsorted(codes[order], np.arange(len(names) + 1))
         groups = [
@@ -136,10 +148,7 @@ def _score_batch(
             if name in visits
         ]
     for which, rows in groups:
-        step = max(64, MATRIX_CELLS // max(len(which), records.shape[1]))
-        for at in range(0, len(rows), step):
-            some = rows[at : at + step]
-            best.offer(which, _scores(questions[which], records[some], metric), ids.iloc[some])
+        best.offer(which, _scores(questions[which], records[rows], metric), keys, rows)
 
 
 def _result(best: _Best, question_ids: pa.Array, schema: pa.Schema) -> pa.Table:
@@ -237,18 +246,7 @@ def _with_sent_questions(candidates, few, few_routes, k, ids, dim, metric, found
         best = _Best(k, len(questions))
         if len(questions):
             for batch in batches:
-                cells = None
-                if routes is not None:
-                    cells = batch.column("_cell").to_pandas().to_numpy()
-                _score_batch(
-                    best,
-                    questions,
-                    routes,
-                    _matrix(batch.column("_vector"), dim),
-                    cells,
-                    batch.select(ids).to_pandas(),
-                    metric,
-                )
+                _score_batch(best, questions, routes, batch, ids, metric)
         yield from _result(best, question_ids, schema).to_batches()
 
     return candidates.mapInArrow(score, found_type)
@@ -260,9 +258,10 @@ def _with_question_blocks(candidates, wanted, routes, k, ids, dim, metric, found
         asked = wanted.withColumn("_cell", F.lit(0))
     else:
         asked = wanted.join(routes, "_qid")
-    question_blocks = max(1, -(-wanted.count() // QUESTION_BLOCK))
+    question_blocks = max(1, -(-wanted.count() // max(1, QUESTION_CELLS // dim)))
+    record_block = max(1, RECORD_CELLS // dim)
     sizes = candidates.groupBy("_cell").agg(
-        F.ceil(F.count(F.lit(1)) / RECORD_BLOCK).cast("int").alias("_parts")
+        F.ceil(F.count(F.lit(1)) / record_block).cast("int").alias("_parts")
     )
     placed = (
         candidates.join(sizes, "_cell")
@@ -288,15 +287,8 @@ def _with_question_blocks(candidates, wanted, routes, k, ids, dim, metric, found
             return schema.empty_table()
         questions = _matrix(right["_qvec"], dim)
         best = _Best(k, len(questions))
-        _score_batch(
-            best,
-            questions,
-            None,
-            _matrix(left["_vector"], dim),
-            None,
-            left.select(ids).to_pandas(),
-            metric,
-        )
+        for batch in left.to_batches():
+            _score_batch(best, questions, None, batch, ids, metric)
         return _result(best, right["_qid"].combine_chunks(), schema)
 
     return (

@@ -25,8 +25,9 @@ def split_pages(
     the page before.
     """
     others = [c for c in documents.columns if c != text]
-    pages = documents.select(
-        *others, F.posexplode(page_texts(F.col(text), lines_per_page)).alias("_at", "_page")
+    lined = documents.withColumn("_lines", F.split(text, "\n"))
+    pages = lined.select(
+        *others, F.posexplode(page_texts("_lines", lines_per_page)).alias("_at", "_page")
     )
     number = F.col("_at") + 1
     return pages.select(

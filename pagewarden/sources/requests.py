@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,9 +52,7 @@ def with_progress(requests: DataFrame, batch: str, order: str, block: int = 10_0
     counted in blocks of that number, then shifted by the sizes of the blocks
     before, so no task has to sort a whole batch.
     """
-    from pyspark.sql import Window as W
-
-    blocked = requests.withColumn("_block", F.floor(F.col(order) / block))
+    blocked = requests.withColumn("_block", F.col(order) - F.pmod(F.col(order), F.lit(block)))
     sizes = blocked.groupBy(batch, "_block").agg(F.count(F.lit(1)).alias("_rows"))
     in_batch = W.partitionBy(batch)
     shifts = sizes.select(

@@ -30,12 +30,22 @@ def transcript_stream(
 
 
 def ingest_stream(
-    files: DataFrame, index: PageIndex, checkpoint: str, name: str = "uploads", **options
+    files: DataFrame,
+    index: PageIndex,
+    checkpoint: str,
+    name: str = "uploads",
+    partitions: int | None = None,
+    **options,
 ) -> DataStreamWriter:
-    """Index arriving files. A repeated micro-batch overwrites its own records."""
+    """Index arriving files. A repeated micro-batch overwrites its own records.
+
+    `partitions` deals the rows of each micro-batch out first, for streams whose
+    rows come in few large files.
+    """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        ingest(batch, index, batch_id=f"{name}-{batch_id}", **options)
+        dealt = batch.repartition(partitions) if partitions else batch
+        ingest(dealt, index, batch_id=f"{name}-{batch_id}", **options)
 
     return files.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
 

@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from pagewarden.operators.index import PageIndex
 from pagewarden.plans.ingest import ingest
 from pagewarden.session import fresh_path
+from pagewarden.sources.tables import read_table
 
 _indexes: dict[tuple[str, str], PageIndex] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, f"{sf_dir}/{name}.parquet")
 
 
 def as_files(documents: DataFrame) -> DataFrame:

@@ -66,9 +66,9 @@ def knn_filtered_post(spark, sf_dir):
 
 
 def _by_cells(spark, sf_dir, n_probe):
-    """Cells and probes grow with the root of the vector count."""
+    """Cells grow with the root of the vector count, up to what a task can compare with."""
     pool = vectors(spark, sf_dir)
-    n_cells = max(4, int(pool.count() ** 0.5))
+    n_cells = min(4096, max(4, int(pool.count() ** 0.5)))
     centres = train_cells(pool, n_cells)
     placed = place_in_cells(pool, centres)
     asked = vector_questions(spark, sf_dir)

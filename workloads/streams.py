@@ -38,7 +38,8 @@ def stream_message_gate(spark, sf_dir):
 def stream_ingest(spark, sf_dir):
     arriving = as_files(_stream(spark, sf_dir, "documents")).drop("doc_id")
     index = new_index(spark)
-    _drain(ingest_stream(arriving, index, fresh_path(spark, "steps")))
+    cores = spark.sparkContext.defaultParallelism
+    _drain(ingest_stream(arriving, index, fresh_path(spark, "steps"), partitions=cores))
     return indexing._record_rows(index.read())
 
 
