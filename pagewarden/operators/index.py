@@ -69,20 +69,29 @@ class PageIndex:
         if self.exists():
             return False
         empty = self.spark.createDataFrame([], self.schema)
-        empty.drop("unique_id").write.parquet(self._place("records", 0, "create"))
+        empty.write.partitionBy("unique_id").parquet(self._place("records", 0, "create"))
         return True
 
     # -- writing ----------------------------------------------------------
 
-    def append(self, records: DataFrame, batch_id: str | None = None, replace: bool = False) -> int:
+    def append(
+        self,
+        records: DataFrame,
+        batch_id: str | None = None,
+        replace: bool = False,
+        gather: bool = True,
+    ) -> int:
         """Add records as one version and return its number.
 
         Repeating a `batch_id` overwrites what it wrote before. Records are
         appended, also for a file that is indexed already, unless `replace`
         asks to drop the file's earlier records.
 
-        Rows are brought together by tenant before the write, so a tenant
-        becomes few files; the adaptive planner splits a large one over tasks.
+        With `gather`, rows are brought together by tenant before the write, so
+        a tenant becomes few files; the adaptive planner splits a large tenant
+        over tasks. It shuffles every record. Without it each task writes a file
+        per tenant it meets, which is the better way for few tenants and large
+        tasks.
         """
         batch_id = batch_id or uuid.uuid4().hex
         version = self._version_for(batch_id)
@@ -94,14 +103,10 @@ class PageIndex:
             for f in self.schema.fields
             if f.name not in records.columns
         }
-        (
-            records.withColumns(missing)
-            .select(*names)
-            .hint("rebalance", "unique_id")
-            .write.mode("overwrite")
-            .partitionBy("unique_id")
-            .parquet(place)
-        )
+        rows = records.withColumns(missing).select(*names)
+        if gather:
+            rows = rows.hint("rebalance", "unique_id")
+        rows.write.mode("overwrite").partitionBy("unique_id").parquet(place)
         if replace:
             # After the data: dying in between leaves a file doubled, never lost.
             written = self._scan([place]).select(*FILE_KEY).distinct()
@@ -121,7 +126,7 @@ class PageIndex:
         places = self._committed("records")
         if not places:
             raise FileNotFoundError(f"no index at {self.path}")
-        rows = self._scan(places).where("unique_id is not null")
+        rows = self._scan(places)
         deletes = self._committed("deletes")
         if not deletes:
             return rows

@@ -36,6 +36,18 @@ def index_records(
     )
 
 
+def requested(files: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Files (file_path, text) that requests (unique_id, file_path) ask for, and
+    the requests no file answers.
+
+    The tenant is the one of the request. Requests are narrow beside texts, so
+    the planner sends them to the files as long as they are small enough.
+    """
+    found = files.drop("unique_id").join(requests, "file_path")
+    missing = requests.join(files.select("file_path"), "file_path", "left_anti")
+    return found, missing.withColumn("error", F.concat(F.lit("No such file: "), F.col("file_path")))
+
+
 def ingest(
     documents: DataFrame,
     index: PageIndex,
@@ -48,6 +60,7 @@ def ingest(
     embed_source: str = "llm_generated",
     batch_id: str | None = None,
     replace: bool = False,
+    gather: bool = True,
     rejects: str | None = None,
 ) -> int:
     """Index the clean ones among (unique_id, file_path, text) rows; returns the version.
@@ -58,7 +71,7 @@ def ingest(
     """
     pages = clean_pages(documents, threshold, rules, lines_per_page)
     records = index_records(pages, describer, embedder, embed_source)
-    version = index.append(records, batch_id, replace)
+    version = index.append(records, batch_id, replace, gather)
     if rejects:
         screened = screen_documents(documents, threshold, rules, lines_per_page)
         bad_pages(screened).write.mode("overwrite").parquet(f"{rejects}/version={version:09d}")

@@ -3,7 +3,7 @@ from pathlib import Path
 import pytest
 
 from pagewarden.operators.index import PageIndex, files_of
-from pagewarden.plans.ingest import index_records, ingest
+from pagewarden.plans.ingest import index_records, ingest, requested
 from pagewarden.sources.pages import split_pages
 
 
@@ -30,6 +30,27 @@ def test_create_twice(index):
     assert index.tenants().collect() == []
 
 
+def test_writing_to_a_created_index(spark, index):
+    index.create()
+    index.append(records(spark, ("a", "f", "x")))
+    index.append(records(spark, ("a", "f", "x")).where("false"))
+    assert contents(index) == [("a", "f", 1)]
+    assert index.delete_path("f") == 1 and contents(index) == []
+
+
+def test_each_task_may_write_for_itself(spark, index):
+    index.append(records(spark, ("a", "f", "x"), ("b", "g", "y")), gather=False)
+    assert contents(index) == [("a", "f", 1), ("b", "g", 1)]
+
+
+def test_requests_for_files(spark):
+    files = spark.createDataFrame([("f", "one"), ("g", "two")], "file_path string, text string")
+    requests = spark.createDataFrame([("a", "f"), ("b", "f"), ("a", "none")], "unique_id string, file_path string")
+    found, missing = requested(files, requests)
+    assert sorted(map(tuple, found.select("unique_id", "text").collect())) == [("a", "one"), ("b", "one")]
+    assert [r["error"] for r in missing.collect()] == ["No such file: none"]
+
+
 def test_reading_no_index_fails(index):
     with pytest.raises(FileNotFoundError):
         index.read()

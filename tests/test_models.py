@@ -1,4 +1,7 @@
+import sys
+
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from pagewarden.constants import (
@@ -26,6 +29,10 @@ from pagewarden.operators.index import PageIndex
 from pagewarden.sources.pages import split_pages
 
 
+# Workers cannot import this module.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 def _failing_sometimes():
     tries = {}
 

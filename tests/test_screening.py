@@ -1,4 +1,7 @@
+import sys
+
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from pagewarden.constants import SAFE_MESSAGE
@@ -38,6 +41,10 @@ def texts(spark):
     return spark.createDataFrame(list(TEXTS.items()), "name string, text string")
 
 
+# Workers cannot import this module.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 def found(texts, threshold=0.8):
     rows = texts.select("name", pii.listed(pii.entities(F.col("text")), threshold).alias("f"))
     return {r["name"]: [(e["word"], e["entity_group"]) for e in r["f"]] for r in rows.collect()}

@@ -14,11 +14,20 @@ from pagewarden.functions.text import (
 from pagewarden.operators.chat import session_info as session_info_of
 from pagewarden.operators.index import files_of, tenant_counts
 from pagewarden.operators.models import complete_with, describe, stored_vectors
-from pagewarden.operators.screening import clean_pages
+from pagewarden.operators.screening import (
+    clean_pages,
+    file_stats,
+    ingest_report,
+    screen_documents,
+)
 from pagewarden.plans.ingest import index_records as records_of
 from pagewarden.plans.ingest import ingest as run_ingest
+from pagewarden.plans.ingest import requested
 from pagewarden.sources.pages import split_pages
+from pagewarden.sources.requests import bulk_requests
+from workloads import screening
 from workloads.inputs import documents, files, new_index, page_index, table, vectors
+from workloads.intake import bulk_request_rows
 from workloads.sqltext import FILES, INDEXED, PAGES, described, pages_of, quoted, tokens, vector_of, with_
 
 STORED_DIM = 64
@@ -57,6 +66,15 @@ def reingest(spark, sf_dir):
     return _record_rows(index.read())
 
 
+def bulk_ingest(spark, sf_dir):
+    """Files of high quality, asked for in bulk requests, and what became of each."""
+    wanted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    rows = files(spark, sf_dir)
+    requests = bulk_requests(bulk_request_rows(rows.drop("text").join(wanted, "doc_id", "left_semi")))
+    found, _ = requested(rows.select("file_path", "text"), requests)
+    return ingest_report(file_stats(screen_documents(found)))
+
+
 def placeholder_fill(spark, sf_dir):
     """Single lines as content: many are empty."""
     lines = split_pages(documents(spark, sf_dir), lines_per_page=1)
@@ -141,6 +159,7 @@ QUERIES = {
     "index_records": index_records,
     "ingest": ingest,
     "reingest": reingest,
+    "bulk_ingest": bulk_ingest,
     "placeholder_fill": placeholder_fill,
     "zero_vector_fill": zero_vector_fill,
     "hash_embedding": hash_embedding,
@@ -163,6 +182,10 @@ SQL = {
     "index_records": _RECORDS,
     "ingest": _RECORDS,
     "reingest": _RECORDS,
+    "bulk_ingest": "SELECT r.* FROM ("
+    + screening.SQL["ingest_report"]
+    + """) r JOIN (SELECT source || '/doc_' || doc_id || '.pdf' AS file_path
+      FROM documents JOIN labels USING (doc_id) WHERE quality = 1) USING (file_path)""",
     "placeholder_fill": with_(FILES, pages_of(1))
     + f"SELECT unique_id, file_path, page_no, {described('text')} AS llm_generated FROM pages_",
     "zero_vector_fill": f"""
