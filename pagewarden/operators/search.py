@@ -37,42 +37,79 @@ RECORD_CELLS = 16_000_000
 QUESTION_CELLS = 2_000_000
 
 
+def _numbers(values: pa.Array) -> np.ndarray:
+    return values.to_numpy(zero_copy_only=False)
+
+
 def _matrix(vectors: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
     """Rows of doubles. A missing vector, or one of the wrong length, is all zeros."""
+    return _matrix_and_lengths(vectors, dim)[0]
+
+
+def _matrix_and_lengths(
+    vectors: pa.Array | pa.ChunkedArray, dim: int, used: np.ndarray | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of doubles and the lengths of the vectors.
+
+    With `used`, rows hold only those places; lengths are of the whole vectors.
+    """
     if isinstance(vectors, pa.ChunkedArray):
         vectors = vectors.combine_chunks()
-    out = np.zeros((len(vectors), dim))
-    if len(vectors) == 0:
-        return out
-    if pa.types.is_struct(vectors.type):
+    n = len(vectors)
+    if n and pa.types.is_struct(vectors.type):
         indices, values = vectors.field("indices"), vectors.field("values")
-        lengths = indices.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-        rows = np.repeat(np.arange(len(vectors)), lengths)
-        places = indices.flatten().to_numpy(zero_copy_only=False)
-        out[rows, places] = values.flatten().to_numpy(zero_copy_only=False)
-        return out
-    lengths = vectors.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    whole = lengths == dim
-    if whole.all():
-        return flat.reshape(-1, dim)
-    kept = np.repeat(whole, lengths)
-    out[whole] = flat[kept].reshape(-1, dim)
-    return out
-
-
-def _scores(questions: np.ndarray, records: np.ndarray, metric: str) -> np.ndarray:
-    """Questions by records: similarity + 1, to six places. Zero vectors have similarity 0."""
-    similarity = questions @ records.T
-    if metric == "cosine":
-        lengths = np.outer(
-            np.sqrt(np.einsum("ij,ij->i", questions, questions)),
-            np.sqrt(np.einsum("ij,ij->i", records, records)),
-        )
-        similarity = np.divide(
-            similarity, lengths, out=np.zeros_like(similarity), where=lengths > 0
-        )
-    return np.floor((similarity + 1.0) * 1e6 + 0.5) / 1e6
+        rows = np.repeat(np.arange(n), _numbers(indices.value_lengths().fill_null(0)))
+        places = _numbers(indices.flatten())
+        weights = _numbers(values.flatten()).astype(np.float64)
+        lengths = np.sqrt(np.bincount(rows, weights=weights * weights, minlength=n))
+        if used is not None:
+            column = np.full(dim, -1)
+            column[used] = np.arange(len(used))
+            places = column[places]
+            kept = places >= 0
+            rows, places, weights = rows[kept], places[kept], weights[kept]
+        out = np.zeros((n, dim if used is None else len(used)))
+        out[rows, places] = weights
+        return out, lengths
+    out = np.zeros((n, dim))
+    if n:
+        sizes = _numbers(vectors.value_lengths().fill_null(0))
+        flat = _numbers(vectors.flatten()).astype(np.float64)
+        whole = sizes == dim
+        out[whole] = flat[np.repeat(whole, sizes)].reshape(-1, dim)
+    lengths = np.sqrt(np.einsum("ij,ij->i", out, out))
+    return (out if used is None else out[:, used]), lengths
+
+
+class _Questions:
+    """Vectors of the questions, cut to the places any of them uses."""
+
+    def __init__(self, vectors: pa.Array | pa.ChunkedArray, dim: int, metric: str):
+        matrix, self.lengths = _matrix_and_lengths(vectors, dim)
+        self.dim, self.metric = dim, metric
+        used = np.flatnonzero(matrix.any(axis=0))
+        # A cut costs more than it saves where most places are in use.
+        self.used = used if len(used) < dim // 2 else None
+        self.matrix = matrix if self.used is None else matrix[:, used]
+
+    def __len__(self) -> int:
+        return len(self.matrix)
+
+    def scores(self, which: np.ndarray, records: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Questions by records: similarity + 1, to six places.
+
+        Zero vectors have similarity 0.
+        """
+        similarity = self.matrix[which] @ records.T
+        if self.metric == "cosine":
+            # One division per vector; a vector of no length stays zero.
+            similarity /= np.outer(_or_one(self.lengths[which]), _or_one(lengths))
+        similarity += 1.0
+        return np.floor(similarity * 1e6 + 0.5) / 1e6
+
+
+def _or_one(lengths: np.ndarray) -> np.ndarray:
+    return np.where(lengths > 0, lengths, 1.0)
 
 
 class _Best:
@@ -121,20 +158,21 @@ class _Best:
 
 def _score_batch(
     best: _Best,
-    questions: np.ndarray,
+    questions: _Questions,
     visits: dict | None,
     batch: pa.RecordBatch,
     ids: list[str],
-    metric: str,
 ) -> None:
     """Offer the records of a batch, a matrix of bounded size at a time."""
-    step = max(64, MATRIX_CELLS // max(questions.shape))
+    step = max(64, MATRIX_CELLS // max(questions.matrix.shape))
     for at in range(0, batch.num_rows, step):
-        _score_slice(best, questions, visits, batch.slice(at, step), ids, metric)
+        _score_slice(best, questions, visits, batch.slice(at, step), ids)
 
 
-def _score_slice(best, questions, visits, batch, ids, metric) -> None:
-    records = _matrix(batch.column("_vector"), questions.shape[1])
+def _score_slice(best, questions, visits, batch, ids) -> None:
+    records, lengths = _matrix_and_lengths(
+        batch.column("_vector"), questions.dim, questions.used
+    )
     keys = batch.select(ids)
     if visits is None:
         groups = [(np.arange(len(questions)), np.arange(len(records)))]
@@ -148,7 +186,7 @@ def _score_slice(best, questions, visits, batch, ids, metric) -> None:
             if name in visits
         ]
     for which, rows in groups:
-        best.offer(which, _scores(questions[which], records[rows], metric), keys, rows)
+        best.offer(which, questions.scores(which, records[rows], lengths[rows]), keys, rows)
 
 
 def _result(best: _Best, question_ids: pa.Array, schema: pa.Schema) -> pa.Table:
@@ -236,17 +274,19 @@ def _with_sent_questions(candidates, few, few_routes, k, ids, dim, metric, found
         if len(visits) <= PRUNE_LIMIT:
             # Reaches the scan: partitions and row groups of other cells are skipped.
             candidates = candidates.where(F.col("_cell").isin(list(visits)))
+    # Plain data: unlike functions, broadcast values bring no classes along.
     payload = candidates.sparkSession.sparkContext.broadcast(
-        (few["_qid"].combine_chunks(), _matrix(few["_qvec"], dim), visits)
+        (few["_qid"].combine_chunks(), few["_qvec"].combine_chunks(), visits)
     )
     schema = to_arrow_schema(found_type)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        question_ids, questions, routes = payload.value
+        question_ids, vectors, routes = payload.value
+        questions = _Questions(vectors, dim, metric)
         best = _Best(k, len(questions))
         if len(questions):
             for batch in batches:
-                _score_batch(best, questions, routes, batch, ids, metric)
+                _score_batch(best, questions, routes, batch, ids)
         yield from _result(best, question_ids, schema).to_batches()
 
     return candidates.mapInArrow(score, found_type)
@@ -285,10 +325,10 @@ def _with_question_blocks(candidates, wanted, routes, k, ids, dim, metric, found
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         if left.num_rows == 0 or right.num_rows == 0:
             return schema.empty_table()
-        questions = _matrix(right["_qvec"], dim)
+        questions = _Questions(right["_qvec"], dim, metric)
         best = _Best(k, len(questions))
         for batch in left.to_batches():
-            _score_batch(best, questions, None, batch, ids, metric)
+            _score_batch(best, questions, None, batch, ids)
         return _result(best, right["_qid"].combine_chunks(), schema)
 
     return (
@@ -297,12 +337,16 @@ def _with_question_blocks(candidates, wanted, routes, k, ids, dim, metric, found
 
 
 def _merge(found: DataFrame, k: int, question_id: str, ids: list[str]) -> DataFrame:
-    """Best k of the tasks' best k, first within groups of tasks, then over all."""
+    """Best k of the tasks' best k: first in parts of each question's hits, then over all.
+
+    The parts come from a hash of the ids; the task's number would do as well but
+    counts as random, and the planner prunes no partitions by random hits.
+    """
     order = [F.desc("score"), *map(F.asc, ids)]
     by_group = W.partitionBy(question_id, "_group").orderBy(*order)
     over_all = W.partitionBy(question_id).orderBy(*order)
     return (
-        found.withColumn("_group", F.spark_partition_id() % MERGE_WAYS)
+        found.withColumn("_group", F.pmod(F.xxhash64(*ids), F.lit(MERGE_WAYS)))
         .withColumn("rank", F.row_number().over(by_group))
         .where(F.col("rank") <= k)
         .withColumn("rank", F.row_number().over(over_all))
