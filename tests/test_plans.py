@@ -27,12 +27,24 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("step", [clean_pages, lambda d: accepted_pages(screen_documents(d)), lambda d: index_records(clean_pages(d)), lambda d: file_stats(screen_documents(d))])
-def test_screening_and_embedding_do_not_shuffle(documents, step):
+SCREENING = {
+    "yes or no": clean_pages,
+    "listed": lambda d: accepted_pages(screen_documents(d)),
+    "stats": lambda d: file_stats(screen_documents(d)),
+}
+
+
+@pytest.mark.parametrize("step", SCREENING.values(), ids=SCREENING)
+def test_screening_neither_shuffles_nor_leaves_the_jvm(documents, step):
     text = plan(step(documents))
     assert "Exchange" not in text and "Python" not in text and "Arrow" not in text
 
 
+def test_embedding_does_not_shuffle(documents):
+    text = plan(index_records(clean_pages(documents)))
+    assert "Exchange" not in text and text.count("ArrowEvalPython") == 1
+
+
 def test_texts_are_cut_and_screened_once(documents):
     text = plan(index_records(clean_pages(documents)))
     assert len(re.findall(r"split\(text", text)) == 1
