@@ -3,6 +3,10 @@
     <path>/records/version=<n>/batch=<id>/unique_id=<tenant>/part-*.parquet
     <path>/deletes/version=<n>/batch=<id>/part-*.parquet
 
+A folder per tenant suits up to some thousands of tenants. With more, ask for
+`buckets`: tenants then share that many folders by a hash of their name, and
+files are sorted by tenant, so that a reader skips the parts of others.
+
 Each write makes one version and counts once its `_SUCCESS` marker stands, so a
 write that dies halfway is never read. A delete writes the names of the files it
 removes; reading leaves out records of those files from earlier versions. No
@@ -22,7 +26,7 @@ from pyspark.sql import types as T
 
 from pagewarden.constants import TENANT_PAGE_SIZE
 from pagewarden.functions.text import shares_token
-from pagewarden.schema import SPARSE_VECTOR, index_record
+from pagewarden.schema import PAGE_KEY, SPARSE_VECTOR, index_record
 from pagewarden.sources.requests import manifest_requests
 
 FILE_KEY = ["unique_id", "file_path"]
@@ -30,10 +34,18 @@ _VERSION = re.compile(r"/version=(\d+)/batch=([^/]+)")
 
 
 class PageIndex:
-    def __init__(self, spark: SparkSession, path: str, vector: T.DataType = SPARSE_VECTOR):
+    def __init__(
+        self,
+        spark: SparkSession,
+        path: str,
+        vector: T.DataType = SPARSE_VECTOR,
+        buckets: int | None = None,
+    ):
         self.spark = spark
         self.path = path.rstrip("/")
         self.schema = index_record(vector)
+        self.buckets = buckets
+        self.folder = "bucket" if buckets else "unique_id"
 
     # -- versions ---------------------------------------------------------
 
@@ -69,11 +81,23 @@ class PageIndex:
         if self.exists():
             return False
         empty = self.spark.createDataFrame([], self.schema)
-        empty.write.partitionBy("unique_id").parquet(self._place("records", 0, "create"))
+        self._write(empty, self._place("records", 0, "create"), gather=False)
         return True
 
     # -- writing ----------------------------------------------------------
 
+    def _bucket(self, unique_id: Column) -> Column:
+        return F.pmod(F.xxhash64(unique_id), F.lit(self.buckets)).cast("int")
+
+    def _write(self, rows: DataFrame, place: str, gather: bool) -> None:
+        if self.buckets:
+            rows = rows.withColumn("bucket", self._bucket(F.col("unique_id")))
+        if gather:
+            rows = rows.hint("rebalance", self.folder)
+        if self.buckets:
+            rows = rows.sortWithinPartitions("bucket", *PAGE_KEY)
+        rows.write.mode("overwrite").partitionBy(self.folder).parquet(place)
+
     def append(
         self,
         records: DataFrame,
@@ -103,10 +127,7 @@ class PageIndex:
             for f in self.schema.fields
             if f.name not in records.columns
         }
-        rows = records.withColumns(missing).select(*names)
-        if gather:
-            rows = rows.hint("rebalance", "unique_id")
-        rows.write.mode("overwrite").partitionBy("unique_id").parquet(place)
+        self._write(records.withColumns(missing).select(*names), place, gather)
         if replace:
             # After the data: dying in between leaves a file doubled, never lost.
             written = self._scan([place]).select(*FILE_KEY).distinct()
@@ -116,9 +137,10 @@ class PageIndex:
     # -- reading ----------------------------------------------------------
 
     def _scan(self, places: list[str]) -> DataFrame:
-        schema = T.StructType(
-            [*self.schema.fields, T.StructField("version", T.LongType()), T.StructField("batch", T.StringType())]
-        )
+        folders = [T.StructField("version", T.LongType()), T.StructField("batch", T.StringType())]
+        if self.buckets:
+            folders.append(T.StructField("bucket", T.IntegerType()))
+        schema = T.StructType([*self.schema.fields, *folders])
         reader = self.spark.read.schema(schema).option("basePath", f"{self.path}/records")
         return reader.parquet(*places)
 
@@ -148,6 +170,11 @@ class PageIndex:
         rows = self._versioned()
         if unique_ids is not None:
             rows = rows.where(F.col("unique_id").isin(list(unique_ids)))
+            if self.buckets:
+                # Worked out while planning, so only these folders are read.
+                rows = rows.where(
+                    F.col("bucket").isin([self._bucket(F.lit(name)) for name in unique_ids])
+                )
         return rows.select(*self.schema.fieldNames())
 
     # -- listing ----------------------------------------------------------
@@ -196,7 +223,8 @@ class PageIndex:
 
     def compact(self, path: str) -> "PageIndex":
         """Write the remaining records to a new index and return that."""
-        target = PageIndex(self.spark, path, self.schema["text_embedding"].dataType)
+        vector = self.schema["text_embedding"].dataType
+        target = PageIndex(self.spark, path, vector, self.buckets)
         target.append(self.read(), batch_id="compact")
         return target
 

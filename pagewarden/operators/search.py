@@ -29,6 +29,7 @@ from pagewarden.schema import PAGE_KEY
 
 QUESTION_LIMIT = 4096
 VISIT_LIMIT = 1_000_000
+HIT_LIMIT = 1_000_000
 PRUNE_LIMIT = 1_000
 MERGE_WAYS = 64
 # Numbers held at a time: in one matrix, in a block of records, in one of questions.
@@ -300,8 +301,8 @@ def _with_question_blocks(candidates, wanted, routes, k, ids, dim, metric, found
         asked = wanted.join(routes, "_qid")
     question_blocks = max(1, -(-wanted.count() // max(1, QUESTION_CELLS // dim)))
     record_block = max(1, RECORD_CELLS // dim)
-    sizes = candidates.groupBy("_cell").agg(
-        F.ceil(F.count(F.lit(1)) / record_block).cast("int").alias("_parts")
+    sizes = _few_if_bounded(
+        candidates.groupBy("_cell").agg(F.ceil(F.count(F.lit(1)) / record_block).alias("_parts"))
     )
     placed = (
         candidates.join(sizes, "_cell")
@@ -336,6 +337,18 @@ def _with_question_blocks(candidates, wanted, routes, k, ids, dim, metric, found
     )
 
 
+def _few_if_bounded(sizes: DataFrame) -> DataFrame:
+    """Sizes of the cells, read once and sent to every task if there are not too many.
+
+    Left to the planner, records would be shuffled by cell before it sees how
+    few the sizes are.
+    """
+    few = sizes.limit(VISIT_LIMIT + 1).toArrow()
+    if few.num_rows > VISIT_LIMIT:
+        return sizes
+    return F.broadcast(sizes.sparkSession.createDataFrame(few, sizes.schema))
+
+
 def _merge(found: DataFrame, k: int, question_id: str, ids: list[str]) -> DataFrame:
     """Best k of the tasks' best k: first in parts of each question's hits, then over all.
 
@@ -360,16 +373,18 @@ def with_records(
     records: DataFrame,
     questions: DataFrame,
     *,
+    k: int = DEFAULT_K,
     ids: list[str] = PAGE_KEY,
-    question_limit: int = QUESTION_LIMIT,
+    hit_limit: int = HIT_LIMIT,
 ) -> DataFrame:
     """Hits with the columns of their records.
 
-    Texts are fetched for the hits only. There are at most k hits per question,
-    so with few questions the hits are broadcast and the records stay in place;
-    with more the planner chooses.
+    Texts are fetched for the hits only. A question has at most k hits, so up to
+    `hit_limit` of them in all are broadcast, and the records stay in place; with
+    more the planner chooses.
     """
-    few = questions.limit(question_limit + 1).count() <= question_limit
+    most = hit_limit // k
+    few = questions.limit(most + 1).count() <= most
     small = F.broadcast(hits) if few else hits
     return records.join(small, ids)
 

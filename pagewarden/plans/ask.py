@@ -55,7 +55,7 @@ def retrieve(
         visits=tenant_visits(questions) if by_tenant else None,
         question_limit=question_limit,
     )
-    found = with_records(hits, records, questions, question_limit=question_limit)
+    found = with_records(hits, records, questions, k=k)
     if condition is not None and filter_mode == "post":
         found = found.where(condition)
     return found.select("question_id", *HIT_FIELDS)

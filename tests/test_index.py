@@ -1,3 +1,4 @@
+import re
 from pathlib import Path
 
 import pytest
@@ -43,6 +44,20 @@ def test_each_task_may_write_for_itself(spark, index):
     assert contents(index) == [("a", "f", 1), ("b", "g", 1)]
 
 
+def test_tenants_in_shared_folders(spark, tmp_path):
+    index = PageIndex(spark, str(tmp_path / "index"), buckets=4)
+    assert index.create()
+    index.append(records(spark, *[(f"t{i}", "f", f"text {i}") for i in range(20)]))
+    assert len(list((tmp_path / "index").glob("records/version=*/batch=*/bucket=*"))) <= 4
+    assert len(contents(index)) == 20
+    some = index.read(["t3", "t7"])
+    assert sorted(r["llm_generated"] for r in some.collect()) == ["text 3", "text 7"]
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^]]*bucket", plan)
+    assert index.delete_path("f", unique_id="t3") == 1
+    assert len(contents(index.compact(str(tmp_path / "compact")))) == 19
+
+
 def test_requests_for_files(spark):
     files = spark.createDataFrame([("f", "one"), ("g", "two")], "file_path string, text string")
     requests = spark.createDataFrame([("a", "f"), ("b", "f"), ("a", "none")], "unique_id string, file_path string")

@@ -135,6 +135,16 @@ def test_filter_after_is_part_of_the_unfiltered(data):
     assert some < everything
 
 
+def test_records_of_hits_both_ways(data):
+    rows, _, records, asked = data
+    hits = run(data)
+    few, many = (
+        with_records(hits, records, asked, ids=["rid"], hit_limit=n).select("question_id", "rid", "grp").collect()
+        for n in (search.HIT_LIMIT, 0)
+    )
+    assert sorted(few) == sorted(many) and len(few) == hits.count()
+
+
 def test_every_question_has_a_row(spark, data):
     rows, questions, records, asked = data
     visits = spark.createDataFrame([("q0", "g1")], "question_id string, grp string")
