@@ -18,6 +18,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -113,6 +114,12 @@ def _or_one(lengths: np.ndarray) -> np.ndarray:
     return np.where(lengths > 0, lengths, 1.0)
 
 
+def _id_order(ids: pa.RecordBatch, rows: np.ndarray) -> np.ndarray:
+    keys = pa.Table.from_batches([ids]).take(pa.array(rows))
+    by_id = [(name, "ascending") for name in keys.column_names]
+    return pc.sort_indices(keys, sort_keys=by_id).to_numpy()
+
+
 class _Best:
     """Best k records per question among those offered, ties by record id."""
 
@@ -132,7 +139,13 @@ class _Best:
         if n > self.k:
             kth = np.partition(scores, n - self.k, axis=1)[:, n - self.k]
             floor = np.maximum(floor, kth)
-        question, record = np.nonzero(scores >= floor[:, None])
+        above, level = scores > floor[:, None], scores == floor[:, None]
+        if np.count_nonzero(level) > 2 * self.k * len(which):
+            # Many copies of one text: of equal scores the first k by id are enough.
+            order = _id_order(ids, rows)
+            ordered = level[:, order]
+            level[:, order] = ordered & (np.cumsum(ordered, axis=1) <= self.k)
+        question, record = np.nonzero(above | level)
         if len(question) == 0:
             return
         part = ids.take(pa.array(rows[record])).to_pandas()

@@ -24,9 +24,17 @@ def upload_requests(files: DataFrame, model_id: str | None = None) -> DataFrame:
     )
 
 
-def upload_stream(spark: SparkSession, landing: str, schema: T.StructType) -> DataFrame:
-    """Unbounded rows of the Parquet files that arrive in a landing folder."""
-    return spark.readStream.schema(schema).parquet(landing)
+def upload_stream(
+    spark: SparkSession, landing: str, schema: T.StructType, files_per_batch: int | None = None
+) -> DataFrame:
+    """Unbounded rows of the Parquet files that arrive in a landing folder.
+
+    `files_per_batch` bounds a micro-batch, so a backlog is worked off in steps.
+    """
+    reader = spark.readStream.schema(schema)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(landing)
 
 
 def bulk_requests(bulk: DataFrame) -> DataFrame:

@@ -48,6 +48,17 @@ def test_ingestion_goes_on_and_repeats_nothing(spark, tmp_path):
     assert [r["file_path"] for r in spark.read.parquet(rejects).collect()] == ["g"]
 
 
+def test_backlog_in_steps(spark, tmp_path):
+    folder = str(tmp_path / "in")
+    index = PageIndex(spark, str(tmp_path / "index"))
+    for name in "fgh":
+        land(spark, FILES, folder, ("a", name, "fine"))
+    stream = upload_stream(spark, folder, FILES, files_per_batch=1)
+    drain(ingest_stream(stream, index, str(tmp_path / "steps"), partitions=2))
+    versions = list((tmp_path / "index").glob("records/version=*/batch=uploads-*"))
+    assert len(versions) == 3 and index.read().count() == 3
+
+
 def test_lost_checkpoint_doubles_nothing(spark, tmp_path):
     folder = str(tmp_path / "in")
     index = PageIndex(spark, str(tmp_path / "index"))

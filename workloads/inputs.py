@@ -62,7 +62,7 @@ def new_index(spark: SparkSession) -> PageIndex:
 def page_index(spark: SparkSession, sf_dir: str) -> PageIndex:
     """Index of all clean documents, written once per session and only read after."""
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _indexes:
+    if key not in _indexes or not _indexes[key].exists():
         index = new_index(spark)
         ingest(documents(spark, sf_dir), index)
         _indexes[key] = index
