@@ -35,8 +35,8 @@ PRUNE_LIMIT = 1_000
 MERGE_WAYS = 64
 # Numbers held at a time: in one matrix, in a block of records, in one of questions.
 MATRIX_CELLS = 4_000_000
-RECORD_CELLS = 16_000_000
-QUESTION_CELLS = 2_000_000
+RECORD_CELLS = 8_000_000
+QUESTION_CELLS = 8_000_000
 
 
 def _numbers(values: pa.Array) -> np.ndarray:
@@ -307,32 +307,34 @@ def _with_sent_questions(candidates, few, few_routes, k, ids, dim, metric, found
 
 
 def _with_question_blocks(candidates, wanted, routes, k, ids, dim, metric, found_type):
-    if routes is None:
-        candidates = candidates.withColumn("_cell", F.lit(0))
-        asked = wanted.withColumn("_cell", F.lit(0))
-    else:
-        asked = wanted.join(routes, "_qid")
     question_blocks = max(1, -(-wanted.count() // max(1, QUESTION_CELLS // dim)))
-    record_block = max(1, RECORD_CELLS // dim)
-    sizes = _few_if_bounded(
-        candidates.groupBy("_cell").agg(F.ceil(F.count(F.lit(1)) / record_block).alias("_parts"))
-    )
-    placed = (
-        candidates.join(sizes, "_cell")
-        .withColumn("_part", F.pmod(F.xxhash64(*ids), F.col("_parts")))
-        .withColumn(
-            "_block", F.explode(F.sequence(F.lit(0), F.lit(question_blocks - 1)))
-        )
-        .drop("_parts")
+    asked = wanted.withColumn(
+        "_block", F.pmod(F.xxhash64("_qid"), F.lit(question_blocks)).cast("int")
     )
-    asked = (
-        asked.withColumn("_block", F.pmod(F.xxhash64("_qid"), F.lit(question_blocks)).cast("int"))
-        .join(sizes, "_cell")
-        .withColumn(
-            "_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_parts") - 1))
+    blocks = F.explode(F.sequence(F.lit(0), F.lit(question_blocks - 1)))
+    part = F.xxhash64(*ids)
+    if routes is None:
+        n_parts = _parts_of(F.lit(candidates.count()), dim, candidates)
+        asked = asked.withColumn("_cell", F.lit(0))
+        placed = candidates.withColumn("_cell", F.lit(0)).withColumn("_parts", n_parts)
+        asked = asked.withColumn("_parts", n_parts)
+    else:
+        # Cells that no question visits drop out with their records.
+        visited = routes.select("_cell").distinct()
+        sizes = candidates.join(visited, "_cell", "left_semi").groupBy("_cell").agg(
+            _parts_of(F.count(F.lit(1)), dim, candidates).alias("_parts")
         )
+        sizes = _few_if_bounded(sizes)
+        placed = candidates.join(sizes, "_cell")
+        asked = asked.join(routes, "_qid").join(sizes, "_cell")
+    placed = (
+        placed.withColumn("_part", F.pmod(part, F.col("_parts")))
+        .withColumn("_block", blocks)
         .drop("_parts")
     )
+    asked = asked.withColumn(
+        "_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_parts") - 1))
+    ).drop("_parts")
     schema = to_arrow_schema(found_type)
     place = ["_cell", "_part", "_block"]
 
@@ -350,6 +352,16 @@ def _with_question_blocks(candidates, wanted, routes, k, ids, dim, metric, found
     )
 
 
+def _parts_of(count: Column, dim: int, records: DataFrame) -> Column:
+    """Blocks for so many records: of bounded size, and for a few thousand records
+    or more at least one per core."""
+    cores = records.sparkSession.sparkContext.defaultParallelism
+    most = max(1, RECORD_CELLS // dim)
+    by_size = F.ceil(count / most)
+    by_cores = F.least(F.ceil(count / min(most, 1000)), F.lit(cores).cast("bigint"))
+    return F.greatest(by_size, by_cores, F.lit(1).cast("bigint"))
+
+
 def _few_if_bounded(sizes: DataFrame) -> DataFrame:
     """Sizes of the cells, read once and sent to every task if there are not too many.
 
