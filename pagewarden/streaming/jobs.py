@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from pagewarden.constants import DEFAULT_THRESHOLD
 from pagewarden.operators.index import PageIndex
 from pagewarden.operators.screening import gate_messages
+from pagewarden.plans.chat import converse
 from pagewarden.plans.ingest import ingest
 
 
@@ -29,6 +30,30 @@ def transcript_stream(
     )
 
 
+def chat_stream(
+    messages: DataFrame, index: PageIndex, path: str, checkpoint: str, **options
+) -> DataStreamWriter:
+    """Messages gated and answered as they arrive; the transcript grows a step per batch.
+
+    A batch is answered from the index as it stands then. Repeated, it overwrites
+    its own step.
+    """
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        # Read for the gate, the questions and the answers.
+        batch.persist()
+        rows = converse(batch, index.read(), **options)
+        rows.write.mode("overwrite").partitionBy("role").parquet(f"{path}/step={batch_id}")
+        batch.unpersist()
+
+    return messages.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+
+
+def batch_sizes(query: StreamingQuery) -> list[int]:
+    """Rows taken in by each of the latest micro-batches."""
+    return [step["numInputRows"] for step in query.recentProgress]
+
+
 def ingest_stream(
     files: DataFrame,
     index: PageIndex,

@@ -4,7 +4,10 @@ from pyspark.sql import types as T
 from pagewarden.operators.index import PageIndex, files_of
 from pagewarden.operators.screening import gate_messages
 from pagewarden.sources.requests import upload_stream
+from pagewarden.plans.ingest import ingest
 from pagewarden.streaming.jobs import (
+    batch_sizes,
+    chat_stream,
     ingest_stream,
     latest_counts,
     session_stream,
@@ -68,6 +71,20 @@ def test_lost_checkpoint_doubles_nothing(spark, tmp_path):
     assert index.read().count() == 2
 
 
+def test_chat(spark, tmp_path):
+    folder, out, steps = (str(tmp_path / n) for n in ("in", "out", "steps"))
+    schema = T.StructType([T.StructField("message_id", T.LongType()), T.StructField("text", T.StringType())])
+    index = PageIndex(spark, str(tmp_path / "index"))
+    ingest(spark.createDataFrame([("a", "f", "red apples"), ("a", "g", "green pears")], FILES), index)
+    land(spark, schema, folder, (1, "which apples"), (2, "pears for a@b.com"), (3, "pears"))
+    query = chat_stream(upload_stream(spark, folder, schema), index, out, steps, k=1).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sum(batch_sizes(query)) == 3
+    got = {(r["message_id"], r["role"]): r["content"] for r in spark.read.parquet(out).collect()}
+    assert set(got) == {(1, "user"), (1, "assistant"), (2, "pii_warning"), (3, "user"), (3, "assistant")}
+    assert got[1, "assistant"] == "red apples" and got[3, "assistant"] == "green pears"
+
+
 def test_session_counters(spark, tmp_path):
     folder, out, steps = (str(tmp_path / n) for n in ("in", "out", "steps"))
     land(spark, TURNS, folder, (1, "a"), (1, "b"), (2, "c"))

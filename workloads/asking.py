@@ -11,15 +11,19 @@ from pagewarden.constants import (
     OPENAI_MODELS,
     NO_ANSWER,
     SUMMARY_QUESTION,
+    UNSAFE_MESSAGE,
 )
 from pagewarden.functions.prompts import enrich_prompt as enrich_prompt_of
 from pagewarden.functions.prompts import prompt_template as prompt_template_of
 from pagewarden.operators.chat import message_rows
 from pagewarden.operators.routing import model_catalogue, route
+from pagewarden.operators.screening import bad_pages, screen_documents
 from pagewarden.plans.ask import answer, prompts, retrieve, summarise
+from pagewarden.plans.chat import converse
 from pagewarden.sources.pages import split_pages
 from workloads.inputs import documents, files, page_index, questions, table
-from workloads.sqltext import CONTEXTS, FILES, INDEXED, PAGES, best_pages, quoted, with_
+from workloads import screening
+from workloads.sqltext import CONTEXTS, FILES, INDEXED, PAGES, RULE_TABLE, best_pages, found_in, quoted, with_
 
 SYSTEM_PROMPT = "You answer questions about documents."
 TEMPLATE = "You answer message {turn} of conversation {conversation}."
@@ -43,6 +47,23 @@ def answers(spark, sf_dir):
     return answer(*_asked(spark, sf_dir)).select("question_id", "answer")
 
 
+def chat_messages(spark, sf_dir):
+    """All questions, and for each page with personal data a message that quotes it."""
+    asked = questions(spark, sf_dir).select(
+        F.concat(F.lit("item-"), F.col("question_id").cast("string")).alias("message_id"),
+        F.col("question").alias("text"),
+    )
+    quoted_pages = bad_pages(screen_documents(documents(spark, sf_dir))).select(
+        F.concat_ws("#", "file_path", F.col("page_no").cast("string")).alias("message_id"),
+        F.concat(F.lit("Who is "), F.col("pii_warnings"), F.lit("?")).alias("text"),
+    )
+    return asked.unionByName(quoted_pages)
+
+
+def chat_transcript(spark, sf_dir):
+    return converse(chat_messages(spark, sf_dir), page_index(spark, sf_dir).read())
+
+
 def summaries(spark, sf_dir):
     """One summary per tenant."""
     requests = (
@@ -103,6 +124,7 @@ QUERIES = {
     "answer_prompt": answer_prompt,
     "answers": answers,
     "summaries": summaries,
+    "chat_transcript": chat_transcript,
     "enrich_prompt": enrich_prompt,
     "chat_history": chat_history,
     "prompt_template": prompt_template,
@@ -119,6 +141,11 @@ def _between(template, **columns):
 
 
 _ASKED = with_(*INDEXED, *best_pages(), CONTEXTS)
+_ANSWERS = (
+    _ASKED
+    + f"""SELECT item_id AS question_id, coalesce(best, {quoted(NO_ANSWER)}) AS answer
+FROM benchmark LEFT JOIN contexts ON question_id = item_id"""
+)
 _SUMMARY_QUESTIONS = (
     f"SELECT DISTINCT source AS question_id, {quoted(SUMMARY_QUESTION)} AS question FROM documents"
 )
@@ -137,9 +164,17 @@ FROM benchmark LEFT JOIN contexts ON question_id = item_id""",
     + f"""SELECT item_id AS question_id,
        {_between(ANSWER_PROMPT, context="coalesce(context, '')", question="text")} AS prompt
 FROM benchmark LEFT JOIN contexts ON question_id = item_id""",
-    "answers": _ASKED
-    + f"""SELECT item_id AS question_id, coalesce(best, {quoted(NO_ANSWER)}) AS answer
-FROM benchmark LEFT JOIN contexts ON question_id = item_id""",
+    "answers": _ANSWERS,
+    "chat_transcript": f"""
+WITH quoted_pages AS (
+  SELECT file_path || '#' || page_no AS message_id, 'Who is ' || pii_warnings || '?' AS text
+  FROM ({screening.SQL["pii_warnings"]})),
+{RULE_TABLE},
+{found_in("quoted_pages", "message_id")},
+{screening._described("message_id")}
+SELECT message_id, 'pii_warning' AS role, {quoted(UNSAFE_MESSAGE)} || what AS content FROM described
+UNION ALL SELECT 'item-' || item_id, 'user', text FROM benchmark
+UNION ALL SELECT 'item-' || question_id, 'assistant', answer FROM ({_ANSWERS})""",
     "summaries": with_(
         *INDEXED,
         *best_pages(asked=_SUMMARY_QUESTIONS, visible="WHERE r.unique_id = a.question_id"),

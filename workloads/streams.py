@@ -8,13 +8,14 @@ from pagewarden.schema import MESSAGE
 from pagewarden.session import fresh_path
 from pagewarden.sources.requests import upload_requests, upload_stream
 from pagewarden.streaming.jobs import (
+    chat_stream,
     ingest_stream,
     latest_counts,
     session_stream,
     transcript_stream,
 )
-from workloads import indexing, intake, screening
-from workloads.inputs import as_files, new_index, table
+from workloads import asking, indexing, intake, screening
+from workloads.inputs import as_files, new_index, page_index, table
 
 
 def _stream(spark, sf_dir, name):
@@ -63,11 +64,23 @@ def stream_sessions(spark, sf_dir):
     return latest_counts(spark.read.parquet(path))
 
 
+def stream_chat(spark, sf_dir):
+    """Questions that arrive on a stream, and their answers."""
+    arriving = _stream(spark, sf_dir, "benchmark").select(
+        F.concat(F.lit("item-"), F.col("item_id").cast("string")).alias("message_id"), "text"
+    )
+    path = fresh_path(spark, "chat")
+    index = page_index(spark, sf_dir)
+    _drain(chat_stream(arriving, index, path, fresh_path(spark, "steps")))
+    return spark.read.parquet(path).select("message_id", "role", "content")
+
+
 QUERIES = {
     "stream_message_gate": stream_message_gate,
     "stream_ingest": stream_ingest,
     "stream_uploads": stream_uploads,
     "stream_sessions": stream_sessions,
+    "stream_chat": stream_chat,
 }
 
 SQL = {
@@ -76,5 +89,8 @@ SQL = {
     + ") WHERE origin = 'document'",
     "stream_ingest": indexing.SQL["ingest"],
     "stream_uploads": intake.SQL["upload_events"],
+    "stream_chat": "SELECT * FROM ("
+    + asking.SQL["chat_transcript"]
+    + ") WHERE message_id LIKE 'item-%'",
     "stream_sessions": "SELECT conv_id, count(*) AS n_messages FROM conversations GROUP BY ALL",
 }
