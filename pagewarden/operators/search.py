@@ -324,7 +324,10 @@ def _with_question_blocks(candidates, wanted, routes, k, ids, dim, metric, found
         sizes = candidates.join(visited, "_cell", "left_semi").groupBy("_cell").agg(
             _parts_of(F.count(F.lit(1)), dim, candidates).alias("_parts")
         )
-        sizes = _few_if_bounded(sizes)
+        # Left to the planner, records would be shuffled by cell before it sees
+        # how few the sizes are.
+        sizes, few = pinned(sizes, VISIT_LIMIT)
+        sizes = F.broadcast(sizes) if few else sizes
         placed = candidates.join(sizes, "_cell")
         asked = asked.join(routes, "_qid").join(sizes, "_cell")
     placed = (
@@ -362,16 +365,15 @@ def _parts_of(count: Column, dim: int, records: DataFrame) -> Column:
     return F.greatest(by_size, by_cores, F.lit(1).cast("bigint"))
 
 
-def _few_if_bounded(sizes: DataFrame) -> DataFrame:
-    """Sizes of the cells, read once and sent to every task if there are not too many.
+def pinned(rows: DataFrame, limit: int) -> tuple[DataFrame, bool]:
+    """The rows worked out once and held, if there are at most `limit`, and whether so.
 
-    Left to the planner, records would be shuffled by cell before it sees how
-    few the sizes are.
+    For rows of bounded width: vectors and ids, no texts.
     """
-    few = sizes.limit(VISIT_LIMIT + 1).toArrow()
-    if few.num_rows > VISIT_LIMIT:
-        return sizes
-    return F.broadcast(sizes.sparkSession.createDataFrame(few, sizes.schema))
+    few = rows.limit(limit + 1).toArrow()
+    if few.num_rows > limit:
+        return rows, False
+    return rows.sparkSession.createDataFrame(few, rows.schema), True
 
 
 def _merge(found: DataFrame, k: int, question_id: str, ids: list[str]) -> DataFrame:

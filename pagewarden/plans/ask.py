@@ -15,6 +15,7 @@ from pagewarden.operators.search import (
     QUESTION_LIMIT,
     all_questions,
     nearest,
+    pinned,
     tenant_visits,
     with_records,
 )
@@ -42,7 +43,9 @@ def retrieve(
     """
     if filter_mode not in ("pre", "post"):
         raise ValueError("filter_mode must be 'pre' or 'post'")
-    asked = embedder(questions, "question", "question_embedding")
+    embedded = embedder(questions, "question", "question_embedding")
+    # Used by the search and by the fetching of texts after it.
+    asked, _ = pinned(embedded.select("question_id", "question_embedding"), question_limit)
     by_tenant = "unique_ids" in questions.columns
     pool = records.where(condition) if condition is not None and filter_mode == "pre" else records
     hits = nearest(
@@ -55,7 +58,7 @@ def retrieve(
         visits=tenant_visits(questions) if by_tenant else None,
         question_limit=question_limit,
     )
-    found = with_records(hits, records, questions, k=k)
+    found = with_records(hits, records, asked, k=k)
     if condition is not None and filter_mode == "post":
         found = found.where(condition)
     return found.select("question_id", *HIT_FIELDS)
