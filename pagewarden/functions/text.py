@@ -25,13 +25,26 @@ def page_texts(lines: str, lines_per_page: int = LINES_PER_PAGE) -> Column:
     )
 
 
-def markup_text(html: Column) -> Column:
-    """Readable text of a raw web page. Character entities stay as they are."""
+def with_markup_text(df: DataFrame, html: str, name: str = "text") -> DataFrame:
+    """Add the readable text of raw web pages. Character entities stay as they are.
+
+    Code is looked for up to the last closing tag, and tags up to the last `>`:
+    beyond, every opening would be followed to the end of the page for nothing.
+    """
+    up_to_code_end = F.regexp_extract(html, r"(?is)^.*</(?:script|style|nav)>", 0)
+    staged = df.withColumn("_code", up_to_code_end)
+    after = F.substr(F.col(html), F.length("_code") + 1)
     no_code = F.regexp_replace(
-        html, r"(?is)<(script|style|nav)[^>]*>.*?</(script|style|nav)>", " "
+        "_code", r"(?is)<(script|style|nav)[^>]*>.*?</(script|style|nav)>", " "
+    )
+    staged = staged.withColumn("_plain", F.concat(no_code, after))
+    staged = staged.withColumn("_end", F.substring_index("_plain", ">", -1))
+    tagged = F.left("_plain", F.length("_plain") - F.length("_end"))
+    no_tags = F.concat(F.regexp_replace(tagged, r"(?s)<[^>]+>", " "), F.col("_end"))
+    text = F.trim(F.regexp_replace(no_tags, r"\s+", " "))
+    return staged.withColumn("_text", text).drop("_code", "_plain", "_end").withColumnRenamed(
+        "_text", name
     )
-    no_tags = F.regexp_replace(no_code, r"(?s)<[^>]+>", " ")
-    return F.trim(F.regexp_replace(no_tags, r"\s+", " "))
 
 
 def collapse_space(text: Column) -> Column:

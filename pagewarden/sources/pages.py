@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewarden.constants import LINES_PER_PAGE
-from pagewarden.functions.text import markup_text, page_texts
+from pagewarden.functions.text import page_texts, with_markup_text
 
 
 def page_name(page_no):
@@ -40,8 +40,7 @@ def split_pages(
 
 def web_pages(raw: DataFrame, html: str = "html") -> DataFrame:
     """Raw web pages with their readable text instead of the markup."""
-    others = [c for c in raw.columns if c != html]
-    return raw.select(*others, markup_text(F.col(html)).alias("text"))
+    return with_markup_text(raw, html).drop(html)
 
 
 def read_files(

@@ -1,4 +1,5 @@
 import sys
+import time
 
 import pytest
 from pyspark import cloudpickle
@@ -62,6 +63,15 @@ def test_findings(texts):
         assert hits[name] == [], name
 
 
+def test_long_runs_take_no_long_time(spark):
+    runs = ["x@ " + "aB9" * 70_000, "x@ " + "a+b." * 50_000, "x@" + "a." * 50_000 + "a", "-. @" + "1" * 200_000,
+            "@-" + "1.1" * 70_000, "-" + "555-" * 50_000]
+    df = spark.createDataFrame([(t,) for t in runs], "text string")
+    started = time.time()
+    assert df.select(F.sum(F.size(pii.entities(F.col("text"))))).first()[0] > 0
+    assert time.time() - started < 60
+
+
 def test_raising_the_threshold_adds_nothing(texts):
     low, middle, high = (found(texts, t) for t in (0.6, 0.8, 0.9))
     assert low["date"] == [("2024-01-31", "DATE_TIME")]

@@ -1,4 +1,5 @@
 import hashlib
+import time
 from collections import Counter
 
 import pytest
@@ -6,12 +7,12 @@ from pyspark.sql import functions as F
 
 from pagewarden.constants import PLACEHOLDER_CONTENT
 from pagewarden.functions.text import (
-    markup_text,
     or_placeholder,
     or_zero_vector,
     shares_token,
     vector_entries,
     with_hashed_vector,
+    with_markup_text,
 )
 from pagewarden.sources.pages import read_files, split_pages
 from pagewarden.sources.requests import manifest_requests, upload_requests, with_progress
@@ -35,8 +36,18 @@ def test_placeholder_takes_empty_but_not_blank(spark):
 
 def test_markup(spark):
     html = "<html><STYLE>p{}</STYLE><nav>a</nav><p>One\n two &amp;</p><script>x('<p>')</script></html>"
-    df = spark.createDataFrame([(html,)], "html string")
-    assert df.select(markup_text(F.col("html"))).first()[0] == "One two &amp;"
+    rows = [html, "a < b <p>c</p> < d", "<script>x", "<nav>x</nav><nav>y<b>z", "", None]
+    df = spark.createDataFrame(list(enumerate(rows)), "id int, html string")
+    got = [r["text"] for r in with_markup_text(df, "html").orderBy("id").collect()]
+    assert got == ["One two &amp;", "a c < d", "x", "y z", "", None]
+
+
+def test_open_markup_takes_no_long_time(spark):
+    rows = ["<" * 200_000, "<script>" * 20_000, "a < " * 50_000 + "</nav>" + "<nav>" * 20_000]
+    df = spark.createDataFrame([(r,) for r in rows], "html string")
+    started = time.time()
+    with_markup_text(df, "html").collect()
+    assert time.time() - started < 30
 
 
 def test_hashed_vector_counts_tokens(spark):
