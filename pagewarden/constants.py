@@ -8,6 +8,7 @@ VECTOR_DIM = 1536
 DEFAULT_K = 10
 WIDE_K = 100
 DEFAULT_THRESHOLD = 0.8
+DEFAULT_TEMPERATURE = 0.7
 LINES_PER_PAGE = 10
 TENANT_PAGE_SIZE = 10
 

@@ -30,6 +30,7 @@ from pagewarden.schema import PAGE_KEY, SPARSE_VECTOR, index_record
 from pagewarden.sources.requests import manifest_requests
 
 FILE_KEY = ["unique_id", "file_path"]
+_DELETED = "unique_id string, file_path string, version bigint, batch string"
 _VERSION = re.compile(r"/version=(\d+)/batch=([^/]+)")
 
 
@@ -152,11 +153,9 @@ class PageIndex:
         deletes = self._committed("deletes")
         if not deletes:
             return rows
-        removed = (
-            self.spark.read.option("basePath", f"{self.path}/deletes")
-            .parquet(*deletes)
-            .groupBy(*FILE_KEY)
-            .agg(F.max(F.col("version").cast("bigint")).alias("_until"))
+        reader = self.spark.read.schema(_DELETED).option("basePath", f"{self.path}/deletes")
+        removed = reader.parquet(*deletes).groupBy(*FILE_KEY).agg(
+            F.max("version").alias("_until")
         )
         gone = (
             (rows["unique_id"] == removed["unique_id"])

@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewarden.constants import BEDROCK_MODELS, DEFAULT_MODEL_POSITION, OPENAI_MODELS
+from pagewarden.constants import (
+    BEDROCK_MODELS,
+    DEFAULT_MODEL_POSITION,
+    DEFAULT_TEMPERATURE,
+    OPENAI_MODELS,
+)
 
 
 def model_catalogue(spark: SparkSession) -> DataFrame:
@@ -27,6 +32,16 @@ def limit_key(model_id):
     )
 
 
+def model_settings(
+    model_id, max_tokens: int | None = None, temperature: float = DEFAULT_TEMPERATURE
+):
+    """Settings of a call as a map; the reply length under its family's name, if given."""
+    settings = F.create_map(F.lit("temperature"), F.lit(float(temperature)))
+    if not max_tokens:
+        return settings
+    return F.map_concat(settings, F.create_map(limit_key(model_id), F.lit(float(max_tokens))))
+
+
 def route(
     requests: DataFrame, catalogue: DataFrame, default_model: str | None = None
 ) -> tuple[DataFrame, DataFrame]:

@@ -21,7 +21,7 @@ from pagewarden.operators.models import (
     embed_with,
     refuse_warned,
 )
-from pagewarden.operators.routing import model_catalogue, route
+from pagewarden.operators.routing import model_catalogue, model_settings, route
 from pagewarden.plans.ask import answer, prompts, retrieve, summarise
 from pagewarden.plans.ingest import index_records
 from pagewarden.schema import DENSE_VECTOR
@@ -208,6 +208,13 @@ def test_catalogue_and_routing(spark):
     assert route(wanted, catalogue, "gpt-4")[1].count() == 1
 
 
+def test_model_settings(spark):
+    df = spark.createDataFrame([("us.amazon.nova-pro-v1:0",), ("gpt-4o",)], "m string")
+    rows = [r[0] for r in df.select(model_settings(F.col("m"), 500)).collect()]
+    assert rows == [{"temperature": 0.7, "maxTokenCount": 500.0}, {"temperature": 0.7, "max_tokens": 500.0}]
+    assert df.select(model_settings(F.col("m"))).first()[0] == {"temperature": 0.7}
+
+
 def test_sessions(spark):
     messages = spark.createDataFrame([("s",), ("s",), ("t",)], "session string")
     uploads = spark.createDataFrame([("t",), ("u",)], "session string")

@@ -149,8 +149,9 @@ def retrieval_all_questions(spark, sf_dir):
 
 
 def hits_envelope(spark, sf_dir):
+    """The wide search of an agent's tool."""
     asked = questions(spark, sf_dir)
-    hits = retrieve(page_index(spark, sf_dir).read(), asked)
+    hits = retrieve(page_index(spark, sf_dir).read(), asked, WIDE_K)
     nested = envelope_of(
         all_questions(asked, hits), ["unique_id", "file_path", "page_number", "llm_generated"]
     )
@@ -213,7 +214,7 @@ SQL = {
     )
     + """SELECT item_id AS question_id, count(h.rank) AS n_hits
 FROM benchmark LEFT JOIN hits h ON h.question_id = item_id GROUP BY ALL""",
-    "hits_envelope": with_(*INDEXED, *best_pages())
+    "hits_envelope": with_(*INDEXED, *best_pages(WIDE_K))
     + """SELECT question_id, CAST(rank - 1 AS INTEGER) AS place, file_path, page_number, llm_generated, score
 FROM hits""",
 }
