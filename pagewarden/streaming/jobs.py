@@ -14,14 +14,20 @@ from pagewarden.plans.ingest import ingest
 
 
 def transcript_stream(
-    messages: DataFrame, path: str, checkpoint: str, threshold: float = DEFAULT_THRESHOLD
+    messages: DataFrame,
+    path: str,
+    checkpoint: str,
+    threshold: float = DEFAULT_THRESHOLD,
+    partitions: int | None = None,
 ) -> DataStreamWriter:
     """Gated messages as a growing transcript, one folder per role.
 
-    No state and no shuffle; the file sink writes each message once.
+    No state, and no shuffle unless `partitions` asks to deal the messages out;
+    the file sink writes each message once.
     """
+    dealt = messages.repartition(partitions) if partitions else messages
     return (
-        gate_messages(messages, threshold)
+        gate_messages(dealt, threshold)
         .writeStream.format("parquet")
         .partitionBy("role")
         .option("path", path)

@@ -1,4 +1,3 @@
-import pytest
 from pyspark.sql import types as T
 
 from pagewarden.operators.index import PageIndex, files_of

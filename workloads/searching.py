@@ -15,7 +15,7 @@ from pagewarden.operators.search import (
 )
 from pagewarden.plans.ask import retrieve
 from workloads.inputs import files, page_index, questions, table, vector_questions, vectors
-from workloads.sqltext import COSINE, FILES, INDEXED, INNER, best_pages, best_vectors, with_
+from workloads.sqltext import COSINE, INDEXED, INNER, best_pages, best_vectors, with_
 
 DIM = 64
 LABELS = [0, 1, 2]

@@ -32,7 +32,8 @@ def stream_message_gate(spark, sf_dir):
     """Documents pasted as messages, read back from the transcript."""
     pasted = _stream(spark, sf_dir, "documents").select("doc_id", "text")
     path, checkpoint = fresh_path(spark, "transcript"), fresh_path(spark, "steps")
-    _drain(transcript_stream(pasted, path, checkpoint))
+    cores = spark.sparkContext.defaultParallelism
+    _drain(transcript_stream(pasted, path, checkpoint, partitions=cores))
     return spark.read.parquet(path).select("doc_id", "role", "content")
 
 
