@@ -1,37 +1,59 @@
 """Inverted-file search: vectors are kept in cells, a question looks into the nearest few.
 
-Approximate by choice of `n_probe`; with every cell probed the result is exact.
+Approximate by choice of `n_probe`; with every cell probed the result is exact. An
+index keeps the cell of each record when its embedder ends with `place_in_cells`.
 """
 
-from __future__ import annotations
-
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagewarden.operators.search import _matrix
+from pagewarden.constants import VECTOR_DIM
+from pagewarden.operators.search import MATRIX_CELLS, _matrix
 
 # Cells are learnt from about this many vectors each; all vectors are then placed.
 TRAIN_PER_CELL = 256
 
 
+def _unpacked(vector: str, dim: int) -> Column:
+    """Sparse vectors as arrays of `dim` numbers."""
+
+    @F.arrow_udf("array<double>")
+    def unpack(vectors: pa.Array) -> pa.Array:
+        rows = _matrix(vectors, dim)
+        ends = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * dim)
+        return pa.ListArray.from_arrays(ends, pa.array(rows.ravel()))
+
+    return unpack(F.col(vector))
+
+
 def train_cells(
-    vectors: DataFrame, n_cells: int, vector: str = "embedding", seed: int = 7, iterations: int = 10
+    vectors: DataFrame,
+    n_cells: int,
+    vector: str = "embedding",
+    dim: int = VECTOR_DIM,
+    seed: int = 7,
+    iterations: int = 10,
 ) -> np.ndarray:
-    """Unit centres of `n_cells` cells, as rows. Zero vectors are not learnt from."""
-    usable = vectors.where(F.exists(vector, lambda x: x != 0)).select(
-        array_to_vector(vector).alias("features")
-    )
+    """Unit centres of `n_cells` cells, as rows. Zero vectors are not learnt from.
+
+    `dim` is needed for sparse vectors only.
+    """
+    sparse = isinstance(vectors.schema[vector].dataType, T.StructType)
+    weights = F.col(f"{vector}.values") if sparse else F.col(vector)
+    usable = vectors.where(F.exists(weights, lambda x: x != 0)).select(vector)
     total = usable.count()
     wanted = TRAIN_PER_CELL * n_cells
     if total > wanted:
         usable = usable.sample(min(1.0, wanted / total), seed=seed)
+    numbers = _unpacked(vector, dim) if sparse else F.col(vector)
+    usable = usable.select(array_to_vector(numbers).alias("features"))
     model = KMeans(
         k=n_cells, seed=seed, maxIter=iterations, distanceMeasure="cosine", initMode="k-means||"
     ).fit(usable)
@@ -45,18 +67,28 @@ def place_in_cells(
 ) -> DataFrame:
     """Adds the cell whose centre points most nearly the same way; the first of equals."""
     sent = vectors.sparkSession.sparkContext.broadcast(centres)
-    dim = centres.shape[1]
-    out_type = T.StructType([*vectors.schema.fields, T.StructField(cell, T.IntegerType())])
+    n_cells, dim = centres.shape
+    step = max(64, MATRIX_CELLS // max(n_cells, dim))
+
+    @F.arrow_udf("int")
+    def place(batch: pa.Array) -> pa.Array:
+        places = [
+            (_matrix(batch.slice(at, step), dim) @ sent.value.T).argmax(axis=1)
+            for at in range(0, len(batch), step)
+        ]
+        return pa.array(np.concatenate([np.zeros(0), *places]).astype(np.int32))
+
+    return vectors.withColumn(cell, place(F.col(vector)))
+
+
+def write_centres(spark: SparkSession, centres: np.ndarray, path: str) -> None:
+    rows = [(i, [float(x) for x in row]) for i, row in enumerate(centres)]
+    spark.createDataFrame(rows, "cell int, centre array<double>").write.parquet(path)
 
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            nearest = (_matrix(batch.column(vector), dim) @ sent.value.T).argmax(axis=1)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(nearest.astype(np.int32))],
-                names=[*batch.schema.names, cell],
-            )
 
-    return vectors.mapInArrow(place, out_type)
+def read_centres(spark: SparkSession, path: str) -> np.ndarray:
+    """Centres as `write_centres` wrote them: as many rows as there are cells."""
+    return np.array([row["centre"] for row in spark.read.parquet(path).orderBy("cell").collect()])
 
 
 def cell_visits(

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagewarden.constants import DEFAULT_K, SUMMARY_QUESTION, VECTOR_DIM
 from pagewarden.functions.prompts import answer_prompt, context_text
 from pagewarden.functions.text import with_hashed_vector
+from pagewarden.operators.cells import cell_visits
 from pagewarden.operators.models import answer_with, best_hit_answer
 from pagewarden.operators.search import (
     QUESTION_LIMIT,
@@ -33,20 +35,29 @@ def retrieve(
     embedder: Callable[[DataFrame, str, str], DataFrame] = with_hashed_vector,
     dim: int = VECTOR_DIM,
     metric: str = "cosine",
+    centres: np.ndarray | None = None,
+    n_probe: int = 8,
     question_limit: int = QUESTION_LIMIT,
 ) -> DataFrame:
     """Best pages for (question_id, question[, unique_ids]) rows, one row per hit.
 
     A question with `unique_ids` sees pages of those tenants only. `condition`
     cuts the pages before the search (`pre`) or the k hits after it (`post`,
-    which may leave fewer than k).
+    which may leave fewer than k). With `centres`, only records in the `n_probe`
+    cells nearest to a question are compared, so near pages may be missed.
     """
     if filter_mode not in ("pre", "post"):
         raise ValueError("filter_mode must be 'pre' or 'post'")
     embedded = embedder(questions, "question", "question_embedding")
     # Used by the search and by the fetching of texts after it.
     asked, _ = pinned(embedded.select("question_id", "question_embedding"), question_limit)
-    by_tenant = "unique_ids" in questions.columns
+    cell = visits = None
+    if "unique_ids" in questions.columns:
+        cell, visits = "unique_id", tenant_visits(questions)
+    if centres is not None:
+        if cell:
+            raise ValueError("search by cells, or within tenants")
+        cell, visits = "cell", cell_visits(asked, centres, n_probe)
     pool = records.where(condition) if condition is not None and filter_mode == "pre" else records
     hits = nearest(
         pool,
@@ -54,8 +65,8 @@ def retrieve(
         k,
         dim=dim,
         metric=metric,
-        cell="unique_id" if by_tenant else None,
-        visits=tenant_visits(questions) if by_tenant else None,
+        cell=cell,
+        visits=visits,
         question_limit=question_limit,
     )
     found = with_records(hits, records, asked, k=k)

@@ -54,6 +54,7 @@ def index_record(vector: T.DataType = SPARSE_VECTOR) -> T.StructType:
             T.StructField("contains_pii", T.BooleanType()),
             T.StructField("model_id", T.StringType()),
             T.StructField("text_embedding", vector),
+            T.StructField("cell", T.IntegerType()),
             T.StructField("unique_id", T.StringType()),
         ]
     )

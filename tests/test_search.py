@@ -3,7 +3,15 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagewarden.operators import search
-from pagewarden.operators.cells import cell_visits, place_in_cells, train_cells
+from pagewarden.functions.text import with_hashed_vector
+from pagewarden.operators.cells import (
+    cell_visits,
+    place_in_cells,
+    read_centres,
+    train_cells,
+    write_centres,
+)
+from pagewarden.operators.index import PageIndex
 from pagewarden.operators.search import (
     all_questions,
     hits_envelope,
@@ -11,6 +19,9 @@ from pagewarden.operators.search import (
     where_clauses,
     with_records,
 )
+from pagewarden.plans.ask import retrieve
+from pagewarden.plans.ingest import index_records
+from pagewarden.sources.pages import split_pages
 
 DIM = 8
 
@@ -126,6 +137,32 @@ def test_all_cells_is_exact_and_fewer_is_a_share(spark, data):
     assert recall[1] > 0.5 * recall[2]
 
 
+def test_index_by_cells(spark, tmp_path):
+    docs = spark.createDataFrame(
+        [("a", f"f{i}", " ".join([f"w{i % 3}"] * 3 + [f"x{i}"])) for i in range(30)],
+        "unique_id string, file_path string, text string",
+    )
+    plain = index_records(split_pages(docs))
+    write_centres(spark, train_cells(plain, 3, "text_embedding"), str(tmp_path / "centres"))
+    centres = read_centres(spark, str(tmp_path / "centres"))
+    assert centres.shape == (3, 1536)
+
+    def embed(df, column):
+        return place_in_cells(with_hashed_vector(df, column), centres, "text_embedding")
+
+    index = PageIndex(spark, str(tmp_path / "index"))
+    index.append(index_records(split_pages(docs), embedder=embed))
+    asked = spark.createDataFrame([(1, "w1 x4"), (2, "w2")], "question_id int, question string")
+
+    def hits(**options):
+        return sorted(map(tuple, retrieve(index.read(), asked, 5, **options).collect()))
+
+    assert hits(centres=centres, n_probe=3) == hits()
+    scored = retrieve(index.read(), asked, 30).select("question_id", "file_path", "score")
+    some = retrieve(index.read(), asked, 5, centres=centres, n_probe=1).select(scored.columns)
+    assert 0 < some.count() <= 10 and {*some.collect()} <= {*scored.collect()}
+
+
 def test_filter_after_is_part_of_the_unfiltered(data):
     rows, _, records, asked = data
     hits = run(data)

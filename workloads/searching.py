@@ -91,6 +91,16 @@ def text_retrieval(spark, sf_dir):
     return hits.select("question_id", "rank", "unique_id", "file_path", "page_no", "score")
 
 
+def text_cells_all(spark, sf_dir):
+    """Text search over cells learnt from the page vectors, all of them probed."""
+    records = page_index(spark, sf_dir).read()
+    n_cells = min(4096, max(4, int(records.count() ** 0.5)))
+    centres = train_cells(records, n_cells, "text_embedding", iterations=3)
+    placed = place_in_cells(records, centres, "text_embedding")
+    hits = retrieve(placed, questions(spark, sf_dir), centres=centres, n_probe=n_cells)
+    return hits.select("question_id", "rank", "unique_id", "file_path", "page_no", "score")
+
+
 def _tenant_questions(spark, sf_dir):
     """A question may see the tenant of the document of the same number."""
     owners = files(spark, sf_dir).select(
@@ -175,6 +185,7 @@ QUERIES = {
     "knn_cells": knn_cells,
     "knn_cells_all": knn_cells_all,
     "text_retrieval": text_retrieval,
+    "text_cells_all": text_cells_all,
     "tenant_filter": tenant_filter,
     "tenant_filter_blocks": tenant_filter_blocks,
     "bool_filter": bool_filter,
@@ -201,6 +212,7 @@ SQL = {
     "knn_filtered_post": best_vectors(10, COSINE, after=_LABELS),
     "knn_cells_all": best_vectors(10, COSINE),
     "text_retrieval": with_(*INDEXED, *best_pages()) + _HIT,
+    "text_cells_all": with_(*INDEXED, *best_pages()) + _HIT,
     "tenant_filter": _TENANT + _HIT,
     "tenant_filter_blocks": _TENANT + _HIT,
     "bool_filter": with_(*INDEXED, *best_pages(visible=f"WHERE {_CLAUSES}")) + _HIT,
