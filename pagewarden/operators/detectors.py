@@ -23,7 +23,7 @@ def detect_with(
 ) -> DataFrame:
     """Adds `found` (listed findings) and `detect_error`.
 
-    `load` runs once per Python worker and returns a function from a text to a
+    `load` runs once per task and returns a function from a text to a
     list of dicts with `entity_group`, `word` and `score`. A text the detector
     fails on counts as safe with `on_error="open"`, as in the reference, and as
     unsafe with `"closed"`; either way `detect_error` tells, so it can be counted.

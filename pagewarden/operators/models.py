@@ -1,7 +1,7 @@
 """Describing, embedding and answering: slots for models, and rules that stand in.
 
 The stand-ins are fixed text rules, not language models. A plugged-in model is a
-function that loads a client; it runs once per Python worker.
+function that loads a client; it runs once per task.
 """
 
 from __future__ import annotations
