@@ -6,16 +6,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from pagewarden.llm import bpe, lines, mixing
+from pagewarden.llm import bpe, language, lines, minhash, mixing
+from pagewarden.llm.names import own
 from pagewarden.llm.queries import vocabulary
 from pagewarden.session import fresh_path
 
 
+# With no language clearly ahead of the others a text is in none of those learnt.
+LEAST_SCORE = 0.3
+
+
+def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that was learnt; null, empty and letterless texts go."""
+    known = (F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)
+    return language.identify(docs).where(known).select(docs.columns)
+
+
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that many documents share stay in one of them."""
     return lines.drop_shared_lines(docs).select(docs.columns)
 
 
+def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, that with the least id."""
+    (gone,) = own(docs, "gone")
+    copies = minhash.near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(copies, F.col("doc_id") == F.col(gone), "left_anti").select(docs.columns)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, written in the order of the mix."""
     return mixing.in_order(mixing.mix(docs)).select(docs.columns)
@@ -37,7 +55,9 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("language", keep_languages),
     ("line_dedup", drop_lines),
+    ("near_duplicates", keep_first_copies),
     ("mix_sources", mix_sources),
     ("encode", encode),
 ]

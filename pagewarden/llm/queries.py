@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewarden.llm import bands, bpe, lines, mixing
+from pagewarden.llm import bands, bpe, html, language, lines, minhash, mixing, pii, polytope, suffixes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,10 +29,38 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.find(docs, pii.learn(docs)).drop("text")
+
+
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffixes.remove_repeats(docs).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
+def op5_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return polytope.link(table(spark, sf_dir, "embeddings"))
+
+
 def op6_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bands.judge(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    trees = html.train(html.sample(pages))
+    return html.extract(pages, trees).select(
+        "page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars")
+    )
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return lines.drop_shared_lines(docs).select(
@@ -47,7 +75,7 @@ OP8_SQL = r"""
 WITH split AS (
     SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents
 ), lines AS (
-    SELECT doc_id, unnest(parts) AS line, unnest(range(len(parts))) AS at FROM split
+    SELECT doc_id, unnest(parts) AS line, unnest(range(len(parts))) AS pos FROM split
 ), keyed AS (
     SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
                         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
@@ -56,11 +84,11 @@ WITH split AS (
     SELECT key, max(doc_id) AS keeper FROM keyed WHERE length(key) >= 40
     GROUP BY key HAVING count(DISTINCT doc_id) >= 5
 ), marked AS (
-    SELECT k.doc_id, k.line, k.at, s.key IS NOT NULL AND k.doc_id <> s.keeper AS gone
+    SELECT k.doc_id, k.line, k.pos, s.key IS NOT NULL AND k.doc_id <> s.keeper AS gone
     FROM keyed k LEFT JOIN shared s ON k.key = s.key
 )
 SELECT doc_id, count(*) AS n_lines, CAST(sum(CAST(gone AS INT)) AS BIGINT) AS n_dropped,
-       sha256(coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (WHERE NOT gone), '')) AS kept_sha256
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
 """
 
@@ -70,11 +98,22 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).drop("text")
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return language.identify(docs).select("doc_id", "held_out", "lang_pred", "score")
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
+    "op2_pii": op2_pii,
+    "op3_near_duplicates": op3_near_duplicates,
+    "op4_repeated_passages": op4_repeated_passages,
+    "op5_embedding_duplicates": op5_embedding_duplicates,
     "op6_compression_bands": op6_compression_bands,
+    "op7_main_text": op7_main_text,
     "op8_line_dedup": op8_line_dedup,
     "op9_mix_sources": op9_mix_sources,
+    "op10_language": op10_language,
 }
 
 SQL = {"op8_line_dedup": OP8_SQL}
