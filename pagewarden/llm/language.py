@@ -34,6 +34,8 @@ WARM_UP = 8
 # Bytes that are read side by side.
 GROUP_BYTES = 1 << 19
 UNKNOWN = "und"
+# Stands for bytes before and behind a text.
+OUTSIDE = 256
 # The classifier learns from at most this many documents, and so many bytes of each.
 SAMPLE_DOCUMENTS = 2400
 SAMPLE_BYTES = 384
@@ -48,8 +50,10 @@ class Layer:
         h = cells
         self.cells = h
         # Rows: update gate, reset gate, candidate.
-        self.embed = rng.normal(0, 0.3, (256, 3 * h)).astype(np.float32)
+        self.embed = rng.normal(0, 0.3, (257, 3 * h)).astype(np.float32)
         self.embed[:, : 2 * h] *= 0.5
+        # Outside a text the update gate is shut and the state stays as it is.
+        self.embed[OUTSIDE, :h] = -1e4
         self.gate = rng.normal(0, 0.5 / np.sqrt(h), (2 * h, h)).astype(np.float32)
         self.cand = rng.normal(0, 1 / np.sqrt(h), (h, h)).astype(np.float32)
 
@@ -211,7 +215,8 @@ def _predict_rows(network: Network, buf: np.ndarray, offsets: np.ndarray) -> np.
         steps = np.arange(-WARM_UP, longest + WARM_UP)
         at = lo[which][None, :] + steps[:, None]
         inside = (at >= offsets[:-1][row[which]]) & (at < offsets[1:][row[which]])
-        data = np.where(inside, buf[np.clip(at, 0, len(buf) - 1)], 0).astype(np.intp)
+        data = buf[np.clip(at, 0, len(buf) - 1)].astype(np.intp)
+        data[~inside] = OUTSIDE
         owned = ((steps[:, None] >= 0) & (at < hi[which])).astype(np.float32)
         for k, total in enumerate(network.pooled(data, owned)):
             sums[:, k] += np.bincount(row[which], weights=total, minlength=len(sizes))

@@ -84,7 +84,7 @@ def _throw(row, element, weight, until, k, best, entry) -> None:
         low, dense = float(2**level - 1), float(2**level)
         live = live[weight[live] > low]
         at, time = live, np.zeros(len(live))
-        seed = mix(element[at] + np.uint64(level) * np.uint64(0xD1B54A32D192ED03))
+        seed = mix(element[at] + np.uint64(level * 0xD1B54A32D192ED03 % 2**64))
         while len(at):
             seed = mix(seed)
             time = time - np.log(_uniform(seed)) / dense

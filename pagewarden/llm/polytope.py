@@ -147,8 +147,10 @@ def _meet(least: float, visits: int):
         table = rows["t"].to_numpy()
         home = rows["home"].to_numpy(zero_copy_only=False)
         n = len(ids)
-        units = _unit_rows(rows["vector"].combine_chunks())[1]
-        (_, units), = units.values()
+        by_size = _unit_rows(rows["vector"].combine_chunks())[1]
+        units = np.zeros((n, max(by_size)))
+        for size, (which, some) in by_size.items():
+            units[which, :size] = some
         homes = rows["homes"].combine_chunks().flatten().to_numpy().reshape(n, -1)
         visited = rows["visited"].combine_chunks().flatten().to_numpy().reshape(n, homes.shape[1], visits)
         bucket = rows["bucket"].to_numpy()
