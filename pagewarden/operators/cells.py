@@ -1,7 +1,8 @@
 """Inverted-file search: vectors are kept in cells, a question looks into the nearest few.
 
-Approximate by choice of `n_probe`; with every cell probed the result is exact. An
-index keeps the cell of each record when its embedder ends with `place_in_cells`.
+Approximate by choice of `n_probe`; with every cell probed the search is the exact one. An
+index keeps the cell of each record when its embedder ends with `place_in_cells`. Records
+without a cell are compared with every question.
 """
 
 from collections.abc import Iterator
@@ -17,9 +18,6 @@ from pyspark.sql import types as T
 from pagewarden.constants import VECTOR_DIM
 from pagewarden.operators.search import MATRIX_CELLS, _matrix
 
-# Cells are learnt from about this many vectors each; all vectors are then placed.
-TRAIN_PER_CELL = 256
-
 
 def _unpacked(vector: str, dim: int) -> Column:
     """Sparse vectors as arrays of `dim` numbers."""
@@ -41,17 +39,16 @@ def train_cells(
     seed: int = 7,
     iterations: int = 10,
 ) -> np.ndarray:
-    """Unit centres of `n_cells` cells, as rows. Zero vectors are not learnt from.
+    """Unit centres of `n_cells` cells, as rows, learnt from all vectors.
+
+    Vectors that are zero or hold elements that are null or not finite are left out.
 
     `dim` is needed for sparse vectors only.
     """
     sparse = isinstance(vectors.schema[vector].dataType, T.StructType)
     weights = F.col(f"{vector}.values") if sparse else F.col(vector)
-    usable = vectors.where(F.exists(weights, lambda x: x != 0)).select(vector)
-    total = usable.count()
-    wanted = TRAIN_PER_CELL * n_cells
-    if total > wanted:
-        usable = usable.sample(min(1.0, wanted / total), seed=seed)
+    sound = F.exists(weights, lambda x: x != 0) & F.forall(weights, lambda x: F.abs(x) < float("inf"))
+    usable = vectors.where(sound).select(vector)
     numbers = _unpacked(vector, dim) if sparse else F.col(vector)
     usable = usable.select(array_to_vector(numbers).alias("features"))
     model = KMeans(

@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from pagewarden.constants import TENANT_PAGE_SIZE
 from pagewarden.functions.text import shares_token
-from pagewarden.schema import PAGE_KEY, SPARSE_VECTOR, index_record
+from pagewarden.schema import PAGE_KEY, PLACE, SPARSE_VECTOR, index_record
 from pagewarden.sources.requests import manifest_requests
 
 FILE_KEY = ["unique_id", "file_path"]
@@ -143,7 +143,12 @@ class PageIndex:
             folders.append(T.StructField("bucket", T.IntegerType()))
         schema = T.StructType([*self.schema.fields, *folders])
         reader = self.spark.read.schema(schema).option("basePath", f"{self.path}/records")
-        return reader.parquet(*places)
+        rows = reader.parquet(*places)
+        return rows.select(
+            "*",
+            F.col("_metadata.file_path").alias(PLACE[0]),
+            F.col("_metadata.row_index").alias(PLACE[1]),
+        )
 
     def _versioned(self) -> DataFrame:
         places = self._committed("records")
@@ -153,6 +158,13 @@ class PageIndex:
         deletes = self._committed("deletes")
         if not deletes:
             return rows
+        # Records newer than the last delete are not compared with any.
+        last = max(int(_VERSION.search(place)[1]) for place in deletes)
+        newer = [place for place in places if int(_VERSION.search(place)[1]) >= last]
+        older = [place for place in places if place not in set(newer)]
+        if not older:
+            return rows
+        rows = self._scan(older)
         reader = self.spark.read.schema(_DELETED).option("basePath", f"{self.path}/deletes")
         removed = reader.parquet(*deletes).groupBy(*FILE_KEY).agg(
             F.max("version").alias("_until")
@@ -162,10 +174,15 @@ class PageIndex:
             & (rows["file_path"] == removed["file_path"])
             & (rows["version"] < removed["_until"])
         )
-        return rows.join(removed, gone, "left_anti")
+        left = rows.join(removed, gone, "left_anti")
+        return left.unionByName(self._scan(newer)) if newer else left
 
     def read(self, unique_ids: list[str] | None = None) -> DataFrame:
         """All records that are not deleted, or those of some tenants."""
+        return self.placed(unique_ids).drop(*PLACE)
+
+    def placed(self, unique_ids: list[str] | None = None) -> DataFrame:
+        """As `read`, each record with its place, which tells equal records apart."""
         rows = self._versioned()
         if unique_ids is not None:
             rows = rows.where(F.col("unique_id").isin(list(unique_ids)))
@@ -174,7 +191,7 @@ class PageIndex:
                 rows = rows.where(
                     F.col("bucket").isin([self._bucket(F.lit(name)) for name in unique_ids])
                 )
-        return rows.select(*self.schema.fieldNames())
+        return rows.select(*self.schema.fieldNames(), *PLACE)
 
     # -- listing ----------------------------------------------------------
 

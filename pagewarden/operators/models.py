@@ -6,8 +6,11 @@ function that loads a client; it runs once per task.
 
 from __future__ import annotations
 
+import threading
+import time
+from collections import deque
 from collections.abc import Callable, Iterator
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import Future
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -37,7 +40,8 @@ def complete_with(
 ) -> DataFrame:
     """Adds a model's reply to a prompt column; the fallback text where it fails.
 
-    No row is lost to a failing call. `partitions` spreads the rows first, for
+    No row is lost to a failing call, and a call that hangs holds up none but itself: it
+    gives its place to the next one when its time is over. `partitions` spreads the rows first, for
     calls so slow that one long file must not hold up a task.
     """
 
@@ -54,18 +58,27 @@ def complete_with(
                         return fallback
             return fallback
 
-        pool = ThreadPoolExecutor(max_workers=CALLS_AT_ONCE)
-        try:
-            for batch in prompts:
-                replies = []
-                for call in [pool.submit(attempt, text) for text in batch]:
-                    try:
-                        replies.append(call.result(timeout=timeout * tries))
-                    except Exception:
-                        replies.append(fallback)
-                yield pd.Series(replies, index=batch.index, dtype=object)
-        finally:
-            pool.shutdown(wait=False, cancel_futures=True)
+        def begin(text: str) -> tuple[Future, float]:
+            reply: Future = Future()
+            # A thread of its own: one that hangs takes no worker from the others.
+            threading.Thread(target=lambda: reply.set_result(attempt(text)), daemon=True).start()
+            return reply, time.monotonic() + timeout * tries
+
+        def settle(reply: Future, until: float) -> str:
+            try:
+                return reply.result(timeout=max(0.0, until - time.monotonic()))
+            except Exception:
+                return fallback
+
+        for batch in prompts:
+            replies: list[str] = []
+            running: deque = deque()
+            for text in batch:
+                if len(running) == CALLS_AT_ONCE:
+                    replies.append(settle(*running.popleft()))
+                running.append(begin(text))
+            replies += [settle(*call) for call in running]
+            yield pd.Series(replies, index=batch.index, dtype=object)
 
     spread = df.repartition(partitions) if partitions else df
     return spread.withColumn(name, run(F.col(prompt)))

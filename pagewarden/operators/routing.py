@@ -24,12 +24,8 @@ def model_catalogue(spark: SparkSession) -> DataFrame:
 
 def limit_key(model_id):
     """Name of the reply-length setting in the model's family."""
-    lowered = F.lower(model_id)
-    return (
-        F.when(lowered.contains("anthropic"), F.lit("max_tokens"))
-        .when(lowered.contains("amazon"), F.lit("maxTokenCount"))
-        .otherwise(F.lit("max_tokens"))
-    )
+    camel = F.lower(model_id).contains("amazon") & ~F.lower(model_id).contains("anthropic")
+    return F.when(camel, F.lit("maxTokenCount")).otherwise(F.lit("max_tokens"))
 
 
 def model_settings(

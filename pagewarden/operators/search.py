@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from pagewarden.constants import DEFAULT_K, VECTOR_DIM
-from pagewarden.schema import PAGE_KEY
+from pagewarden.schema import PAGE_KEY, PLACE
 
 QUESTION_LIMIT = 4096
 VISIT_LIMIT = 1_000_000
@@ -44,7 +44,8 @@ def _numbers(values: pa.Array) -> np.ndarray:
 
 
 def _matrix(vectors: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
-    """Rows of doubles. A missing vector, or one of the wrong length, is all zeros."""
+    """Rows of doubles. A missing vector, one of the wrong length, or one with an element
+    that is null or not finite, is all zeros."""
     return _matrix_and_lengths(vectors, dim)[0]
 
 
@@ -72,7 +73,7 @@ def _matrix_and_lengths(
             rows, places, weights = rows[kept], places[kept], weights[kept]
         out = np.zeros((n, dim if used is None else len(used)))
         out[rows, places] = weights
-        return out, lengths
+        return _finite(out, lengths)
     out = np.zeros((n, dim))
     if n:
         sizes = _numbers(vectors.value_lengths().fill_null(0))
@@ -80,9 +81,18 @@ def _matrix_and_lengths(
         whole = sizes == dim
         out[whole] = flat[np.repeat(whole, sizes)].reshape(-1, dim)
     lengths = np.sqrt(np.einsum("ij,ij->i", out, out))
+    out, lengths = _finite(out, lengths)
     return (out if used is None else out[:, used]), lengths
 
 
+def _finite(rows: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A vector with an element that is null or no finite number counts as all zeros."""
+    bad = ~np.isfinite(lengths)
+    if bad.any():
+        rows[bad], lengths[bad] = 0.0, 0.0
+    return rows, lengths
+
+
 class _Questions:
     """Vectors of the questions, cut to the places any of them uses."""
 
@@ -407,13 +417,19 @@ def with_records(
     """Hits with the columns of their records.
 
     Texts are fetched for the hits only. A question has at most k hits, so up to
-    `hit_limit` of them in all are broadcast, and the records stay in place; with
-    more the planner chooses.
+    `hit_limit` of them in all are worked out once and broadcast, and the records stay in
+    place; with more the planner chooses. Records that carry their place (file and row)
+    are found by it: equal keys stay apart, and only files that hold hits are read.
     """
-    most = hit_limit // k
-    few = questions.limit(most + 1).count() <= most
-    small = F.broadcast(hits) if few else hits
-    return records.join(small, ids)
+    hits, few = pinned(hits, hit_limit)
+    if not few:
+        return records.join(hits, ids)
+    if set(PLACE) <= set(ids):
+        files = [row[0] for row in hits.select(PLACE[0]).distinct().collect()]
+        if len(files) <= PRUNE_LIMIT:
+            records = records.where(F.col(PLACE[0]).isin(files))
+        return records.drop(*PAGE_KEY).join(F.broadcast(hits), PLACE)
+    return records.join(F.broadcast(hits), ids)
 
 
 def all_questions(questions: DataFrame, hits: DataFrame, question_id: str = "question_id") -> DataFrame:

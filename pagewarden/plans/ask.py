@@ -21,7 +21,9 @@ from pagewarden.operators.search import (
     tenant_visits,
     with_records,
 )
+from pagewarden.schema import PAGE_KEY, PLACE
 
+NO_CELL = "none"
 HIT_FIELDS = ["rank", "unique_id", "file_path", "page_no", "page_number", "llm_generated", "score"]
 
 
@@ -44,32 +46,46 @@ def retrieve(
     A question with `unique_ids` sees pages of those tenants only. `condition`
     cuts the pages before the search (`pre`) or the k hits after it (`post`,
     which may leave fewer than k). With `centres`, only records in the `n_probe`
-    cells nearest to a question are compared, so near pages may be missed.
+    cells nearest to a question, and those without a cell, are compared, so near
+    pages may be missed; tenants and cells go together. Records read by
+    `PageIndex.placed` may be equal in all they hold and stay apart.
     """
     if filter_mode not in ("pre", "post"):
         raise ValueError("filter_mode must be 'pre' or 'post'")
     embedded = embedder(questions, "question", "question_embedding")
     # Used by the search and by the fetching of texts after it.
     asked, _ = pinned(embedded.select("question_id", "question_embedding"), question_limit)
+    pool = records.where(condition) if condition is not None and filter_mode == "pre" else records
     cell = visits = None
     if "unique_ids" in questions.columns:
         cell, visits = "unique_id", tenant_visits(questions)
-    if centres is not None:
+    # With every cell probed there is nothing to leave out.
+    if centres is not None and n_probe < len(centres):
+        near = cell_visits(asked, centres, n_probe).withColumn("cell", F.col("cell").cast("string"))
+        unplaced = asked.select("question_id", F.lit(NO_CELL).alias("cell"))
+        near = near.unionByName(unplaced)
+        place = F.coalesce(F.col("cell").cast("string"), F.lit(NO_CELL))
         if cell:
-            raise ValueError("search by cells, or within tenants")
-        cell, visits = "cell", cell_visits(asked, centres, n_probe)
-    pool = records.where(condition) if condition is not None and filter_mode == "pre" else records
+            both = visits.join(near, "question_id")
+            visits = both.select("question_id", F.concat_ws("/", "cell", "unique_id").alias("_visit"))
+            pool = pool.withColumn("_visit", F.concat_ws("/", place, "unique_id"))
+        else:
+            visits = near.withColumnRenamed("cell", "_visit")
+            pool = pool.withColumn("_visit", place)
+        cell = "_visit"
+    ids = [*PAGE_KEY, *(PLACE if set(PLACE) <= set(records.columns) else [])]
     hits = nearest(
         pool,
         asked,
         k,
+        ids=ids,
         dim=dim,
         metric=metric,
         cell=cell,
         visits=visits,
         question_limit=question_limit,
     )
-    found = with_records(hits, records, asked, k=k)
+    found = with_records(hits, records, asked, k=k, ids=ids)
     if condition is not None and filter_mode == "post":
         found = found.where(condition)
     return found.select("question_id", *HIT_FIELDS)

@@ -40,6 +40,8 @@ SPARSE_VECTOR = T.StructType(
 )
 DENSE_VECTOR = T.ArrayType(T.FloatType())
 
+# Where a stored record stands: its file, and its row in that.
+PLACE = ["record_file", "record_row"]
 PAGE_KEY = ["unique_id", "file_path", "page_no"]
 
 

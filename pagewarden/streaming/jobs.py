@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
@@ -48,10 +50,13 @@ def chat_stream(
     def run(batch: DataFrame, batch_id: int) -> None:
         # Read for the gate, the questions and the answers.
         batch.persist()
-        rows = converse(batch, index.read(), **options)
-        rows.write.mode("overwrite").partitionBy("role").parquet(f"{path}/step={batch_id}")
-        batch.unpersist()
+        try:
+            rows = converse(batch, index.placed(), **options)
+            rows.write.mode("overwrite").partitionBy("role").parquet(f"{path}/step={origin}-{batch_id}")
+        finally:
+            batch.unpersist()
 
+    origin = stream_origin(messages.sparkSession, checkpoint)
     return messages.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
 
 
@@ -60,24 +65,45 @@ def batch_sizes(query: StreamingQuery) -> list[int]:
     return [step["numInputRows"] for step in query.recentProgress]
 
 
+def stream_origin(spark: SparkSession, checkpoint: str) -> str:
+    """A name for the batches of one checkpoint, kept beside it.
+
+    The numbers of batches start anew with every checkpoint; the name keeps batches of
+    two streams, or of a stream that lost its checkpoint, from overwriting each other.
+    """
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint.rstrip('/')}/origin")
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [s.getPath().getName() for s in (system.listStatus(place) if system.exists(place) else [])]
+    if found:
+        return found[0]
+    name = uuid.uuid4().hex
+    system.mkdirs(spark._jvm.org.apache.hadoop.fs.Path(place, name))
+    return name
+
+
 def ingest_stream(
     files: DataFrame,
     index: PageIndex,
     checkpoint: str,
     name: str = "uploads",
     partitions: int | None = None,
+    replace: bool = True,
     **options,
 ) -> DataStreamWriter:
     """Index arriving files. A repeated micro-batch overwrites its own records.
 
+    A file that arrives again, in this stream or another or after the checkpoint was
+    lost, replaces its earlier records, unless `replace` is off.
+
     `partitions` deals the rows of each micro-batch out first, for streams whose
     rows come in few large files.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         dealt = batch.repartition(partitions) if partitions else batch
-        ingest(dealt, index, batch_id=f"{name}-{batch_id}", **options)
+        ingest(dealt, index, batch_id=f"{name}-{origin}-{batch_id}", replace=replace, **options)
 
+    origin = stream_origin(files.sparkSession, checkpoint)
     return files.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
 
 
@@ -95,8 +121,9 @@ def session_stream(
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/step={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{path}/step={origin}-{batch_id}")
 
+    origin = stream_origin(messages.sparkSession, checkpoint)
     return (
         session_counts(messages, session)
         .writeStream.outputMode("update")

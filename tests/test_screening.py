@@ -24,11 +24,11 @@ from pagewarden.operators.screening import (
 from pagewarden.sources.pages import split_pages
 
 TEXTS = {
-    "safe": "What is the capital of France?",
-    "business": "The quarterly report shows increased revenue and customer satisfaction",
-    "both": "My email is john.doe@example.com and my phone is 555-1234",
-    "phones": "Call me at (555) 123-4567 or 555-123-4567",
-    "mail": "Contact me at user@example.com for more information",
+    "safe": "Which harbours does the northern ferry call at?",
+    "business": "The orchard had a better harvest than in the two years before",
+    "both": "Reach Ada at ada.l@mill.example or dial 555-8642",
+    "phones": "The office has (555) 867-5310 and 555-867-5311",
+    "mail": "Questions go to desk@library.example until Friday",
     "ssn": "It is 123-45-6789.",
     "secret": "key " + "0a" * 20,
     "date": "due 2024-01-31",
@@ -54,10 +54,10 @@ def found(texts, threshold=0.8):
 def test_findings(texts):
     hits = found(texts)
     assert hits["both"] == [
-        ("john.doe@example.com", "EMAIL_ADDRESS"),
-        ("555-1234", "PHONE_NUMBER"),
+        ("ada.l@mill.example", "EMAIL_ADDRESS"),
+        ("555-8642", "PHONE_NUMBER"),
     ]
-    assert hits["phones"] == [("(555) 123-4567", "PHONE_NUMBER"), ("555-123-4567", "PHONE_NUMBER")]
+    assert hits["phones"] == [("(555) 867-5310", "PHONE_NUMBER"), ("555-867-5311", "PHONE_NUMBER")]
     assert hits["ssn"] == [("123-45-6789", "SSN")]
     for name in ("safe", "business", "secret", "date", "null", "empty"):
         assert hits[name] == [], name
@@ -92,7 +92,7 @@ def test_messages(texts):
     rows = {r["name"]: r for r in message_verdicts(texts).collect()}
     assert rows["safe"]["is_safe"] and rows["safe"]["message"] == SAFE_MESSAGE
     assert not rows["mail"]["is_safe"]
-    assert rows["mail"]["message"].endswith("such as: user@example.com (EMAIL_ADDRESS, 0.99)")
+    assert rows["mail"]["message"].endswith("such as: desk@library.example (EMAIL_ADDRESS, 0.99)")
 
 
 def test_message_gate(texts):

@@ -32,7 +32,7 @@ OTHER_MODEL = "some-other-model"
 
 def _asked(spark, sf_dir):
     asked = questions(spark, sf_dir)
-    return asked, retrieve(page_index(spark, sf_dir).read(), asked)
+    return asked, retrieve(page_index(spark, sf_dir).placed(), asked)
 
 
 def context_block(spark, sf_dir):

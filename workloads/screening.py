@@ -109,11 +109,13 @@ def message_gate(spark, sf_dir):
 
 
 def pii_gazetteer(spark, sf_dir):
-    """Phrase list: the first two words of every benchmark item, as names."""
-    words = F.filter(F.split("text", "[^A-Za-z0-9]+"), lambda w: w != "")
+    """Phrase list: every sentence of the benchmark that is two words, as a name."""
+    sentences = F.explode(F.split("text", "[.\n]")).alias("sentence")
     phrases = (
         table(spark, sf_dir, "benchmark")
-        .select(F.array_join(F.slice(words, 1, 2), " ").alias("phrase"))
+        .select(sentences)
+        .select(F.trim("sentence").alias("phrase"))
+        .where(F.col("phrase").rlike("^[A-Za-z0-9]+ [A-Za-z0-9]+$"))
         .distinct()
         .select(F.lit("PERSON").alias("entity_group"), "phrase", F.lit(0.9).alias("score"))
     )
@@ -198,8 +200,9 @@ FROM documents LEFT JOIN described USING (doc_id)""",
 FROM messages LEFT JOIN described USING (origin, message_id)""",
     "pii_gazetteer": f"""
 WITH phrases AS (
-  SELECT DISTINCT array_to_string(list_filter(regexp_split_to_array(text, '[^A-Za-z0-9]+'), lambda x: x <> '')[1:2], ' ') AS word
-  FROM benchmark),
+  SELECT DISTINCT trim(sentence) AS word
+  FROM (SELECT unnest(regexp_split_to_array(text, '[.\n]')) AS sentence FROM benchmark)
+  WHERE regexp_full_match(trim(sentence), '[A-Za-z0-9]+ [A-Za-z0-9]+')),
 runs AS (
   SELECT doc_id, w[i] || ' ' || w[i + 1] AS run
   FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i

@@ -18,6 +18,7 @@ from workloads.inputs import files, page_index, questions, table, vector_questio
 from workloads.sqltext import COSINE, INDEXED, INNER, best_pages, best_vectors, with_
 
 DIM = 64
+N_CELLS = 32
 LABELS = [0, 1, 2]
 
 
@@ -66,38 +67,35 @@ def knn_filtered_post(spark, sf_dir):
 
 
 def _by_cells(spark, sf_dir, n_probe):
-    """Cells grow with the root of the vector count, up to what a task can compare with."""
     pool = vectors(spark, sf_dir)
-    n_cells = min(4096, max(4, int(pool.count() ** 0.5)))
-    centres = train_cells(pool, n_cells)
+    centres = train_cells(pool, N_CELLS)
     placed = place_in_cells(pool, centres)
     asked = vector_questions(spark, sf_dir)
-    visits = cell_visits(asked, centres, n_probe(n_cells))
+    visits = cell_visits(asked, centres, n_probe)
     return nearest(
         placed, asked, ids=["vec_id"], vector="embedding", dim=DIM, cell="cell", visits=visits
     )
 
 
 def knn_cells(spark, sf_dir):
-    return _by_cells(spark, sf_dir, lambda n: n // 2)
+    return _by_cells(spark, sf_dir, N_CELLS // 2)
 
 
 def knn_cells_all(spark, sf_dir):
-    return _by_cells(spark, sf_dir, lambda n: n)
+    return _by_cells(spark, sf_dir, N_CELLS)
 
 
 def text_retrieval(spark, sf_dir):
-    hits = retrieve(page_index(spark, sf_dir).read(), questions(spark, sf_dir))
+    hits = retrieve(page_index(spark, sf_dir).placed(), questions(spark, sf_dir))
     return hits.select("question_id", "rank", "unique_id", "file_path", "page_no", "score")
 
 
 def text_cells_all(spark, sf_dir):
     """Text search over cells learnt from the page vectors, all of them probed."""
-    records = page_index(spark, sf_dir).read()
-    n_cells = min(4096, max(4, int(records.count() ** 0.5)))
-    centres = train_cells(records, n_cells, "text_embedding", iterations=3)
+    records = page_index(spark, sf_dir).placed()
+    centres = train_cells(records, N_CELLS, "text_embedding", iterations=3)
     placed = place_in_cells(records, centres, "text_embedding")
-    hits = retrieve(placed, questions(spark, sf_dir), centres=centres, n_probe=n_cells)
+    hits = retrieve(placed, questions(spark, sf_dir), centres=centres, n_probe=N_CELLS)
     return hits.select("question_id", "rank", "unique_id", "file_path", "page_no", "score")
 
 
@@ -110,13 +108,13 @@ def _tenant_questions(spark, sf_dir):
 
 
 def tenant_filter(spark, sf_dir):
-    hits = retrieve(page_index(spark, sf_dir).read(), _tenant_questions(spark, sf_dir))
+    hits = retrieve(page_index(spark, sf_dir).placed(), _tenant_questions(spark, sf_dir))
     return hits.select("question_id", "rank", "unique_id", "file_path", "page_no", "score")
 
 
 def tenant_filter_blocks(spark, sf_dir):
     hits = retrieve(
-        page_index(spark, sf_dir).read(), _tenant_questions(spark, sf_dir), question_limit=0
+        page_index(spark, sf_dir).placed(), _tenant_questions(spark, sf_dir), question_limit=0
     )
     return hits.select("question_id", "rank", "unique_id", "file_path", "page_no", "score")
 
@@ -152,7 +150,7 @@ def retrieval_all_questions(spark, sf_dir):
         .otherwise(F.array().cast("array<string>"))
         .alias("unique_ids"),
     )
-    hits = retrieve(page_index(spark, sf_dir).read(), asked.join(owners, "question_id"))
+    hits = retrieve(page_index(spark, sf_dir).placed(), asked.join(owners, "question_id"))
     return all_questions(asked, hits.select("question_id", "rank", "file_path", "score")).select(
         "question_id", F.size("hits").cast("bigint").alias("n_hits")
     )
@@ -161,7 +159,7 @@ def retrieval_all_questions(spark, sf_dir):
 def hits_envelope(spark, sf_dir):
     """The wide search of an agent's tool."""
     asked = questions(spark, sf_dir)
-    hits = retrieve(page_index(spark, sf_dir).read(), asked, WIDE_K)
+    hits = retrieve(page_index(spark, sf_dir).placed(), asked, WIDE_K)
     nested = envelope_of(
         all_questions(asked, hits), ["unique_id", "file_path", "page_number", "llm_generated"]
     )
