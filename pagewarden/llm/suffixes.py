@@ -318,6 +318,8 @@ def repeated_places(source: DataFrame, width: int = WIDTH, seed: int = SEED, hel
         .where("n > 1")
         .select("seed", (F.col("low") == F.col("high")).alias("uniform"))
     )
+    # Written, so that the join with it may split a seed that much of the data shares.
+    seeds = written(seeds, "seeds")
     shared = written(found.join(seeds, "seed"), "shared")
     # Equal as a whole: nothing needs comparing.
     alike = shared.where("uniform").select("doc_id", "row", "place")
