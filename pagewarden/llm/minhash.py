@@ -155,37 +155,24 @@ def _signer(width: int, bands: int, rows: int, counted: bool):
     return F.arrow_udf(run, SIGNATURE)
 
 
-def _similarity(width: int, counted: bool):
-    def weights_of(texts: pa.Array) -> list[dict]:
-        hashes, counts = word_hashes(*text_bytes(texts))
-        row, value, times = elements(hashes, counts, width)
-        order = np.lexsort((value, row))
-        row, value, times = row[order], value[order], times[order]
-        cuts = np.searchsorted(row, np.arange(len(counts) + 1))
-        return [(value[a:b], times[a:b]) for a, b in zip(cuts, cuts[1:])]
-
-    def alike(one, two) -> float:
-        common, at, to = np.intersect1d(one[0], two[0], assume_unique=True, return_indices=True)
-        if not counted:
-            both = len(common)
-            return both / max(1, len(one[0]) + len(two[0]) - both)
-        both = int(np.minimum(one[1][at], two[1][to]).sum())
-        return both / max(1, int(one[1].sum() + two[1].sum()) - both)
+def _alike(one: bytes, two: bytes) -> float:
+    """Jaccard similarity of two sorted lists of distinct runs."""
+    a, b = np.frombuffer(one, np.uint64), np.frombuffer(two, np.uint64)
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / max(1, len(a) + len(b) - both)
 
+
+def _similarity():
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for left, right in batches:
-            out = []
-            for lo in range(0, len(left), 256):
-                pairs = zip(weights_of(left.slice(lo, 256)), weights_of(right.slice(lo, 256)))
-                out += [alike(one, two) for one, two in pairs]
-            yield pa.array(out, pa.float64())
+            yield pa.array([_alike(a.as_py(), b.as_py()) for a, b in zip(left, right)], pa.float64())
 
     run.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, "double")
 
 
 def _runs_of(width: int, counted: bool):
-    """Distinct runs of texts, sorted, as 32-bit numbers: run and number of occurrence if counted."""
+    """Distinct runs of texts, sorted; if counted, each with the number of its occurrence."""
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
@@ -194,7 +181,6 @@ def _runs_of(width: int, counted: bool):
             if counted:
                 nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
                 row, value = np.repeat(row, times), mix(np.repeat(value, times) + nth.astype(np.uint64))
-            value = value.astype(np.uint32)
             order = np.lexsort((value, row))
             row, value = row[order], value[order]
             cuts = np.searchsorted(row, np.arange(len(counts) + 1))
@@ -230,13 +216,12 @@ def _strangers(least: float, bands: int, rows: int):
                 for part in range(0, len(others), 4096):
                     y = others[part : part + 4096]
                     equal = entries[y] == entries[x]
-                    y, equal = y[equal.sum(axis=1) >= floor * k], equal[equal.sum(axis=1) >= floor * k]
+                    close = equal.sum(axis=1) >= floor * k
+                    y, equal = y[close], equal[close]
                     # A pair that meets in several bands counts in the first.
                     first = equal.reshape(len(y), bands, rows).all(axis=2).argmax(axis=1)
                     for other in y[first == band[x]]:
-                        one, two = (np.frombuffer(sets[i], np.uint32) for i in (x, other))
-                        both = len(np.intersect1d(one, two))
-                        if both >= 0.999 * least * (len(one) + len(two) - both):
+                        if _alike(sets[x], sets[other]) >= least:
                             found.append((min(ids[x], ids[other]), max(ids[x], ids[other])))
         left, right = zip(*found) if found else ((), ())
         return pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], schema=schema)
@@ -282,15 +267,22 @@ def near_duplicates(
     centres = spots.groupBy("bucket").agg(F.min("doc_id").alias("centre"), F.max("doc_id").alias("last"))
     placed = written(spots.join(centres.where("centre < last").drop("last"), "bucket"), "buckets")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        a_text = source.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text"))
-        b_text = source.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text"))
-        alike = _similarity(width, counted)(F.col("a_text"), F.col("b_text"))
-        both = pairs.join(a_text, "a").join(b_text, "b")
-        return both.select("a", "b", alike.alias("alike")).where(F.col("alike") >= least).select("a", "b")
-
+    # Whoever meets another, with the runs to compare: the only time texts are moved.
+    involved = placed.select("doc_id").distinct()
+    carried = written(
+        source.join(involved, "doc_id").select("doc_id", _runs_of(width, counted)(F.col("text")).alias("runs")),
+        "runs",
+    )
     stars = placed.where("doc_id <> centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b"))
-    links = written(verified(stars.distinct()), "links")
+    links = written(
+        stars.distinct()
+        .join(carried.select(F.col("doc_id").alias("a"), F.col("runs").alias("a_runs")), "a")
+        .join(carried.select(F.col("doc_id").alias("b"), F.col("runs").alias("b_runs")), "b")
+        .select("a", "b", _similarity()(F.col("a_runs"), F.col("b_runs")).alias("alike"))
+        .where(F.col("alike") >= least)
+        .select("a", "b"),
+        "links",
+    )
 
     # Buckets that are not one component yet: whoever is outside the one that most
     # members share meets all others.
@@ -319,20 +311,14 @@ def near_duplicates(
         .withColumn("part_b", F.greatest("block", "with"))
         .drop("with", "parts")
     )
-    meeting = written(meeting, "meeting")
-    runs_of = _runs_of(width, counted)(F.col("text"))
-    taking = meeting.select("doc_id").distinct()
-    carried = (
-        source.join(taking, "doc_id").withColumn("runs", runs_of).drop("text")
-        .join(leads.select(F.col("first").alias("doc_id"), "entries"), "doc_id")
-    )
+    entries = leads.select(F.col("first").alias("doc_id"), "entries")
     alike = (
-        meeting.join(carried, "doc_id")
+        meeting.join(carried.join(entries, "doc_id"), "doc_id")
         .repartition("bucket", "part_a", "part_b")
         .sortWithinPartitions("bucket", "part_a", "part_b")
         .mapInArrow(_strangers(least, bands, rows), "a bigint, b bigint")
     )
-    links = links.unionByName(written(verified(alike.distinct()), "more-links"))
+    links = links.unionByName(written(alike.distinct(), "more-links"))
     # Different texts of one id are one document all the same.
     repeated = worded.groupBy("doc_id").agg(F.count("size").alias("n")).where("n > 1").drop("n")
     one = worded.join(repeated, "doc_id", "left_semi").join(leads.drop("entries"), same)
