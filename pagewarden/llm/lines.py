@@ -17,9 +17,11 @@ from __future__ import annotations
 import string
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagewarden.llm.arrays import SPACES
+from pagewarden.llm.links import written
 from pagewarden.llm.names import others, own
 
 LEAST_CHARS = 40
@@ -29,7 +31,10 @@ LEAST_DOCUMENTS = 5
 def line_key(line: Column) -> Column:
     """The line without white space at its ends, A to Z in lower case."""
     bare = F.btrim(line, F.lit(SPACES))
-    return F.translate(bare, string.ascii_uppercase, string.ascii_lowercase)
+    # The same for ASCII, and faster.
+    return F.when(F.octet_length(bare) == F.length(bare), F.lower(bare)).otherwise(
+        F.translate(bare, string.ascii_uppercase, string.ascii_lowercase)
+    )
 
 
 def lines_of(text: Column) -> Column:
@@ -37,7 +42,10 @@ def lines_of(text: Column) -> Column:
 
 
 def _spots(docs: DataFrame, least_chars: int) -> DataFrame:
-    """(h1, h2, doc_id, row, word, mask): keyed lines by document, 64 positions at a time."""
+    """(h1, h2, doc_id, row, word, mask, first): keyed lines by document, 64 positions at a time.
+
+    `first` marks where the stream of rows meets a hash in a document for the first time.
+    """
     lines = docs.select("doc_id", "row", F.posexplode(lines_of(F.col("text"))).alias("at", "line"))
     keyed = lines.where(F.length("line") >= least_chars).withColumn("key", line_key(F.col("line")))
     hashed = keyed.where(F.length("key") >= least_chars).select(
@@ -47,13 +55,18 @@ def _spots(docs: DataFrame, least_chars: int) -> DataFrame:
         "row",
         "at",
     )
-    ordered = hashed.repartitionByRange("h1", "h2", "doc_id").sortWithinPartitions(
-        "h1", "h2", "doc_id", "row", "at"
+    # Texts are read once: drawing the ranges then looks at hashes only.
+    ordered = (
+        written(hashed, "line-hashes")
+        .repartitionByRange("h1", "h2", "doc_id")
+        .sortWithinPartitions("h1", "h2", "doc_id", "row", "at")
     )
     # Within the ranges already: nothing of this is shuffled again.
-    return ordered.groupBy("h1", "h2", "doc_id", "row", F.floor(F.col("at") / 64).alias("word")).agg(
+    words = ordered.groupBy("h1", "h2", "doc_id", "row", F.floor(F.col("at") / 64).alias("word")).agg(
         F.bit_or(F.expr("shiftleft(1L, at % 64)")).alias("mask")
     )
+    met = W.partitionBy("h1", "h2", "doc_id").orderBy("row", "word")
+    return written(words.withColumn("first", F.row_number().over(met) == 1), "line-spots")
 
 
 def _identified(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -76,13 +89,15 @@ def drop_bitmaps(
     first; bit b of word w is set if line 64 w + b goes. Words without a drop are absent.
     """
     spots = _spots(_identified(docs, doc_id, text).where(F.col("doc_id").isNotNull()), least_chars)
-    firsts = spots.select("h1", "h2", "doc_id").groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one"))
     shared = (
-        firsts.groupBy("h1", "h2")
-        .agg(F.count("one").alias("holders"), F.max("doc_id").alias("keeper"))
+        spots.where("first")
+        .groupBy("h1", "h2")
+        .agg(F.count("doc_id").alias("holders"), F.max("doc_id").alias("keeper"))
         .where(F.col("holders") >= least_documents)
         .drop("holders")
     )
+    # Written, so that the join may split a line that much of the data shares.
+    shared = written(shared, "shared-lines")
     gone = spots.join(shared, ["h1", "h2"]).where(F.col("doc_id") != F.col("keeper"))
     words = gone.groupBy("doc_id", "row", "word").agg(F.bit_or("mask").alias("mask"))
     return words.groupBy("doc_id", "row").agg(

@@ -80,9 +80,18 @@ def test_clashing_columns_and_empty_table(spark):
     assert lines.drop_shared_lines(frame.limit(0)).count() == 0
 
 
-def test_plan_is_native(spark):
-    plan = op8_line_dedup(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
-    assert "Python" not in plan and "Arrow" not in plan and "rangepartitioning" in plan
+def test_plan_is_native(spark, monkeypatch):
+    plans = []
+
+    def kept(frame, label):
+        plans.append(frame._jdf.queryExecution().toString())
+        return frame
+
+    monkeypatch.setattr(lines, "written", kept)
+    plans.append(op8_line_dedup(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString())
+    assert not any("Python" in plan or "Arrow" in plan for plan in plans)
+    ranged = plans[1][plans[1].index("Physical Plan") :]
+    assert ranged.count("rangepartitioning") == 1 and "hashpartitioning" not in ranged
 
 
 def test_query(spark):
