@@ -11,7 +11,7 @@ SPACES = " \t\n\x0b\x0c\r"
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[ord(c) for c in SPACES]] = True
 # Bytes that one step of the word hashing holds at a time.
-PIECE = 1 << 22
+PIECE = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 

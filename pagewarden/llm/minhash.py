@@ -39,7 +39,8 @@ LEAST = 0.8
 # A pair at similarity 0.8 meets in at least one band but for 2 in 100,000.
 BANDS = 36
 ROWS = 6
-GROUP_WORDS = 1 << 20
+# Most words worked on at a time; a word and what parts it are two bytes at least.
+GROUP_WORDS = 1 << 21
 # Members of a bucket that meet in one go; larger buckets become blocks.
 BLOCK = 1024
 # Before two strangers' runs are compared, their entries must not lie further below the
@@ -122,15 +123,20 @@ def signatures(
     return entry.reshape(n, k)
 
 
+def _worded(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Word hashes and counts of the rows, some rows at a time."""
+    buf, offsets = text_bytes(texts)
+    for lo, hi in row_groups(np.diff(offsets), 2 * GROUP_WORDS):
+        yield word_hashes(buf[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+
+
 def _signer(width: int, bands: int, rows: int, counted: bool):
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            hashes, counts = word_hashes(*text_bytes(batch))
-            ends = np.concatenate(([0], np.cumsum(counts)))
             d1, d2, size, keys = [], [], [], []
-            for lo, hi in row_groups(counts, GROUP_WORDS):
-                n = hi - lo
-                row, value, times = elements(hashes[ends[lo] : ends[hi]], counts[lo:hi], width)
+            for hashes, counts in _worded(batch):
+                n = len(counts)
+                row, value, times = elements(hashes, counts, width)
                 weight = times.astype(np.float64) if counted else np.ones(len(row))
                 marks = mix(value + times.astype(np.uint64)) if counted else value
                 for out, salt in ((d1, 3), (d2, 7)):
@@ -176,15 +182,17 @@ def _runs_of(width: int, counted: bool):
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            hashes, counts = word_hashes(*text_bytes(batch))
-            row, value, times = elements(hashes, counts, width)
-            if counted:
-                nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                row, value = np.repeat(row, times), mix(np.repeat(value, times) + nth.astype(np.uint64))
-            order = np.lexsort((value, row))
-            row, value = row[order], value[order]
-            cuts = np.searchsorted(row, np.arange(len(counts) + 1))
-            yield pa.array([value[a:b].tobytes() for a, b in zip(cuts, cuts[1:])], pa.binary())
+            lists = []
+            for hashes, counts in _worded(batch):
+                row, value, times = elements(hashes, counts, width)
+                if counted:
+                    nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                    row, value = np.repeat(row, times), mix(np.repeat(value, times) + nth.astype(np.uint64))
+                order = np.lexsort((value, row))
+                row, value = row[order], value[order]
+                cuts = np.searchsorted(row, np.arange(len(counts) + 1))
+                lists += [value[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
+            yield pa.array(lists, pa.binary())
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, "binary")
