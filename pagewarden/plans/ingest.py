@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame
@@ -12,7 +13,8 @@ from pagewarden.functions.pii import RULES, Rule
 from pagewarden.functions.text import or_placeholder, with_hashed_vector
 from pagewarden.operators.index import PageIndex
 from pagewarden.operators.models import describe
-from pagewarden.operators.screening import bad_pages, clean_pages, screen_documents
+from pagewarden.operators.screening import accepted_pages, bad_pages, clean_pages, screen_documents
+from pagewarden.session import drop_path, fresh_path
 
 Step = Callable[[DataFrame], DataFrame]
 
@@ -67,12 +69,20 @@ def ingest(
 
     All files are screened before any is described, for descriptions are the
     costly step. With `rejects`, the pages that rejected their files are written
-    below that path.
+    below that path, in a folder of the batch, before the version counts; a repeated
+    batch overwrites them. Files are screened once either way.
     """
-    pages = clean_pages(documents, threshold, rules, lines_per_page)
-    records = index_records(pages, describer, embedder, embed_source)
-    version = index.append(records, batch_id, replace, gather)
-    if rejects:
-        screened = screen_documents(documents, threshold, rules, lines_per_page)
-        bad_pages(screened).write.mode("overwrite").parquet(f"{rejects}/version={version:09d}")
-    return version
+    batch_id = batch_id or uuid.uuid4().hex
+    if not rejects:
+        pages = clean_pages(documents, threshold, rules, lines_per_page)
+        return index.append(index_records(pages, describer, embedder, embed_source), batch_id, replace, gather)
+    spark = documents.sparkSession
+    place = fresh_path(spark, "screened")
+    try:
+        screen_documents(documents, threshold, rules, lines_per_page).write.parquet(place)
+        screened = spark.read.parquet(place)
+        bad_pages(screened).write.mode("overwrite").parquet(f"{rejects}/batch={batch_id}")
+        records = index_records(accepted_pages(screened), describer, embedder, embed_source)
+        return index.append(records, batch_id, replace, gather)
+    finally:
+        drop_path(spark, place)

@@ -2,6 +2,7 @@ import re
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from pagewarden.operators.index import PageIndex, files_of
 from pagewarden.plans.ingest import index_records, ingest, requested
@@ -157,6 +158,23 @@ def test_rejects_are_written(spark, index, tmp_path):
     assert [(r["file_path"], r["page_no"]) for r in rows] == [("g", 1)]
 
 
+def test_files_are_screened_once(spark, index, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def looked_at(text):
+        seen.add(1)
+        return text
+
+    path = str(tmp_path / "rejects")
+    files = documents(spark, ("a", "f", "fine"), ("a", "g", "a@b.com"))
+    for _ in range(2):
+        ingest(files.withColumn("text", looked_at.asNondeterministic()("text")), index, batch_id="one", rejects=path)
+    assert seen.value == 4
+    assert contents(index) == [("a", "f", 1)]
+    assert spark.read.parquet(path).count() == 1
+
+
 def test_tenants_in_pages(spark, index):
     index.append(records(spark, *[(f"t{i:02d}", "f", "x") for i in range(13)]))
     first = [r["unique_id"] for r in index.tenants().collect()]
