@@ -41,8 +41,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and whether they decode to its text again."""
-    ranks = vocabulary()
-    coded = bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
+    coded = bpe.round_trip(docs, vocabulary(), public_tokenizers.PATTERN)
     whole = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     return coded.select(
         "doc_id",

@@ -27,6 +27,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pagewarden.llm.batches import bound_batches
+from pagewarden.llm.names import others, own
+
 # Parts remembered with their ids, twice so many at most for each Python worker.
 REMEMBERED = 200_000
 # Longer parts are rare and are not remembered.
@@ -136,60 +139,93 @@ def _parts_of(pattern: regex.Pattern, text: str):
     return (found[0] for found in pattern.finditer(text))
 
 
-def encoder(docs: DataFrame, ranks: dict[bytes, int], pattern: str):
-    """A column function: text to array of ids."""
+def _coded(texts: pa.Array, ids_of: _Parts, split: regex.Pattern) -> pa.ListArray:
+    """Ids of every text."""
+    ids, ends, of_part = array("i"), [0], ids_of.__getitem__
+    for text in texts:
+        text = text.as_py()
+        if text:
+            ids.extend(chain.from_iterable(map(of_part, _parts_of(split, text))))
+        ends.append(len(ids))
+    values = pa.array(np.frombuffer(ids, np.int32) if ids else np.zeros(0, np.int32))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+
+
+def _bytes_of(ids: pa.ListArray, tokens: list[bytes]) -> pa.Array:
+    """Bytes of every list of ids; null lists have none."""
+    values, token = ids.flatten().to_numpy(zero_copy_only=False), tokens.__getitem__
+    ends = np.cumsum(ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    starts = np.concatenate(([0], ends[:-1]))
+    return pa.array(
+        [b"".join(map(token, values[lo:hi].tolist())) for lo, hi in zip(starts, ends)], pa.binary()
+    )
+
+
+def _tokens(ranks: dict[bytes, int]) -> list[bytes]:
+    tokens = [b""] * (max(ranks.values(), default=-1) + 1)
+    for token, rank in ranks.items():
+        tokens[rank] = token
+    return tokens
+
+
+def _applied(docs: DataFrame, column: str, work, kind, state) -> Column:
+    """A column of `work(state of this Python worker, batch)`; `state` is made from what is sent."""
+    bound_batches(docs.sparkSession)
+    make, given = state
     # One value for each Python worker, so that its tasks share what is remembered.
-    sent = docs.sparkSession.sparkContext.broadcast((ranks, []))
+    sent = docs.sparkSession.sparkContext.broadcast((given, []))
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        table, kept = sent.value
+        value, kept = sent.value
         if not kept:
-            kept.append(_Parts(table))
-        ids_of = kept[0].__getitem__
-        split = regex.compile(pattern)
+            kept.append(make(value))
         for batch in batches:
-            ids, ends = array("i"), [0]
-            for text in batch:
-                text = text.as_py()
-                if text:
-                    ids.extend(chain.from_iterable(map(ids_of, _parts_of(split, text))))
-                ends.append(len(ids))
-            values = pa.array(np.frombuffer(ids, np.int32) if ids else np.zeros(0, np.int32))
-            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+            yield work(kept[0], batch)
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, T.ArrayType(T.IntegerType()))
+    return F.arrow_udf(run, kind)(F.col(column))
 
 
 def encode(
     docs: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", out: str = "ids"
 ) -> DataFrame:
     """The rows with the token ids of their whole text."""
-    return docs.withColumn(out, encoder(docs, ranks, pattern)(F.col(text)))
+    split = regex.compile(pattern)
+    ids = _applied(
+        docs, text, lambda parts, batch: _coded(batch, parts, split), T.ArrayType(T.IntegerType()), (_Parts, ranks)
+    )
+    return docs.withColumn(out, ids)
 
 
 def decode(docs: DataFrame, ranks: dict[bytes, int], ids: str = "ids", out: str = "decoded") -> DataFrame:
     """The rows with the bytes of their ids; null ids give no bytes."""
-    tokens = [b""] * (max(ranks.values(), default=-1) + 1)
-    for token, rank in ranks.items():
-        tokens[rank] = token
-    sent = docs.sparkSession.sparkContext.broadcast(tokens)
+    found = _applied(docs, ids, lambda tokens, batch: _bytes_of(batch, tokens), T.BinaryType(), (_tokens, ranks))
+    return docs.withColumn(out, found)
 
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        token = sent.value.__getitem__
-        for batch in batches:
-            values = batch.flatten().to_numpy(zero_copy_only=False)
-            ends = np.cumsum(batch.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-            yield pa.array(
-                [
-                    b"".join(map(token, values[lo:hi].tolist()))
-                    for lo, hi in zip(np.concatenate(([0], ends[:-1])), ends)
-                ],
-                pa.binary(),
-            )
 
-    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return docs.withColumn(out, F.arrow_udf(run, T.BinaryType())(F.col(ids)))
+def round_trip(
+    docs: DataFrame,
+    ranks: dict[bytes, int],
+    pattern: str,
+    text: str = "text",
+    ids: str = "ids",
+    decoded: str = "decoded",
+) -> DataFrame:
+    """`decode` after `encode`, in one Python worker: ids are decoded before they leave it."""
+    split = regex.compile(pattern)
+
+    def both(state, batch: pa.Array) -> pa.Array:
+        parts, tokens = state
+        coded = _coded(batch, parts, split)
+        return pa.StructArray.from_arrays([coded, _bytes_of(coded, tokens)], ["ids", "decoded"])
+
+    found = _applied(
+        docs, text, both, "struct<ids:array<int>,decoded:binary>", (lambda r: (_Parts(r), _tokens(r)), ranks)
+    )
+    (name,) = own(docs, "coded")
+    return docs.withColumn(name, found).select(
+        *others(docs, ids, decoded), F.col(f"{name}.ids").alias(ids), F.col(f"{name}.decoded").alias(decoded)
+    )
 
 
 def ids_digest(ids: Column) -> Column:

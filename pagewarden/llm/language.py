@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewarden.llm.arrays import row_groups, text_bytes
+from pagewarden.llm.batches import bound_batches
 from pagewarden.llm.names import others, own
 
 CELLS = 5
@@ -225,6 +226,7 @@ def _predict_rows(network: Network, buf: np.ndarray, offsets: np.ndarray) -> np.
 
 def predict(docs: DataFrame, network: Network | None, text: str = "text") -> DataFrame:
     """All rows and columns with lang_pred and score, the probability of that language."""
+    bound_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(network)
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

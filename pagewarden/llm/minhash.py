@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewarden.llm.arrays import mix, row_groups, runs, text_bytes, word_hashes
-from pagewarden.llm.batches import by_groups
+from pagewarden.llm.batches import bound_batches, by_groups
 from pagewarden.llm.links import components, written
 
 WIDTH = 5
@@ -253,6 +253,7 @@ def near_duplicates(
     With `counted` a run weighs as often as the text has it; else each weighs 1 and the
     similarity is plain Jaccard.
     """
+    bound_batches(docs.sparkSession)
     source = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     signed = written(
         source.withColumn("s", _signer(width, bands, rows, counted)(F.col("text"))).select(

@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagewarden.llm.batches import bound_batches
 from pagewarden.llm.names import others, own
 
 KINDS = ["email", "ip", "card", "phone"]
@@ -442,6 +443,7 @@ RESULT = (
 
 def find(docs: DataFrame, tagger: Tagger, text: str = "text") -> DataFrame:
     """All rows and columns with counts and digest of the patterns' spans, and all spans."""
+    bound_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(tagger)
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -19,8 +19,7 @@ def vocabulary() -> dict[bytes, int]:
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ranks = vocabulary()
-    coded = bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
+    coded = bpe.round_trip(docs, vocabulary(), public_tokenizers.PATTERN)
     return coded.select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_tokens"),

@@ -7,6 +7,7 @@ import tiktoken
 from common import ODD_TEXTS, clashing, documents, odd
 
 from pagewarden.llm import bpe
+from pagewarden.llm.batches import BATCH_BYTES, bound_batches
 from pagewarden.llm.queries import op1_bpe, table, vocabulary
 
 RANKS = vocabulary()
@@ -53,7 +54,30 @@ def test_round_trip_and_clashing_columns(spark):
         assert row["batches"] == "extra batches"
 
 
+def test_one_pass_gives_what_two_give(spark):
+    frame = clashing(odd(spark), "ids", "decoded", "coded")
+    two = bpe.decode(bpe.encode(frame, RANKS, public_tokenizers.PATTERN), RANKS)
+    one = bpe.round_trip(frame, RANKS, public_tokenizers.PATTERN)
+    assert sorted(one.columns) == sorted(two.columns)
+    rows = [sorted(map(repr, f.select(two.columns).collect())) for f in (one, two)]
+    assert rows[0] == rows[1]
+
+
+def test_batches_are_bounded(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        lowered = str(BATCH_BYTES)
+        for given, then in (("64m", lowered), ("1gb", lowered), ("512k", "512k"), ("1048576b", "1048576b")):
+            spark.conf.set(name, given)
+            bound_batches(spark)
+            assert spark.conf.get(name) == then
+    finally:
+        spark.conf.set(name, before)
+
+
 def test_empty_table(spark):
+    assert bpe.round_trip(documents(spark, ODD_TEXTS).limit(0), RANKS, public_tokenizers.PATTERN).count() == 0
     assert ids_of(documents(spark, ODD_TEXTS).limit(0)) == []
 
 
