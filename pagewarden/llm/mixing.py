@@ -5,26 +5,31 @@ Each source is cut into blocks of about equal length. Block i of a source with w
 ceil((i + 1) / w); the released block with the earliest deadline gets the slot. At any
 slot every source then is less than one block from its share, as long as it lasts.
 
-Weights are whole parts of a period. After a period releases and deadlines repeat, so
-the order of one period serves for all: block i of a source with a parts takes the place
-of block i mod a in period i div a. Nothing is walked through one by one, and blocks get
-their slots where they are. A source that ends leaves its slots empty; the others go on
-in their own ratio. No row is dropped or repeated.
+Weights are exact fractions, for any number of sources. The driver walks through the
+blocks that there are, one step for each `block_chars` of text, and stretches of slots that
+ended sources leave empty are leapt over; rows get their slots by a join with the blocks.
+A source that ends leaves its slots empty; the others go on in their own ratio. No row is
+dropped or repeated.
+
+With a `period` weights are whole parts of it instead, and its order repeats: block i of a
+source with a parts takes the place of block i mod a in period i div a. Shares then are
+exact to a part only.
 
 Null sources are a source of their own. Empty and null texts have length zero and stand
-in the block where they fall. Repeated rows all stay. A source without a weight gets one
-part of the period. An empty table stays empty.
+in the block where they fall. Repeated rows all stay. Sources without a weight come after
+those with one, in equal shares; in a period they get one part. An empty table stays empty.
 """
 
 from __future__ import annotations
 
 import heapq
 from fractions import Fraction
+from math import lcm
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from pagewarden.llm.names import others, own
 
@@ -42,13 +47,17 @@ def parts_of(weights: dict, period: int = PERIOD) -> dict:
     total = sum(weights.values())
     if not weights or total <= 0:
         return {name: 1 for name in weights}
-    spare = period - len(weights)
-    exact = {name: Fraction(weight) / Fraction(total) * spare for name, weight in weights.items()}
-    parts = {name: 1 + int(share) for name, share in exact.items()}
+    whole = sum(map(Fraction, weights.values()))
+    exact = {name: Fraction(weight) / whole * period for name, weight in weights.items()}
+    parts = {name: max(1, int(share)) for name, share in exact.items()}
     left = period - sum(parts.values())
-    by_rest = sorted(exact, key=lambda name: (int(exact[name]) - exact[name], str(name)))
-    for name in by_rest[:left]:
+    by_rest = sorted(exact, key=lambda name: (parts[name] - exact[name], str(name)))
+    for name in by_rest[: max(left, 0)]:
         parts[name] += 1
+    # Parts that the least sources have beyond their share come from the largest.
+    for _ in range(-left):
+        most = max((n for n in parts if parts[n] > 1), key=lambda n: (parts[n] - exact[n], str(n)))
+        parts[most] -= 1
     return parts
 
 
@@ -76,12 +85,52 @@ def period_order(parts: dict) -> list:
     return order
 
 
-def source_sizes(docs: DataFrame, source: str, length: Column, most: int) -> dict:
-    """Length of every source; more sources than slots are an error, not a cut."""
+def repeated_slots(blocks: dict, weights: dict, period: int) -> dict:
+    """The slots of every source's blocks, the order of one period repeated."""
+    parts = parts_of(weights, period)
+    places: dict = {name: [] for name in parts}
+    for slot, name in enumerate(period_order(parts)):
+        places[name].append(slot)
+    return {
+        name: [i // parts[name] * period + places[name][i % parts[name]] for i in range(count)]
+        for name, count in blocks.items()
+    }
+
+
+def exact_slots(blocks: dict, weights: dict) -> dict:
+    """The slots of every source's blocks by the weights themselves."""
+    slots: dict = {name: [] for name in blocks}
+    ordered = sorted(blocks, key=lambda name: (name is not None, str(name)))
+    heavy = [name for name in ordered if weights[name] > 0]
+    first = 0
+    for names in (heavy, [name for name in ordered if weights[name] <= 0]):
+        exact = [Fraction(weights[name]) if names is heavy else Fraction(1) for name in names]
+        scale = lcm(*(w.denominator for w in exact))
+        shares = [int(w * scale) for w in exact]
+        total = sum(shares)
+        waiting = [(0, at, 0) for at in range(len(names))]
+        due: list[tuple[int, int, int]] = []
+        slot = 0
+        while waiting or due:
+            if not due:
+                slot = max(slot, waiting[0][0])
+            while waiting and waiting[0][0] <= slot:
+                _, at, i = heapq.heappop(waiting)
+                heapq.heappush(due, (-(-(i + 1) * total // shares[at]), at, i))
+            _, at, i = heapq.heappop(due)
+            slots[names[at]].append(first + slot)
+            slot += 1
+            if i + 1 < blocks[names[at]]:
+                heapq.heappush(waiting, ((i + 1) * total // shares[at], at, i + 1))
+        first += slot
+    return slots
+
+
+def source_sizes(docs: DataFrame, source: str, length: Column) -> dict:
+    """Length of every source."""
     rows = (
         docs.groupBy(F.col(source).cast("string").alias("name"))
         .agg(F.sum(length).alias("size"))
-        .limit(most + 1)
         .collect()
     )
     return {row["name"]: row["size"] or 0 for row in rows}
@@ -94,7 +143,7 @@ def mix(
     source: str = "source",
     doc_id: str = "doc_id",
     text: str = "text",
-    period: int = PERIOD,
+    period: int | None = None,
     block_chars: int = BLOCK_CHARS,
     ranges: int = RANGES,
     seed: int = 17,
@@ -107,28 +156,29 @@ def mix(
     Columns named like the three are replaced.
     """
     length = F.length(F.coalesce(F.col(text), F.lit(""))).cast("bigint")
-    sizes = source_sizes(docs, source, length, period)
+    sizes = source_sizes(docs, source, length)
     if weights is None:
         weights = {name: max(1.0, float(size) ** 0.5) for name, size in sizes.items()}
-    parts = parts_of({name: weights.get(name, 0) for name in sizes}, period)
-    order = period_order(parts)
-    places: dict = {name: [] for name in parts}
-    for slot, name in enumerate(order):
-        places[name].append(slot)
+    weights = {name: weights.get(name, 0) for name in sizes}
+    blocks = {name: size // block_chars + 1 for name, size in sizes.items()}
+    slots = repeated_slots(blocks, weights, period) if period else exact_slots(blocks, weights)
 
     rest = others(docs, "block", "slot", "place")
-    key, size, shuffled, piece, name, share, slots, of, within, start, before, nth, block = own(
-        docs, *"key size shuffled piece name share slots of within start before nth block".split()
+    key, size, shuffled, piece, name, nth_block, slot, of, within, start, before, nth, block = own(
+        docs, *"key size shuffled piece name nth_block slot of within start before nth block".split()
     )
-    kind = T.StructType(
-        [
-            T.StructField(name, T.StringType()),
-            T.StructField(share, T.LongType()),
-            T.StructField(slots, T.ArrayType(T.LongType())),
-        ]
+    # One row for each block of the whole table.
+    names = pa.array(list(slots), pa.string())
+    counts = [len(own_slots) for own_slots in slots.values()]
+    template = docs.sparkSession.createDataFrame(
+        pa.table(
+            {
+                name: names.take(pa.array([n for n, c in enumerate(counts) for _ in range(c)], pa.int32())),
+                nth_block: pa.array([i for c in counts for i in range(c)], pa.int64()),
+                slot: pa.array([at for own_slots in slots.values() for at in own_slots], pa.int64()),
+            }
+        )
     )
-    # As many numbers as the period has slots, whatever the tables hold.
-    template = docs.sparkSession.createDataFrame([(n, parts[n], places[n]) for n in parts], kind)
 
     keyed = docs.select(
         *rest,
@@ -149,16 +199,16 @@ def mix(
         )
         .withColumn(nth, F.row_number().over(rows))
         .join(starts, F.col(key).eqNullSafe(F.col(of)) & (F.col(piece) == F.col(within)))
-        .join(F.broadcast(template), F.col(key).eqNullSafe(F.col(name)))
         .withColumn(block, F.expr(f"({start} + {before}) div {block_chars}"))
+        .join(
+            F.broadcast(template),
+            F.col(key).eqNullSafe(F.col(name)) & (F.col(block) == F.col(nth_block)),
+        )
     )
     return placed.select(
         *rest,
         F.col(block).alias("block"),
-        (
-            F.expr(f"({block} div {share}) * {len(order)}")
-            + F.get(slots, F.pmod(block, share).cast("int"))
-        ).alias("slot"),
+        F.col(slot).alias("slot"),
         (F.col(piece) * F.lit(1 << 32) + F.col(nth)).alias("place"),
     )
 

@@ -2,7 +2,7 @@ import random
 from fractions import Fraction
 
 import pytest
-from common import clashing, documents, odd
+from common import DOCS, clashing, documents, odd
 
 from pagewarden.llm import mixing
 from pagewarden.llm.queries import op9_mix_sources, table
@@ -33,6 +33,43 @@ def test_too_many_sources():
         mixing.parts_of({i: 1 for i in range(11)}, 10)
 
 
+@pytest.mark.parametrize("n", [2, 20, 500, 1500])
+def test_lag_behind_the_weights_themselves_stays_under_a_block(n):
+    rng = random.Random(n)
+    weights = {None: n / 2} | {f"s{i}": 0.5 + rng.random() for i in range(n - 1)}
+    whole = sum(map(Fraction, weights.values()))
+    # Sources of uneven lengths; each is held against its weight until it ends.
+    blocks = {name: rng.randrange(1, 40) for name in weights} | {None: 4000}
+    slots = mixing.exact_slots(blocks, weights)
+    assert {name: len(at) for name, at in slots.items()} == blocks
+    assert len({slot for at in slots.values() for slot in at}) == sum(blocks.values())
+    for name, at in slots.items():
+        share = Fraction(weights[name]) / whole
+        assert at == sorted(at)
+        for i, slot in enumerate(at):
+            # Just before its slot a block is not overdue, just after it is not early.
+            assert abs(share * slot - i) < 1 and abs(share * (slot + 1) - (i + 1)) < 1
+
+
+def test_parts_are_the_nearest_to_the_weights():
+    weights = {"large": 500, **{f"s{i}": 500 / 499 for i in range(499)}}
+    assert mixing.parts_of(weights)["large"] == 500
+    parts = mixing.parts_of({"large": 1000, **{f"s{i}": 1 for i in range(499)}}, 600)
+    assert parts["large"] == 101 and sum(parts.values()) == 600
+
+
+def test_unweighted_sources_come_last():
+    slots = mixing.exact_slots({"a": 3, "b": 2, None: 2}, {"a": 1, "b": 0, None: 0})
+    assert slots["a"] == [0, 1, 2] and sorted(slots["b"] + slots[None]) == [3, 4, 5, 6]
+
+
+def test_more_sources_than_a_period_has_slots(spark):
+    rows = [(i, "z" * 50, None, f"src{i % 1200}", None) for i in range(2400)]
+    mixed = mixing.mix(spark.createDataFrame(rows, DOCS), block_chars=60)
+    assert mixed.count() == 2400
+    assert mixed.select("source", "block", "slot").distinct().groupBy("slot").count().where("count > 1").count() == 0
+
+
 def brute(rows, weights, period, block_chars):
     """Slots by walking through the blocks one by one, releases and deadlines included."""
     parts = mixing.parts_of(weights, period)
