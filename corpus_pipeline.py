@@ -35,12 +35,18 @@ def keep_first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, written in the order of the mix."""
-    return mixing.in_order(mixing.mix(docs)).select(docs.columns)
+    """All documents with slot and place, written in the order of these.
+
+    A file scan may read part files in another order, so the two columns hold it.
+    """
+    return mixing.in_order(mixing.mix(docs)).drop("block")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, and whether they decode to its text again."""
+    """Token ids of every document, and whether they decode to its text again.
+
+    Sorted by slot and place, the rows are in the order of the mix.
+    """
     coded = bpe.round_trip(docs, vocabulary(), public_tokenizers.PATTERN)
     whole = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     return coded.select(
@@ -50,6 +56,8 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         "ids",
         F.size("ids").cast("bigint").alias("n_tokens"),
         (F.col("decoded") == whole).alias("decodes"),
+        "slot",
+        "place",
     )
 
 
