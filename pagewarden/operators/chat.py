@@ -47,6 +47,25 @@ def message_rows(
     return listed.select(conversation, F.inline(with_opening))
 
 
+def latest_messages(
+    conversations: DataFrame, conversation: str = "conv_id", turn: str = "turn"
+) -> DataFrame:
+    """(conversation, turn, text, history): the latest user message of each conversation.
+
+    The history is the array of all user and assistant turns before it, in order. One
+    message per conversation, so that the arrays together are as long as the table.
+    """
+    listed = message_rows(conversations, None, conversation, turn)
+    before = F.struct(F.col(turn), "role", "content")
+    found = listed.groupBy(conversation).agg(
+        F.max(turn).alias(turn),
+        F.first(F.when(F.col("is_current"), F.col("content")), ignorenulls=True).alias("text"),
+        F.array_sort(F.collect_list(F.when(~F.col("is_current"), before))).alias("_before"),
+    )
+    history = F.transform("_before", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
+    return found.select(conversation, turn, "text", history.alias("history"))
+
+
 def session_info(messages: DataFrame, documents: DataFrame, session: str = "session") -> DataFrame:
     """Messages and documents of each session; each table is counted before they meet."""
     counted = messages.groupBy(session).agg(F.count(F.lit(1)).alias("n_messages"))

@@ -14,7 +14,7 @@ from pagewarden.constants import (
     SUMMARY_QUESTION,
 )
 from pagewarden.functions.prompts import context_text, fill, message_list, prompt_template
-from pagewarden.operators.chat import clear_sessions, message_rows, session_info
+from pagewarden.operators.chat import clear_sessions, latest_messages, message_rows, session_info
 from pagewarden.operators.models import (
     complete_with,
     describe_with,
@@ -141,6 +141,19 @@ def test_message_rows(spark):
     assert message_rows(turns).count() == 3
 
 
+def test_the_whole_history_is_kept(spark):
+    turns = spark.createDataFrame(
+        [(1, t, "user" if t % 2 else "assistant", f"t{t}") for t in range(1, 13)]
+        + [(1, 0, "system", "s"), (2, 0, "user", "alone"), (3, 0, "assistant", "e")],
+        "conv_id long, turn long, role string, text string",
+    )
+    rows = {r["conv_id"]: r for r in latest_messages(turns).collect()}
+    assert sorted(rows) == [1, 2]
+    assert (rows[1]["turn"], rows[1]["text"]) == (11, "t11")
+    assert [m["content"] for m in rows[1]["history"]] == [f"t{t}" for t in range(1, 11)]
+    assert (rows[2]["text"], rows[2]["history"]) == ("alone", [])
+
+
 def test_context_defaults(spark):
     df = spark.createDataFrame(
         [([("f", "page_1", "text"), (None, None, None)],), ([],)],

@@ -15,7 +15,7 @@ from pagewarden.constants import (
 )
 from pagewarden.functions.prompts import enrich_prompt as enrich_prompt_of
 from pagewarden.functions.prompts import prompt_template as prompt_template_of
-from pagewarden.operators.chat import message_rows
+from pagewarden.operators.chat import latest_messages, message_rows
 from pagewarden.operators.routing import model_catalogue, route
 from pagewarden.operators.screening import bad_pages, screen_documents
 from pagewarden.plans.ask import answer, prompts, retrieve, summarise
@@ -107,6 +107,20 @@ def prompt_template(spark, sf_dir):
     return asked.select("conv_id", "turn", F.array_join(lines, "\n").alias("messages"))
 
 
+def prompt_history(spark, sf_dir):
+    """The latest user message of each conversation in a template, with all turns before it."""
+    messages = prompt_template_of(
+        TEMPLATE,
+        {"turn": F.col("turn"), "conversation": F.col("conv_id")},
+        F.col("text"),
+        F.col("history"),
+    )
+    lines = F.transform(messages, lambda m: F.concat(m["role"], F.lit(": "), m["content"]))
+    return latest_messages(table(spark, sf_dir, "conversations")).select(
+        "conv_id", "turn", F.array_join(lines, "\n").alias("messages")
+    )
+
+
 def model_routing(spark, sf_dir):
     """Each file asks for a model in turn; one place in the row is no known model."""
     catalogue = model_catalogue(spark)
@@ -128,6 +142,7 @@ QUERIES = {
     "enrich_prompt": enrich_prompt,
     "chat_history": chat_history,
     "prompt_template": prompt_template,
+    "prompt_history": prompt_history,
     "model_routing": model_routing,
 }
 
@@ -200,6 +215,15 @@ SELECT c.conv_id, c.turn,
        || 'user: ' || c.text AS messages
 FROM conversations c LEFT JOIN conversations p ON p.conv_id = c.conv_id AND p.turn = c.turn - 1
 WHERE c.role = 'user'""",
+    "prompt_history": f"""
+WITH last AS (SELECT conv_id, max(turn) AS turn FROM conversations WHERE role = 'user' GROUP BY ALL)
+SELECT c.conv_id, c.turn,
+       'system: ' || {_between(TEMPLATE, turn="c.turn", conversation="c.conv_id")} || chr(10)
+       || coalesce(string_agg(p.role || ': ' || p.text || chr(10), '' ORDER BY p.turn), '')
+       || 'user: ' || c.text AS messages
+FROM last JOIN conversations c USING (conv_id, turn)
+LEFT JOIN conversations p ON p.conv_id = c.conv_id AND p.turn < c.turn AND p.role IN ('user', 'assistant')
+GROUP BY c.conv_id, c.turn, c.text""",
     "model_routing": f"""
 WITH catalogue(position, model_id, provider) AS (VALUES {_MODELS}),
 named AS (
