@@ -142,15 +142,16 @@ class Network:
         return np.exp(p, out=p)
 
     def learn(self, data: np.ndarray, label: np.ndarray) -> list[np.ndarray]:
-        """Gradients of the mean cross entropy over all positions."""
-        steps, n = data.shape
+        """Gradients of the mean cross entropy over all positions within texts."""
+        n = data.shape[1]
         forth, kept_f = self.forth.run(data, keep=True)
         hence, kept_h = self.hence.run(data[::-1], keep=True)
         hence = hence[::-1]
         p = self._odds(forth, hence)
         p /= p.sum(axis=1, keepdims=True)
         p[:, label, np.arange(n)] -= 1
-        p /= steps * n
+        owned = data != OUTSIDE
+        p *= (owned / np.float32(owned.sum()))[:, None]
         both = np.concatenate((forth, hence), axis=1)
         d_out = np.einsum("tln,tcn->lc", p, both, optimize=True)
         d_both = np.matmul(self.out.T, p)
@@ -172,17 +173,20 @@ def train(
     rows, labels = [], []
     for text, language in zip(texts, languages):
         data = np.frombuffer(text.encode(), np.uint8)
-        for at in range(0, len(data) - steps + 1, steps):
-            rows.append(data[at : at + steps])
+        for at in range(0, len(data), steps):
+            # Short texts and tails are filled up; the filling has no part in the loss.
+            row = np.full(steps, OUTSIDE, np.intp)
+            row[: len(data) - at] = data[at : at + steps]
+            rows.append(row)
             labels.append(names.index(language))
     if not rows:
         return None
-    data, label = np.array(rows).T.astype(np.intp), np.array(labels)
+    data, label = np.array(rows).T, np.array(labels)
     weights = network.weights()
     first, second = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights]
     rng, step, size = np.random.default_rng(seed + 1), 0, 128
     # Languages weigh alike, however many texts they have.
-    share = np.bincount(label, minlength=len(names))
+    share = np.maximum(np.bincount(label, minlength=len(names)), 1)
     odds = (1 / share)[label]
     odds /= odds.sum()
     rounds = max(60, epochs * len(label) // size)

@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from common import clashing, documents, odd
+from common import DOCS, clashing, documents, odd
 
 from pagewarden.llm import language
 from pagewarden.llm.queries import op10_language, table
@@ -30,6 +30,27 @@ def test_gradients_match_differences():
         w[at] = before
 
 
+def test_filling_has_no_part_in_the_gradients():
+    network = language.Network(["a", "b"], 4, 3)
+    rng = np.random.default_rng(2)
+    data, label = rng.integers(60, 120, (6, 5)), rng.integers(0, 2, 5)
+    filled = np.concatenate((data, np.full((9, 5), language.OUTSIDE)))
+    for g, h in zip(network.learn(data, label), network.learn(filled, label)):
+        assert np.allclose(g, h, atol=1e-5)
+
+
+def test_short_texts_are_learnt_from(spark):
+    texts = ["the and of that with", "der und das nicht mit"] * 60
+    rows = [(i, t, "de" if i % 2 else "en", None, None) for i, t in enumerate(texts)]
+    found = language.identify(spark.createDataFrame(rows, DOCS)).collect()
+    assert np.mean([r["lang_pred"] == r["lang"] for r in found]) == 1
+    # One language with short texts only beside one with long ones.
+    mixed = ["the and of that with " * 20, "der und das nicht mit"] * 30
+    network = language.train(mixed, ["en", "de"] * 30, epochs=8)
+    short = np.frombuffer(b"der und das nicht mit", np.uint8)
+    assert language._predict_rows(network, short, np.array([0, len(short)]))[0].argmax() == 0
+
+
 def test_held_out_rule(spark):
     frame = documents(spark, ["x"] * 50)
     rows = frame.select("doc_id", language.held_out("doc_id").alias("h")).collect()
