@@ -12,14 +12,13 @@ from pagewarden.llm.queries import vocabulary
 from pagewarden.session import fresh_path
 
 
-# With no language clearly ahead of the others a text is in none of those learnt.
-LEAST_SCORE = 0.3
-
-
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that was learnt; null, empty and letterless texts go."""
-    known = (F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)
-    return language.identify(docs).where(known).select(docs.columns)
+    """Documents with a language; null, empty and letterless texts go.
+
+    A low score drops nothing: how low that of a right language may be depends on how
+    many languages were learnt, and on how short or mixed the text is.
+    """
+    return language.identify(docs).where(F.col("lang_pred") != language.UNKNOWN).select(docs.columns)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
