@@ -4,8 +4,9 @@ A text is parted by the tokenizer's pattern, and each part is merged on its own.
 Within a part the next merge comes from a rank queue: a bucket per merge rank holds
 the places of the pairs that have it, and a bitmap in two levels over the ranks finds
 the lowest filled bucket by two find-first-set steps. Places form a linked list; an
-entry whose pair has changed since it was queued is stale and skipped. A part of n
-bytes takes about n log n steps, so one of a megabyte is no trouble.
+entry whose pair has changed since it was queued is stale and skipped. Parts not seen
+lately share one queue, a few texts at a time. A part of n bytes takes about n log n
+steps, so one of a megabyte is no trouble.
 
 A null text counts as empty and has no ids. Rows are worked on one by one: repeated
 rows give repeated results, an empty table an empty one, and other columns stay as
@@ -15,10 +16,9 @@ they are; a column named like the output is replaced.
 from __future__ import annotations
 
 import base64
-from array import array
+import sys
 from collections.abc import Iterator
-from heapq import heappop, heappush
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +36,8 @@ REMEMBERED = 200_000
 LONGEST_REMEMBERED = 64
 # Longer texts are parted as they are read, and not into a list at once.
 LIST_CHARS = 1 << 22
+# Parts of several texts are looked up and merged together, about so many at a time.
+AT_ONCE = 50_000
 _WORD = 8
 _LAST = (1 << _WORD) - 1
 _BIT = [1 << i for i in range(1 << _WORD)]
@@ -49,105 +51,165 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of one part: the lowest rank merges first, of equal ranks the leftmost."""
-    whole = ranks.get(piece)
-    if whole is not None:
-        return [whole]
-    n, rank_of = len(piece), ranks.get
+    return np.frombuffer(merge_all([piece], ranks)[0], np.int32).tolist()
+
+
+def _queued(pair: np.ndarray) -> tuple[dict[int, list[int]], dict[int, int], int]:
+    """Buckets of places by rank, and the two levels of the bitmap that says which are filled."""
+    order = np.argsort(pair, kind="stable")
+    order = order[np.searchsorted(pair[order], 0) :]
+    filled, first = np.unique(pair[order], return_index=True)
+    places, ends = order.tolist(), [*first.tolist()[1:], len(order)]
+    buckets, words, top = {}, {}, 0
+    for r, lo, hi in zip(filled.tolist(), first.tolist(), ends):
+        buckets[r] = places[lo:hi]
+        w = r >> _WORD
+        words[w] = words.get(w, 0) | _BIT[r & _LAST]
+        top |= 1 << w
+    return buckets, words, top
+
+
+def merge_all(pieces: list[bytes], ranks: dict[bytes, int]) -> list[bytes]:
+    """Ids of every part, as 32-bit numbers. All lie in one buffer under one rank queue; none pairs with the next."""
+    buf, rank_of = b"".join(pieces), ranks.get
+    n = len(buf)
+    if n == 0:
+        return [b""] * len(pieces)
+    lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    ends = np.cumsum(lengths)
+    data = np.frombuffer(buf, np.uint8).astype(np.int64)
+    # Ranks of the pairs of neighbours; the last byte of a part has no neighbour.
+    codes, which = np.unique(data[:-1] << 8 | data[1:], return_inverse=True)
+    known = np.fromiter((rank_of(bytes(divmod(c, 256)), -1) for c in codes.tolist()), np.int64, len(codes))
+    first_pairs = np.append(known[which], -1)
+    first_pairs[ends[lengths > 0] - 1] = -1
+    buckets, words, top = _queued(first_pairs)
+    pair = first_pairs.tolist()
+    token = np.fromiter((rank_of(bytes([c]), -1) for c in range(256)), np.int64, 256)[data].tolist()
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    pair: list[int | None] = [rank_of(piece[i : i + 2]) for i in range(n - 1)]
-    pair.append(None)
-    buckets: dict[int, list[int]] = {}
-    words: dict[int, int] = {}
-    top = 0
-    for i, r in enumerate(pair):
-        if r is None:
-            continue
-        if r in buckets:
-            buckets[r].append(i)
-        else:
-            buckets[r] = [i]
-            w = r >> _WORD
-            words[w] = words.get(w, 0) | _BIT[r & _LAST]
-            top |= 1 << w
+    opens, closes, gone = bytearray(n), bytearray(n), bytearray(n)
+    for start, end in zip((ends - lengths).tolist(), ends.tolist()):
+        if start < end:
+            opens[start] = closes[end - 1] = 1
     while top:
         w = (top & -top).bit_length() - 1
         bits = words[w]
         r = (w << _WORD) | ((bits & -bits).bit_length() - 1)
-        places = buckets[r]
-        i = heappop(places)
-        if not places:
-            del buckets[r]
-            words[w] = bits = bits & (bits - 1)
-            if not bits:
-                top &= top - 1
-        if pair[i] != r:
-            continue
-        j = after[i]
-        k = after[j]
-        after[i], pair[j] = k, None
-        changed = []
-        if k < n:
-            before[k] = i
-            pair[i] = rank_of(piece[i : after[k]])
-            changed.append(i)
-        else:
-            pair[i] = None
-        p = before[i]
-        if p >= 0:
-            pair[p] = rank_of(piece[p:k])
-            changed.append(p)
-        for place in changed:
-            r = pair[place]
-            if r is None:
+        places = buckets.pop(r)
+        words[w] = bits = bits & (bits - 1)
+        if not bits:
+            top &= top - 1
+        places.sort()
+        for at, i in enumerate(places, 1):
+            # An entry whose pair has changed since is stale.
+            if pair[i] != r:
                 continue
-            if r in buckets:
-                heappush(buckets[r], place)
+            j = after[i]
+            k = after[i] = after[j]
+            token[i], gone[j], pair[j] = r, 1, -1
+            lowest = r
+            if closes[j]:
+                closes[i], pair[i] = 1, -1
             else:
-                buckets[r] = [place]
+                before[k] = i
+                pair[i] = new = rank_of(buf[i : after[k]], -1)
+                if new >= 0:
+                    if new in buckets:
+                        buckets[new].append(i)
+                    else:
+                        buckets[new] = [i]
+                        w = new >> _WORD
+                        words[w] = words.get(w, 0) | _BIT[new & _LAST]
+                        top |= 1 << w
+                    if new < lowest:
+                        lowest = new
+            if not opens[i]:
+                p = before[i]
+                pair[p] = new = rank_of(buf[p:k], -1)
+                if new >= 0:
+                    if new in buckets:
+                        buckets[new].append(p)
+                    else:
+                        buckets[new] = [p]
+                        w = new >> _WORD
+                        words[w] = words.get(w, 0) | _BIT[new & _LAST]
+                        top |= 1 << w
+                    if new < lowest:
+                        lowest = new
+            if lowest < r and at < len(places):
+                # A lower rank has come up and goes first; the rest of the bucket waits.
+                buckets[r] = places[at:]
                 w = r >> _WORD
                 words[w] = words.get(w, 0) | _BIT[r & _LAST]
                 top |= 1 << w
-    out, i = [], 0
-    while i < n:
-        out.append(ranks[piece[i : after[i]]])
-        i = after[i]
-    return out
+                break
+    stays = np.frombuffer(gone, np.uint8) == 0
+    ids = np.array(token, np.int32)[stays].tobytes()
+    upto = (4 * np.append(0, np.cumsum(stays))[np.append(0, ends)]).tolist()
+    return [ids[lo:hi] for lo, hi in zip(upto, upto[1:])]
 
 
-class _Parts(dict):
-    """Ids by part. Of what it forgets, the lately used half stays."""
+class _Parts:
+    """Ids by part, as 32-bit numbers. Of what it forgets, the lately used half stays."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.ranks, self.older = ranks, {}
-
-    def __missing__(self, part: str) -> tuple[int, ...]:
-        ids = self.older.get(part)
-        if ids is None:
-            ids = tuple(merge(part.encode(), self.ranks))
-            if len(part) > LONGEST_REMEMBERED:
-                return ids
-        if len(self) >= REMEMBERED:
-            self.older = dict(self)
-            self.clear()
-        self[part] = ids
-        return ids
-
-
-def _parts_of(pattern: regex.Pattern, text: str):
-    if len(text) <= LIST_CHARS:
-        return pattern.findall(text)
-    return (found[0] for found in pattern.finditer(text))
+        self.ranks, self.lately, self.older = ranks, {}, {}
+
+    def learn(self, wanted: set[str]) -> list[str]:
+        """Make the ids of all these parts known; parts too long to remember are returned."""
+        if len(self.lately) >= REMEMBERED:
+            self.lately, self.older = {}, self.lately
+        unknown, older = [], self.older
+        for part in wanted.difference(self.lately):
+            if part in older:
+                self.lately[part] = older[part]
+            else:
+                unknown.append(part)
+        # A part that is one token needs no merges.
+        coded = [part.encode() for part in unknown]
+        whole = [self.ranks.get(piece) for piece in coded]
+        merged = iter(merge_all([piece for piece, rank in zip(coded, whole) if rank is None], self.ranks))
+        for part, rank in zip(unknown, whole):
+            self.lately[part] = next(merged) if rank is None else rank.to_bytes(4, sys.byteorder)
+        return [part for part in unknown if len(part) > LONGEST_REMEMBERED]
+
+
+def _pieces(pattern: regex.Pattern, texts: pa.Array) -> Iterator[tuple[list[str], bool]]:
+    """Parts of the texts in turn, and whether a text ends with them; a long one comes in several lists."""
+    for text in texts:
+        text = text.as_py() or ""
+        if len(text) <= LIST_CHARS:
+            yield pattern.findall(text), True
+            continue
+        found = (match[0] for match in pattern.finditer(text))
+        while some := list(islice(found, AT_ONCE)):
+            yield some, False
+        yield [], True
 
 
-def _coded(texts: pa.Array, ids_of: _Parts, split: regex.Pattern) -> pa.ListArray:
+def _coded(texts: pa.Array, known: _Parts, split: regex.Pattern) -> pa.ListArray:
     """Ids of every text."""
-    ids, ends, of_part = array("i"), [0], ids_of.__getitem__
-    for text in texts:
-        text = text.as_py()
-        if text:
-            ids.extend(chain.from_iterable(map(of_part, _parts_of(split, text))))
-        ends.append(len(ids))
-    values = pa.array(np.frombuffer(ids, np.int32) if ids else np.zeros(0, np.int32))
+    ids, ends, held, size = bytearray(), [0], [], 0
+
+    def settle() -> None:
+        long = known.learn(set(chain.from_iterable(parts for parts, _ in held)))
+        ids_of = known.lately.__getitem__
+        for parts, ended in held:
+            ids.extend(b"".join(map(ids_of, parts)))
+            if ended:
+                ends.append(len(ids) // 4)
+        for part in long:
+            del known.lately[part]
+        held.clear()
+
+    for parts, ended in _pieces(split, texts):
+        held.append((parts, ended))
+        size += len(parts)
+        if size >= AT_ONCE:
+            settle()
+            size = 0
+    settle()
+    values = pa.array(np.frombuffer(ids, np.int32))
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
 
 

@@ -10,7 +10,7 @@ from pagewarden.llm.queries import op9_mix_sources, table
 
 def lag(order, parts):
     """The largest distance of any source from its share, in blocks, over all slots."""
-    period, worst, seen = len(order), Fraction(0), dict.fromkeys(parts, 0)
+    period, worst, seen = sum(parts.values()), Fraction(0), dict.fromkeys(parts, 0)
     for slot, name in enumerate(order, 1):
         seen[name] += 1
         worst = max(worst, *(abs(Fraction(parts[n] * slot, period) - seen[n]) for n in parts))
