@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewarden.llm import bands, bpe, html, language, lines, minhash, mixing, pii, polytope, suffixes
+from pagewarden.llm import bands, bpe, html, language, lines, minhash, mixing, packing, pii, polytope, suffixes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -102,6 +102,14 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    pieces = packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
+    # Only digests of the ids go on.
+    packed = packing.pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_pii": op2_pii,
@@ -113,6 +121,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_mix_sources": op9_mix_sources,
     "op10_language": op10_language,
+    "op13_packing": op13_packing,
 }
 
 SQL = {"op8_line_dedup": OP8_SQL}
