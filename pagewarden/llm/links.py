@@ -5,14 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewarden.session import fresh_path
+from pagewarden.session import drop_path, fresh_path
 
 
-def written(frame: DataFrame, label: str) -> DataFrame:
-    """The frame as a table in the shared folder: worked out once, its lineage cut."""
+def stored(frame: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """The frame as a table in the shared folder, its lineage cut; and where it lies."""
     path = fresh_path(frame.sparkSession, label)
     frame.write.parquet(path)
-    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path), path
+
+
+def written(frame: DataFrame, label: str) -> DataFrame:
+    """The frame as a table in the shared folder: worked out once, its lineage cut."""
+    return stored(frame, label)[0]
 
 
 def _state(links: DataFrame) -> tuple:
@@ -29,7 +34,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     may split the hub's rows over tasks.
     """
     u, v = F.greatest(a, b), F.least(a, b)
-    links = written(links.select(u.alias("u"), v.alias("v")).where("u <> v").distinct(), "links")
+    links, path = stored(links.select(u.alias("u"), v.alias("v")).where("u <> v").distinct(), "links")
     before = _state(links)
     while True:
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -53,8 +58,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
                 )
             ).alias("link")
         ).select("link.*")
-        links = written(near.where("u <> v").distinct(), "links")
-        after = _state(links)
+        links, then = stored(near.where("u <> v").distinct(), "links")
+        drop_path(links.sparkSession, path)
+        path, after = then, _state(links)
         if after == before:
             break
         before = after
