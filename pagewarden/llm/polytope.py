@@ -138,6 +138,21 @@ def _hasher(tables: int, axes: int, visits: int):
     return F.arrow_udf(run, "struct<homes:array<bigint>,visited:array<bigint>>")
 
 
+def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each of n points one that all it is connected with share."""
+    root = np.arange(n)
+    while True:
+        one, two = root[i], root[j]
+        apart = one != two
+        if not apart.any():
+            return root
+        # Roots are hooked on lower ones, then all points on the root they lead to.
+        one, two = one[apart], two[apart]
+        np.minimum.at(root, np.maximum(one, two), np.minimum(one, two))
+        while (root[root] != root).any():
+            root = root[root]
+
+
 def _meet(least: float, visits: int):
     """Links within buckets, from rows sorted by bucket."""
 
@@ -157,7 +172,6 @@ def _meet(least: float, visits: int):
         block = rows["block"].to_numpy()
         part_a, part_b = rows["part_a"].to_numpy(), rows["part_b"].to_numpy()
         total = np.zeros(n, np.int64)
-        root = np.arange(n)
         pairs = []
         at, shift = np.arange(n), 1
         while len(at):
@@ -193,14 +207,7 @@ def _meet(least: float, visits: int):
         i, j = i[~met], j[~met]
         np.add.at(total, i, copies[j])
         np.add.at(total, j, copies[i])
-        order = np.argsort(ids[i], kind="stable")
-        for _ in range(64):
-            before = root.copy()
-            np.minimum.at(root, j[order], root[i[order]])
-            np.minimum.at(root, i, root[j])
-            root = root[root]
-            if (root == before).all():
-                break
+        root = _roots(n, i, j)
         linked = np.flatnonzero(total)
         least_id = np.full(n, np.iinfo(np.int64).max)
         np.minimum.at(least_id, root[linked], ids[linked])

@@ -93,6 +93,26 @@ def test_links_of_crowds_blocks_and_copies(spark):
     check(spark, rows, block=16)
 
 
+def test_a_long_chain(spark):
+    # Each vector is linked with the next alone; ids fall along the chain but for the first.
+    n, turn = 500, np.arccos(0.955)
+    ids = np.array([0, *range(n - 1, 0, -1)])
+    assert (polytope._roots(n, ids[:-1], ids[1:]) == 0).all()
+    v, rows = np.eye(n + 1)[0], []
+    for at, vec_id in enumerate(ids.tolist()):
+        rows.append((vec_id, v.astype(np.float32).tolist(), 0))
+        v = np.cos(turn) * v + np.sin(turn) * np.eye(n + 1)[at + 1]
+    check(spark, rows)
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_roots(seed):
+    rng = np.random.default_rng(seed)
+    i, j = rng.integers(0, 200, (2, 150))
+    roots = brute_components(zip(i.tolist(), j.tolist()))
+    assert [roots.get(x, x) for x in range(200)] == polytope._roots(200, i, j).tolist()
+
+
 def test_recall_at_the_threshold(spark):
     rng = np.random.default_rng(1)
     rows = []
