@@ -14,9 +14,9 @@ What is left, stretches that share a seed and differ somewhere, goes with its by
 the index: each batch of stretches gets a suffix array of its starts, compared as far
 as WIDTH; the array is merge-scanned against the levels that stand, where equal
 neighbours are matches; and levels of equal size merge into one twice as large. Batches
-end where a seed ends, and the levels of a seed go with it. A seed with more differing
-stretches than one task should hold has its starts counted by hash one by one, spread
-over all tasks.
+end where a seed ends, and the levels of a seed go with it. The starts of a crowded seed
+are parted by a hash of their strings into as many sets of levels as keep each to about
+`HELD` stretches; a stretch goes to those sets that some of its starts belong to.
 
 Null and empty texts have no bytes. A document shorter than WIDTH keeps all. Rows with
 equal id and text are two places, so they lose all that is long enough. Rows without an
@@ -45,8 +45,10 @@ _PLACE = np.uint64((1 << 20) - 1)
 _BASE = 0x9E3779B97F4A7C15 | 1
 # Stretches that get one suffix array.
 BATCH = 2000
-# Differing stretches of one seed that a task holds.
+# Differing stretches of one seed that one set of levels holds, about.
 HELD = 20_000
+# A place keeps the number of starts in its lowest bits.
+_STARTS = 256
 
 
 class _Hashes:
@@ -177,11 +179,14 @@ class Levels:
     def _string(self, start: tuple[int, int]) -> bytes:
         return self.text[start[0]][start[1] : start[1] + self.width]
 
-    def add(self, batch: list[bytes]) -> None:
+    def add(self, batch: list[bytes], own: list[bytes] | None = None) -> None:
+        """Index the starts of these stretches, or only those that `own` names for each."""
         base, width = len(self.text), self.width
         self.text += batch
         self.again += [bytearray(len(t) - width + 1) for t in batch]
-        starts = [(base + i, j) for i, t in enumerate(batch) for j in range(len(t) - width + 1)]
+        starts = [
+            (base + i, j) for i, t in enumerate(batch) for j in (own[i] if own else range(len(t) - width + 1))
+        ]
         fresh = self._scan(starts)
         size = 1
         # Every level is scanned; those of equal size become one on the way.
@@ -221,17 +226,19 @@ def _indexed(width: int):
     schema = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("place", pa.int64())])
 
     def matches(table: pa.Table) -> pa.RecordBatch:
-        seeds = table["seed"].to_numpy()
-        texts = table["bytes"].to_pylist()
+        seeds, parts = table["seed"].to_numpy(), table["part"].to_numpy()
+        texts, own = table["bytes"].to_pylist(), table["own"].to_pylist()
         out_row, out_place = [], []
-        ends = np.concatenate((np.flatnonzero(seeds[1:] != seeds[:-1]) + 1, [len(seeds)]))
+        new = (seeds[1:] != seeds[:-1]) | (parts[1:] != parts[:-1])
+        ends = np.concatenate((np.flatnonzero(new) + 1, [len(seeds)]))
         lo = 0
         while lo < len(seeds):
             # Whole seeds up to a batch; a larger seed goes through the levels by itself.
             hi = int(ends[max(np.searchsorted(ends, lo + BATCH, side="right") - 1, np.searchsorted(ends, lo, side="right"))])
             levels = Levels(width)
             for at in range(lo, hi, BATCH):
-                levels.add(texts[at : min(hi, at + BATCH)])
+                upto = min(hi, at + BATCH)
+                levels.add(texts[at:upto], own[at:upto])
             for row, again in enumerate(levels.again, lo):
                 flags = np.frombuffer(bytes(again), np.uint8)
                 step = np.diff(np.concatenate(([0], flags, [0])).astype(np.int8))
@@ -251,24 +258,29 @@ def _indexed(width: int):
             schema=schema,
         )
 
-    return by_groups(matches, ("seed",))
+    return by_groups(matches, ("seed", "part"))
 
 
-def _starts(width: int):
-    """Hashes of all starts of a stretch."""
+def _parted(width: int):
+    """For each part of its seed that has starts of a stretch, the part and these starts."""
 
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         hashes = _Hashes(4096)
-        for batch in batches:
+        kind = pa.list_(pa.struct([("part", pa.int64()), ("own", pa.binary())]))
+        for stretches, sets in batches:
             out = []
-            for item in batch:
+            for item, many in zip(stretches, sets.to_pylist()):
                 data = np.frombuffer(item.as_py(), np.uint8)
-                hashes.load(data)
-                out.append(mix(hashes.every(width)).view(np.int64))
-            yield pa.array(out, pa.list_(pa.int64()))
+                if many == 1:
+                    part = np.zeros(len(data) - width + 1, np.int64)
+                else:
+                    hashes.load(data)
+                    part = (mix(hashes.every(width)) % np.uint64(many)).astype(np.int64)
+                out.append([{"part": p, "own": bytes(np.flatnonzero(part == p).tolist())} for p in np.unique(part).tolist()])
+            yield pa.array(out, kind)
 
-    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return F.arrow_udf(run, "array<bigint>")
+    run.__annotations__ = {"batches": Iterator[tuple[pa.Array, pa.Array]], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, "array<struct<part:bigint,own:binary>>")
 
 
 def _remover(width: int):
@@ -309,6 +321,8 @@ def repeated_places(source: DataFrame, width: int = WIDTH, seed: int = SEED, hel
     `source` is (doc_id, row, text). A place is 256 times the first start plus how many
     starts follow one another.
     """
+    if not 0 < seed <= width < seed + _STARTS - 1:
+        raise ValueError(f"strings of {width} bytes need a seed of {width - _STARTS + 2} to {width} bytes")
     cut = _cutter(width, seed)(F.col("text"))
     found = source.select("doc_id", "row", F.explode(cut).alias("s")).select("doc_id", "row", "s.*")
     found = written(found, "stretches")
@@ -328,11 +342,13 @@ def repeated_places(source: DataFrame, width: int = WIDTH, seed: int = SEED, hel
         F.count("place").alias("n"), F.min(F.struct("doc_id", "row", "place")).alias("at")
     )
     kinds = written(kinds, "kinds")
-    copied = mixed.join(kinds.where("n > 1").select("seed", "stretch"), ["seed", "stretch"], "left_semi")
-    crowds = kinds.groupBy("seed").agg(F.count("stretch").alias("kinds"))
+    # Merged, so that a stretch which much of the data shares may be split.
+    twice = kinds.where("n > 1").select("seed", "stretch").hint("merge")
+    copied = mixed.join(twice, ["seed", "stretch"], "left_semi")
+    sets = kinds.groupBy("seed").agg(F.ceil(F.count("stretch") / held).alias("sets"))
     asked = (
-        kinds.join(crowds, "seed")
-        .select("at.*", F.struct("at.place", "seed", (F.col("kinds") > held).alias("crowd")).alias("ask"))
+        kinds.join(sets, "seed")
+        .select("at.*", F.struct("at.place", "seed", "sets").alias("ask"))
         .groupBy("doc_id", "row")
         .agg(F.collect_list("ask").alias("asks"))
     )
@@ -343,24 +359,17 @@ def repeated_places(source: DataFrame, width: int = WIDTH, seed: int = SEED, hel
         )
         .withColumn("copies", _copier(width)(F.col("text"), F.col("asks")))
         .select("doc_id", "row", F.explode(F.arrays_zip("asks", "copies")).alias("a"))
-        .select("doc_id", "row", "a.asks.place", "a.asks.seed", "a.asks.crowd", F.col("a.copies").alias("bytes"))
+        .select("doc_id", "row", "a.asks.*", F.col("a.copies").alias("bytes"))
+        .withColumn("parts", _parted(width)(F.col("bytes"), F.col("sets")))
+        .select("doc_id", "row", "place", "seed", "bytes", F.inline("parts"))
     )
-    fetched = written(fetched, "differing")
     matched = (
-        fetched.where("NOT crowd")
-        .select("doc_id", "row", "place", "seed", "bytes")
-        .repartition("seed")
-        .sortWithinPartitions("seed")
+        written(fetched, "differing")
+        .repartition("seed", "part")
+        .sortWithinPartitions("seed", "part")
         .mapInArrow(_indexed(width), "doc_id bigint, row bigint, place bigint")
     )
-    single = fetched.where("crowd").select(
-        "doc_id", "row", "place", F.posexplode(_starts(width)(F.col("bytes"))).alias("nth", "start")
-    )
-    twice = single.groupBy("start").agg(F.count("nth").alias("n")).where("n > 1").select("start")
-    counted = single.join(twice, "start").select(
-        "doc_id", "row", (F.expr("place - place % 256") + F.col("nth") * 256 + 1).alias("place")
-    )
-    return alike.unionByName(copied.select("doc_id", "row", "place")).unionByName(matched).unionByName(counted)
+    return alike.unionByName(copied.select("doc_id", "row", "place")).unionByName(matched)
 
 
 def remove_repeats(

@@ -64,6 +64,20 @@ def test_levels_merge_geometrically():
         assert list(again) == [int(strings[text[i : i + 10]] > 1) for i in range(21)]
 
 
+def test_a_crowded_seed_is_parted(spark):
+    rng = random.Random(6)
+    common = "the passage that all of them hold"
+    around = ["".join(rng.choices("ab", k=60)) for _ in range(6)]
+    crowd = [rng.choice(around) + common + rng.choice(around) for _ in range(120)]
+    crowd = [t[: rng.randrange(100, len(t) + 1)] for t in crowd]
+    check(documents(spark, crowd), width=90, seed=30, held=7)
+
+
+def test_places_that_do_not_fit(spark):
+    with pytest.raises(ValueError):
+        suffixes.repeated_places(documents(spark, ["a"]), width=400, seed=50)
+
+
 def test_odd_texts(spark):
     check(clashing(odd(spark), "row", "spans", "found", "kept"))
     frame = documents(spark, texts(4)[:3] * 2, [1, 1, 2, 1, None, None])
