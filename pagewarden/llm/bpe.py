@@ -29,11 +29,8 @@ from pyspark.sql import types as T
 
 from pagewarden.llm.batches import bound_batches
 from pagewarden.llm.names import others, own
+from pagewarden.llm.remember import REMEMBERED, Remembered
 
-# Parts remembered with their ids, twice so many at most for each Python worker.
-REMEMBERED = 200_000
-# Longer parts are rare and are not remembered.
-LONGEST_REMEMBERED = 64
 # Longer texts are parted as they are read, and not into a list at once.
 LIST_CHARS = 1 << 22
 # Parts of several texts are looked up and merged together, about so many at a time.
@@ -149,29 +146,17 @@ def merge_all(pieces: list[bytes], ranks: dict[bytes, int]) -> list[bytes]:
     return [ids[lo:hi] for lo, hi in zip(upto, upto[1:])]
 
 
-class _Parts:
-    """Ids by part, as 32-bit numbers. Of what it forgets, the lately used half stays."""
+def _known(ranks: dict[bytes, int]) -> Remembered:
+    """Ids by part, as 32-bit numbers."""
 
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranks, self.lately, self.older = ranks, {}, {}
-
-    def learn(self, wanted: set[str]) -> list[str]:
-        """Make the ids of all these parts known; parts too long to remember are returned."""
-        if len(self.lately) >= REMEMBERED:
-            self.lately, self.older = {}, self.lately
-        unknown, older = [], self.older
-        for part in wanted.difference(self.lately):
-            if part in older:
-                self.lately[part] = older[part]
-            else:
-                unknown.append(part)
+    def work(parts: list[str]) -> list[bytes]:
+        coded = [part.encode() for part in parts]
         # A part that is one token needs no merges.
-        coded = [part.encode() for part in unknown]
-        whole = [self.ranks.get(piece) for piece in coded]
-        merged = iter(merge_all([piece for piece, rank in zip(coded, whole) if rank is None], self.ranks))
-        for part, rank in zip(unknown, whole):
-            self.lately[part] = next(merged) if rank is None else rank.to_bytes(4, sys.byteorder)
-        return [part for part in unknown if len(part) > LONGEST_REMEMBERED]
+        whole = [ranks.get(piece) for piece in coded]
+        merged = iter(merge_all([piece for piece, rank in zip(coded, whole) if rank is None], ranks))
+        return [next(merged) if rank is None else rank.to_bytes(4, sys.byteorder) for rank in whole]
+
+    return Remembered(work, REMEMBERED)
 
 
 def _pieces(pattern: regex.Pattern, texts: pa.Array) -> Iterator[tuple[list[str], bool]]:
@@ -187,19 +172,16 @@ def _pieces(pattern: regex.Pattern, texts: pa.Array) -> Iterator[tuple[list[str]
         yield [], True
 
 
-def _coded(texts: pa.Array, known: _Parts, split: regex.Pattern) -> pa.ListArray:
+def _coded(texts: pa.Array, known: Remembered, split: regex.Pattern) -> pa.ListArray:
     """Ids of every text."""
     ids, ends, held, size = bytearray(), [0], [], 0
 
     def settle() -> None:
-        long = known.learn(set(chain.from_iterable(parts for parts, _ in held)))
-        ids_of = known.lately.__getitem__
+        ids_of = known.learn(set(chain.from_iterable(parts for parts, _ in held)))
         for parts, ended in held:
             ids.extend(b"".join(map(ids_of, parts)))
             if ended:
                 ends.append(len(ids) // 4)
-        for part in long:
-            del known.lately[part]
         held.clear()
 
     for parts, ended in _pieces(split, texts):
@@ -254,7 +236,7 @@ def encode(
     """The rows with the token ids of their whole text."""
     split = regex.compile(pattern)
     ids = _applied(
-        docs, text, lambda parts, batch: _coded(batch, parts, split), T.ArrayType(T.IntegerType()), (_Parts, ranks)
+        docs, text, lambda parts, batch: _coded(batch, parts, split), T.ArrayType(T.IntegerType()), (_known, ranks)
     )
     return docs.withColumn(out, ids)
 
@@ -282,7 +264,7 @@ def round_trip(
         return pa.StructArray.from_arrays([coded, _bytes_of(coded, tokens)], ["ids", "decoded"])
 
     found = _applied(
-        docs, text, both, "struct<ids:array<int>,decoded:binary>", (lambda r: (_Parts(r), _tokens(r)), ranks)
+        docs, text, both, "struct<ids:array<int>,decoded:binary>", (lambda r: (_known(r), _tokens(r)), ranks)
     )
     (name,) = own(docs, "coded")
     return docs.withColumn(name, found).select(

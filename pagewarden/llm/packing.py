@@ -17,23 +17,27 @@ them takes which slot follows the order in which they were written.
 
 from __future__ import annotations
 
+import json
 import os
 from bisect import bisect_left, insort
 from collections.abc import Iterator, Mapping
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewarden.llm.batches import bound_batches
 from pagewarden.llm.links import written
 from pagewarden.llm.names import others, own
+from pagewarden.llm.remember import Remembered
 
 WIDTH = 4096
 END = 1
-# Characters that are encoded at once; a longer text is cut before a blank.
+# Characters whose words are looked up at once; a longer text is cut before a blank.
 AT_ONCE = 1 << 18
 PIECES = "array<struct<piece:int,start:bigint,length:bigint,ids:binary>>"
 
@@ -93,6 +97,80 @@ def plan(counts: Mapping[int, int], width: int = WIDTH) -> tuple[list[Slots], in
     return slots, made
 
 
+def _bytes_as_letters() -> list[str]:
+    """The letter that stands for each byte in byte-level vocabularies: itself if it shows, else one from U+0100."""
+    shown = {*range(ord("!"), ord("~") + 1), *range(0xA1, 0x100)} - {0xAD}
+    hidden = iter(range(0x100, 0x200))
+    return [chr(b) if b in shown else chr(next(hidden)) for b in range(256)]
+
+
+_LETTERS = _bytes_as_letters()
+# Words of these characters alone are the same in normal form, and lower-cased one by one.
+_PLAIN = regex.compile("[!-~À-ÖØ-öø-ÿ]+")
+_WRITTEN = {c: "".join(_LETTERS[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
+
+
+def _word_pattern(source: dict) -> str | None:
+    """What the tokenizer takes as words, if it drops white space and lowers case; none if it works otherwise."""
+    normal, split = source.get("normalizer") or {}, source.get("pre_tokenizer") or {}
+    steps, parts = normal.get("normalizers", []), split.get("pretokenizers", [])
+    blanks = {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}
+    if steps != [{"type": "NFC"}, blanks, {"type": "Lowercase"}] or len(parts) != 2:
+        return None
+    words, letters = parts
+    if words.get("behavior") != "Removed" or not words.get("invert") or letters.get("type") != "ByteLevel":
+        return None
+    if letters.get("add_prefix_space") or letters.get("use_regex") or source.get("post_processor"):
+        return None
+    return words["pattern"]["Regex"]
+
+
+class Encoder:
+    """Ids of texts by a tokenizer file.
+
+    Where white space parts words for good, the ids of a text are those of what lies
+    between its blanks, and these are remembered. Words of plain letters go straight to
+    the tokenizer's merges. Other tokenizers get whole texts.
+    """
+
+    def __init__(self, source: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_str(source)
+        self.tokenizer.encode_special_tokens = True
+        pattern = _word_pattern(json.loads(source))
+        self.words = regex.compile(pattern) if pattern else None
+        self.known = Remembered(self._encode)
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        codes = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(code.ids, "<u4").tobytes() for code in codes]
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        plain = [_PLAIN.fullmatch(text) is not None for text in texts]
+        rest = iter(self._whole([text for text, known in zip(texts, plain) if not known]))
+        words = [self.words.findall(text.lower()) if known else None for text, known in zip(texts, plain)]
+        merges, ids = self.tokenizer.model.tokenize, {}
+        for word in set(chain.from_iterable(filter(None, words))):
+            tokens = merges(word if word.isascii() else word.translate(_WRITTEN))
+            ids[word] = b"".join([token.id.to_bytes(4, "little") for token in tokens])
+        ids_of = ids.__getitem__
+        return [next(rest) if some is None else b"".join(map(ids_of, some)) for some in words]
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Unsigned little-endian 32-bit ids of every text."""
+        if self.words is None:
+            return [self._whole([text.as_py() or ""])[0] for text in texts]
+        found: list[list[bytes]] = [[] for _ in range(len(texts))]
+        for group in _groups(texts):
+            # No token and no step before the tokens reaches across a blank or line feed.
+            words = [part.replace("\n", " ").split(" ") for _, part in group]
+            ids_of = self.known.learn(set(chain.from_iterable(words)))
+            for (row, _), some in zip(group, words):
+                found[row].append(b"".join(map(ids_of, some)))
+        return [b"".join(parts) for parts in found]
+
+
 def _cut(text: str) -> Iterator[str]:
     """The text in parts that are encoded alike alone: each starts at a blank or line feed."""
     lo = 0
@@ -117,15 +195,6 @@ def _groups(texts: pa.Array) -> Iterator[list[tuple[int, str]]]:
     yield held
 
 
-def _ids(texts: pa.Array, tokenizer) -> list[np.ndarray]:
-    found: list[list[np.ndarray]] = [[] for _ in range(len(texts))]
-    for group in _groups(texts):
-        coded = tokenizer.encode_batch_fast([part for _, part in group], add_special_tokens=False)
-        for (row, _), code in zip(group, coded):
-            found[row].append(np.array(code.ids, "<u4"))
-    return [np.concatenate(parts) for parts in found]
-
-
 def pieces(
     docs: DataFrame, tokenizer: str, text: str = "text", end: int = END, width: int = WIDTH
 ) -> DataFrame:
@@ -141,21 +210,19 @@ def pieces(
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         # One thread for each task.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
         source, kept = sent.value
         if not kept:
-            made = Tokenizer.from_str(source)
-            made.encode_special_tokens = True
-            kept.append(made)
+            kept.append(Encoder(source))
+        last = np.uint32(end).astype("<u4").tobytes()
         for batch in batches:
             out = []
-            for ids in _ids(batch, kept[0]):
-                ids = np.append(ids, np.uint32(end))
+            for ids in kept[0].encode(batch):
+                ids += last
+                parts = [ids[lo : lo + 4 * width] for lo in range(0, len(ids), 4 * width)]
                 out.append(
                     [
-                        {"piece": i, "start": lo, "length": len(ids[lo : lo + width]), "ids": ids[lo : lo + width].tobytes()}
-                        for i, lo in enumerate(range(0, len(ids), width))
+                        {"piece": i, "start": i * width, "length": len(part) // 4, "ids": part}
+                        for i, part in enumerate(parts)
                     ]
                 )
             kind = [("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())]

@@ -1,9 +1,11 @@
 import random
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from common import ODD_TEXTS, clashing, documents, odd
 from tokenizers import Tokenizer
@@ -74,15 +76,35 @@ def test_a_piece_that_cannot_fit():
         packing.plan({9: 1}, 8)
 
 
-def test_long_texts_are_cut_where_it_does_not_matter(monkeypatch):
-    import pyarrow as pa
-
+def test_ids_are_those_of_whole_texts(monkeypatch):
     monkeypatch.setattr(packing, "AT_ONCE", 20)
     rng = random.Random(4)
-    bits = ["It's", "Größe", "é", "naïve", "42", "x" * 50, " ", "\n", "\t", "漢字", "don't", "́", "ΑΣ", "　", "--"]
-    texts = ["".join(rng.choice(bits) + rng.choice(["", " "]) for _ in range(rng.randrange(200))) for _ in range(40)]
-    for text, ids in zip(texts, packing._ids(pa.array(texts), LIBRARY)):
-        assert ids.tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+    bits = ["It's", "Größe", "é", "naïve", "42", "x" * 50, " ", "\n", "\t", "漢字", "DON'T", "́", "ΑΣ", "　", "--", "a\xa0b",
+            "\x1c", "İ", "½", "ª", "Ÿ", "<|endoftext|>", "…", "\xad", "'S'", "7'll8", "A.B,c!", "🙂", "\x85", "ﬁ", "À×÷ß"]
+    texts = ["".join(rng.choice(bits) + rng.choice(["", " "]) for _ in range(rng.randrange(200))) for _ in range(200)]
+    LIBRARY.encode_special_tokens = True
+    wanted = [LIBRARY.encode(text, add_special_tokens=False).ids for text in texts]
+    source = Path(PATH).read_text(encoding="utf-8")
+    encoder = packing.Encoder(source)
+    assert encoder.words is not None
+    for _ in range(2):
+        assert [np.frombuffer(ids, "<u4").tolist() for ids in encoder.encode(pa.array(texts))] == wanted
+    encoder.words = None
+    assert [np.frombuffer(ids, "<u4").tolist() for ids in encoder.encode(pa.array(texts))] == wanted
+
+
+def test_other_tokenizers_get_whole_texts():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder = packing.Encoder(Path(path).read_text(encoding="utf-8"))
+    (ids,) = encoder.encode(pa.array(["Two words, and more"]))
+    assert np.frombuffer(ids, "<u4").tolist() == Tokenizer.from_file(path).encode("Two words, and more").ids
+
+
+def test_ids_on_given_texts(spark):
+    texts = [r["text"] for r in table(spark, "/root/testdata/sf0.01", "documents").select("text").collect()]
+    found = packing.Encoder(Path(PATH).read_text(encoding="utf-8")).encode(pa.array(texts))
+    for text, ids in zip(texts, found):
+        assert np.frombuffer(ids, "<u4").tolist() == LIBRARY.encode(text or "", add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("width", [1, 7, 4096])
