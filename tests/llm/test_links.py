@@ -102,7 +102,7 @@ def test_a_long_chain(spark):
     for at, vec_id in enumerate(ids.tolist()):
         rows.append((vec_id, v.astype(np.float32).tolist(), 0))
         v = np.cos(turn) * v + np.sin(turn) * np.eye(n + 1)[at + 1]
-    check(spark, rows)
+    check(spark, rows, axes=1)
 
 
 @pytest.mark.parametrize("seed", range(5))
