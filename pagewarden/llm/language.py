@@ -28,7 +28,9 @@ from pagewarden.llm.arrays import row_groups, text_bytes
 from pagewarden.llm.batches import bound_batches
 from pagewarden.llm.names import others, own
 
+# Cells of each direction for up to this many languages; every further two add one and a half.
 CELLS = 5
+FEW = 4
 # A stretch owns this many bytes and reads so many more on both sides.
 STRETCH = 192
 WARM_UP = 8
@@ -162,13 +164,13 @@ class Network:
 
 
 def train(
-    texts: list[str], languages: list[str], epochs: int = EPOCHS, cells: int = CELLS, seed: int = 0
+    texts: list[str], languages: list[str], epochs: int = EPOCHS, cells: int | None = None, seed: int = 0
 ) -> Network | None:
     """A network for the languages that occur; none if there are no texts."""
     names = sorted(set(languages))
     if not names:
         return None
-    network = Network(names, cells, seed)
+    network = Network(names, cells or CELLS + max(0, len(names) - FEW) * 3 // 4, seed)
     steps = 64
     rows, labels = [], []
     for text, language in zip(texts, languages):
@@ -280,10 +282,7 @@ def sample(
     labelled = docs.where(
         F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}") & F.col(doc_id).isNotNull() & ~held_out(doc_id)
     ).select(F.col(lang).alias("lang"), F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    picks = labelled.groupBy("lang").agg(
-        F.min_by(F.struct("doc_id"), F.xxhash64("doc_id")).alias("any"), F.count("lang").alias("n")
-    )
-    sizes = {r["lang"]: r["n"] for r in picks.select("lang", "n").collect()}
+    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
     if not sizes:
         return []
     each = max(1, documents // len(sizes))
@@ -295,7 +294,6 @@ def sample(
     rows = (
         labelled.where(chance < rates[F.col("lang")])
         .select("lang", F.substring("text", start.cast("int"), F.lit(most_bytes)).alias("text"), "doc_id")
-        .limit(2 * documents)
         .collect()
     )
     return [(r["text"], r["lang"]) for r in sorted(rows, key=lambda r: (r["lang"], r["doc_id"]))]

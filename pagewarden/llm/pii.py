@@ -7,12 +7,13 @@ which; it finds other ways of writing the same things, such as `name (at) host.o
 number without its country. All is trained in numpy on labelled spans: those the patterns
 find in a bounded sample, and written-out examples and look-alikes set into its passages.
 
-All four kinds hold a digit, an `@` or a bracketed `at`, so the tagger reads the
-surroundings of each of these in the whole text, however many there are. Surroundings that
-touch are one stretch. A stretch is read in overlapping windows; where windows overlap
-their scores are averaged, each weighted by the distance to its window's edge, and one
-best path is decoded through the stretch as a whole. A found span is added if it is likely,
-well formed and touches no span of the patterns.
+All four kinds hold a digit, an `@`, a bracketed `at` or the word `dot`, so the tagger
+reads a window's width around each of these in the whole text, however many there are.
+Surroundings that touch are one stretch. A stretch is read in overlapping windows; where
+windows overlap their scores are averaged, each weighted by the distance to its window's
+edge, and one best path is decoded through it. Stretches longer than `LONG` go in parts
+that each read on beyond their borders and own the spans that start in them. A found span
+is added if it is likely, well formed and touches no span of the patterns or before it.
 
 A null or empty text has no spans. Rows are judged one by one: repeated rows get equal
 results, an empty table none, other columns stay, and columns named like a result are
@@ -40,20 +41,32 @@ TAGS = 1 + 2 * len(KINDS)
 CELLS = 16
 WINDOW = 128
 STRIDE = 64
-AROUND = 40
+AROUND = WINDOW // 2
 LIKELY = 0.6
 GROUP = 1024
+# Characters of a stretch that are decoded in one go, a multiple of the stride, and of all that are scored side by side.
+LONG = 8192
+GROUP_CHARS = 1 << 17
 # The tagger learns from at most this many passages of texts, each of so many characters.
 SAMPLE_TEXTS = 300
 SAMPLE_CHARS = 600
-STEPS = 160
+STEPS = 260
+# Texts looked at for the sample, on average, for each that is taken.
+LOOKED_AT = 8
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]*+\Z")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_HINT = re.compile(r"[0-9@]|[\[({]\s?(?:at|AT)\s?[\])}]")
+_HINT = re.compile(r"[0-9@]|[\[({]\s*at\s*[\])}]|\bdot\b", re.I)
+# Other ways of writing: what parts the name from the host, and the parts of a host or of an address.
+_AT = r"\s*(?:@|[\[({]\s*at\s*[\])}]|\bat\b)\s*"
+_DOT = r"\s*(?:\.|[\[({]\s*(?:\.|dot)\s*[\])}]|\bdot\b)\s*"
+_OTHER_EMAIL = re.compile(rf"[a-z0-9][a-z0-9._%+-]*{_AT}[a-z0-9-]+(?:{_DOT}[a-z0-9-]+)*{_DOT}[a-z]{{2,}}", re.I)
+_OTHER_IP = re.compile(rf"([0-9]+){_DOT}([0-9]+){_DOT}([0-9]+){_DOT}([0-9]+)", re.I)
+_OTHER_CARD = re.compile(r"[0-9](?:[\x20._/-]?[0-9])+")
+_OTHER_PHONE = re.compile(r"\+?\(?[0-9][0-9 ()./-]+[0-9]")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 
@@ -248,9 +261,14 @@ class Tagger:
         """The best tags of stretches of any lengths."""
         order = sorted(range(len(scores)), key=lambda s: len(scores[s]))
         out: list = [None] * len(scores)
-        for lo in range(0, len(order), GROUP):
-            group = order[lo : lo + GROUP]
-            longest, n = len(scores[group[-1]]), len(group)
+        lo = 0
+        while lo < len(order):
+            # As many of like length as fit; a longer one goes alone.
+            hi = lo + 1
+            while hi < min(len(order), lo + GROUP) and (hi + 1 - lo) * len(scores[order[hi]]) <= GROUP_CHARS:
+                hi += 1
+            group = order[lo:hi]
+            lo, longest, n = hi, len(scores[group[-1]]), len(group)
             padded = np.full((longest, n, TAGS), -1e6)
             padded[:, :, 0] = 0
             for column, s in enumerate(group):
@@ -280,20 +298,20 @@ def _examples(rng: random.Random) -> tuple[str, int | None]:
     if pick < 3:
         return f"{name}@{host}", 0
     if pick < 7:
-        at = rng.choice([" (at) ", " [at] ", "(at)", "[at]", " {at} ", " @ ", " (AT) "])
-        dot = rng.choice([".", " (dot) ", " [dot] ", "[dot]", ".", "."])
+        at = rng.choice([" (at) ", " [at] ", "(at)", "[at]", " {at} ", " @ ", " (AT) ", " (At) ", " ( at ) ", " at "])
+        dot = " dot " if at == " at " else rng.choice([".", " (dot) ", " [dot] ", "[dot]", " dot ", "."])
         return name + at + host.replace(".", dot), 0
     if pick < 9:
-        return ".".join(str(rng.randrange(1, 256)) for _ in range(4)), 1
+        return rng.choice([".", ".", " . ", "[.]", " dot "]).join(str(rng.randrange(256)) for _ in range(4)), 1
     if pick < 11:
         body = rng.choice("3456") + digits(14)
         body += next(c for c in "0123456789" if _luhn(body + c))
-        gap = rng.choice(["", " ", "-"])
+        gap = rng.choice(["", " ", "-", ".", "/", "_"])
         return gap.join(body[i : i + 4] for i in range(0, 16, 4)), 2
     if pick < 15:
         a, b, c = digits(3), digits(3), digits(4)
         return rng.choice([f"+{rng.randrange(1, 99)} ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}",
-                           f"+{rng.randrange(1, 99)} {a} {b} {c}", f"+1-{a}-{b}-{c}"]), 3
+                           f"+{rng.randrange(1, 99)} {a} {b} {c}", f"+1-{a}-{b}-{c}", f"{a}/{b}-{c}"]), 3
     hexes = "".join(rng.choices("0123456789abcdef", k=rng.randrange(12, 41)))
     return rng.choice(
         [
@@ -301,6 +319,7 @@ def _examples(rng: random.Random) -> tuple[str, int | None]:
             f"{rng.randrange(1900, 2100)}-{digits(2)}-{digits(2)}", f"{digits(1)}.{digits(1)}.{digits(2)}", f"@{word()}",
             f"{digits(2)}:{digits(2)}", f"{digits(3)}.{digits(2)}", f"#{digits(5)}", f"{digits(1)}, {digits(2)} and {digits(3)}",
             f"{digits(2)}.{digits(2)}.{rng.randrange(1900, 2100)}", f"({word()}) {digits(3)}", f"{word()} @ {digits(3)}",
+            f"the dot {word()}", f"{word()} dot {word()}", f"{digits(1)} dot {digits(1)}", f"{digits(2)}/{digits(2)}/{digits(4)}",
         ]
     ), None
 
@@ -403,35 +422,56 @@ def _stretch_scores(tagger: Tagger, codes: list[np.ndarray]) -> list[np.ndarray]
 def _well_formed(kind: int, text: str) -> bool:
     digits = _digits(text)
     if kind == 0:
-        marked = "@" in text or re.search(r"[\[({]\s?at\s?[\])}]", text, re.I)
-        return bool(marked) and bool(re.search(r"(?:\.|dot[\])}]?\s?)[A-Za-z]{2,}$", text)) and text[0].isalnum()
+        return _OTHER_EMAIL.fullmatch(text) is not None
     if kind == 1:
-        return text.count(".") == 3 and len(_IP.findall(text)) == 1 and valid("ip", text)
+        parts = _OTHER_IP.fullmatch(text)
+        return parts is not None and valid("ip", ".".join(parts.groups()))
     if kind == 2:
-        return bool(_CARD.fullmatch(text)) and valid("card", text)
-    return 10 <= len(digits) <= 15 and bool(re.fullmatch(r"\+?\(?[0-9][0-9 ().-]+[0-9]", text))
+        return _OTHER_CARD.fullmatch(text) is not None and valid("card", text)
+    return 10 <= len(digits) <= 15 and _OTHER_PHONE.fullmatch(text) is not None
+
+
+def _places(row: int, text: str) -> Iterator[tuple[int, int, int, int, int]]:
+    """(row, from, to, first, last): what is read for the spans that start from first to last."""
+    for lo, hi in stretches(text):
+        for first in range(lo, hi, LONG):
+            last = min(hi, first + LONG)
+            yield row, max(lo, first - WINDOW), min(hi, last + 2 * WINDOW), first, last
+
+
+def _groups(texts: list[str]) -> Iterator[list[tuple[int, int, int, int, int]]]:
+    held, size = [], 0
+    for row, text in enumerate(texts):
+        for place in _places(row, text):
+            held.append(place)
+            size += place[2] - place[1]
+            if size >= GROUP_CHARS:
+                yield held
+                held, size = [], 0
+    yield held
 
 
 def added_spans(tagger: Tagger, texts: list[str], known: list[list]) -> list[list[tuple[int, int, int]]]:
     """For each text what the tagger finds besides the known spans."""
-    places = [(row, lo, hi) for row, text in enumerate(texts) for lo, hi in stretches(text)]
-    codes = [_codes(texts[row][lo:hi]) for row, lo, hi in places]
-    scores = _stretch_scores(tagger, codes)
     out: list[list] = [[] for _ in texts]
-    for (row, lo, _), score, path in zip(places, scores, tagger.best_paths(scores)):
-        sure = None
-        for start in np.flatnonzero(path % 2 == 1):
-            kind, end = int(path[start]) // 2, start + 1
-            while end < len(path) and path[end] == 2 + 2 * kind:
-                end += 1
-            a, b = lo + int(start), lo + int(end)
-            if any(a < e and s < b for s, _, e in known[row]):
-                continue
-            if not _well_formed(kind, texts[row][a:b]):
-                continue
-            sure = tagger.likely(score, path) if sure is None else sure
-            if sure[start:end].min() >= LIKELY:
-                out[row].append((a, kind, b))
+    for group in _groups(texts):
+        scores = _stretch_scores(tagger, [_codes(texts[row][lo:hi]) for row, lo, hi, _, _ in group])
+        for (row, lo, _, first, last), score, path in zip(group, scores, tagger.best_paths(scores)):
+            sure = None
+            for start in np.flatnonzero(path % 2 == 1).tolist():
+                if not first <= lo + start < last:
+                    continue
+                kind, end = int(path[start]) // 2, start + 1
+                while end < len(path) and path[end] == 2 + 2 * kind:
+                    end += 1
+                a, b = lo + start, lo + end
+                if out[row] and a < out[row][-1][2] or any(a < e and s < b for s, _, e in known[row]):
+                    continue
+                if not _well_formed(kind, texts[row][a:b]):
+                    continue
+                sure = tagger.likely(score, path) if sure is None else sure
+                if sure[start:end].min() >= LIKELY:
+                    out[row].append((a, kind, b))
     return out
 
 
@@ -475,15 +515,21 @@ def find(docs: DataFrame, tagger: Tagger, text: str = "text") -> DataFrame:
 
 
 def sample(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int = SAMPLE_TEXTS) -> list[str]:
-    """Passages around a digit or `@` of a bounded number of texts, the same in every run."""
+    """Passages around a digit or `@` of a bounded number of texts, the same in every run.
+
+    A hash of the id first leaves `LOOKED_AT` texts on average for each that is taken, so
+    what comes to the driver does not grow with the table.
+    """
+    total = docs.count()
+    chance = F.pmod(F.xxhash64(doc_id), F.lit(1 << 30)) / float(1 << 30)
     around = F.regexp_extract(text, rf"(?s).{{0,{SAMPLE_CHARS // 2}}}[0-9@].{{0,{SAMPLE_CHARS // 2}}}", 0)
     picked = (
-        docs.where(F.col(text).rlike("[0-9@]"))
+        docs.where(chance < min(1.0, LOOKED_AT * most / max(total, 1)))
+        .where(F.col(text).rlike("[0-9@]"))
         .select(F.xxhash64(doc_id).alias("order"), around.alias("passage"))
-        .orderBy("order", "passage")
-        .limit(most)
     )
-    return [row["passage"] for row in picked.collect()]
+    rows = sorted((row["order"], row["passage"]) for row in picked.collect())
+    return [passage for _, passage in rows[:most]]
 
 
 def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Tagger:

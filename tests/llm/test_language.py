@@ -51,6 +51,15 @@ def test_short_texts_are_learnt_from(spark):
     assert language._predict_rows(network, short, np.array([0, len(short)]))[0].argmax() == 0
 
 
+def test_twenty_languages(spark):
+    rng = np.random.default_rng(3)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyzäöüßéèñçåø"))
+    words = [["".join(rng.choice(letters, rng.integers(2, 9), p=w)) for _ in range(200)] for w in rng.dirichlet(np.full(len(letters), 0.7), 20)]
+    rows = [(i, " ".join(rng.choice(words[i % 20], 40)), f"l{i % 20:02}", None, None) for i in range(2400)]
+    found = language.identify(spark.createDataFrame(rows, DOCS)).where("held_out").collect()
+    assert len(found) > 600 and np.mean([r["lang"] == r["lang_pred"] for r in found]) >= 0.95
+
+
 def test_held_out_rule(spark):
     frame = documents(spark, ["x"] * 50)
     rows = frame.select("doc_id", language.held_out("doc_id").alias("h")).collect()

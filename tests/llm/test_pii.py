@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import pytest
@@ -108,6 +109,47 @@ def test_tagger_finds_other_spellings(tagger):
     assert [texts[0][a:b] for a, _, b in added[0]] == ["jane.doe (at) example.org"] and added[1] == []
 
 
+def test_written_out_examples_of_all_kinds(spark, tagger):
+    """Precision and recall on examples that were not learnt from, between words of the given texts."""
+    rng = random.Random(99)
+    words = " ".join(
+        r["text"] for r in table(spark, "/root/testdata/sf0.01", "documents").where("NOT text RLIKE '[0-9@]'").limit(50).collect()
+    ).split()
+    texts, truth = [], []
+    for _ in range(600):
+        at = rng.randrange(len(words) - 40)
+        example, kind = pii._examples(rng)
+        before = " ".join(words[at : at + 12]) + " "
+        texts.append(before + example + " " + " ".join(words[at + 12 : at + 30]))
+        truth.append(None if kind is None else (len(before), kind, len(before) + len(example)))
+    found = [set(spans) for spans in pii.added_spans(tagger, texts, [[] for _ in texts])]
+    for kind in range(4):
+        wanted = [(t, f) for t, f in zip(truth, found) if t and t[1] == kind]
+        assert len(wanted) > 30
+        assert sum(t in f for t, f in wanted) >= 0.7 * len(wanted), pii.KINDS[kind]
+    right = sum(t in f for t, f in zip(truth, found) if t)
+    assert right >= 0.9 * sum(map(len, found))
+
+
+def test_long_texts_of_digits_take_bounded_memory(tagger):
+    import tracemalloc
+
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("0123456789 .", k=1 << 20))] + ["call 5 now"] * 2000
+    tracemalloc.start()
+    pii.added_spans(tagger, texts, [[] for _ in texts])
+    assert tracemalloc.get_traced_memory()[1] < 400 << 20
+    tracemalloc.stop()
+
+
+def test_parts_of_a_long_stretch_agree(tagger, monkeypatch):
+    text = "; ".join(["jane.doe (at) example.org", "4111/1111/1111/1111", "call 5 and 7", "10 . 0 . 0 . 1"] * 40)
+    whole = pii.added_spans(tagger, [text], [[]])[0]
+    monkeypatch.setattr(pii, "LONG", 5 * pii.STRIDE)
+    parts = pii.added_spans(tagger, [text], [[]])[0]
+    assert len(set(whole) & set(parts)) >= 0.95 * len(whole) > 40
+
+
 def test_windows_reach_every_hint(tagger):
     text = ("word " * 40 + "1.2.3.4 ") * 20
     assert all(any(lo <= m.start() and m.end() <= hi for lo, hi in pii.stretches(text)) for m in re.finditer("[0-9]", text))
