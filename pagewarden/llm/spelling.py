@@ -17,8 +17,12 @@ part, an empty table gives no rows.
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 from typing import NamedTuple
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -29,16 +33,23 @@ from pagewarden.llm.batches import bound_batches
 from pagewarden.llm.links import stored, written
 from pagewarden.session import drop_path
 
-LETTERS = r"[A-Za-zÀ-ÿ]+"
+# Runs after `bytes.lower`, which changes A to Z alone.
+LETTERS = "[a-z\u00C0-\u00FF]"
+# Words with their counts that a task holds before it hands them on.
+HELD_WORDS = 1 << 18
+# The runs of longer texts are counted some at a time.
+LIST_CHARS = 1 << 22
 LEAST_CHARS = 5
 LEAST_TIMES = 3
 TYPO_RATE = 97
 # The cells of all lengths are made from about this many words at most.
 SAMPLE_WORDS = 1 << 16
 # Code points of the words that a block of a cell holds, about.
-BLOCK_CHARS = 1 << 16
+BLOCK_CHARS = 1 << 17
 # Words in a leaf of the lower trees.
-LEAF = 24
+LEAF = 96
+# Multiplications in one product of visitors and a leaf.
+PRODUCT = 1 << 18
 # Letters as columns: a to z, then the letters from U+00C0.
 N_LETTERS = 26 + 64
 _COLUMN = np.full(256, -1)
@@ -48,6 +59,47 @@ _COLUMN[0xC0:] = np.arange(26, N_LETTERS)
 STEPS = ((0, 1, 1), (1, 1, 0))
 
 
+def _counter(least_chars: int, typo_rate: int):
+    """Words and their counts, added up within tasks, from ids and texts."""
+    # A shorter run makes no word, with or without a typing error.
+    pattern = re.compile(f"{LETTERS}{{{least_chars},}}")
+
+    def runs_of(text: str) -> Iterator[list[str]]:
+        lower = text.encode().lower().decode()
+        if len(lower) <= LIST_CHARS:
+            yield pattern.findall(lower)
+            return
+        found = (match[0] for match in pattern.finditer(lower))
+        while runs := list(islice(found, LIST_CHARS // least_chars)):
+            yield runs
+
+    def out(counts: Counter) -> pa.RecordBatch:
+        kept = {word: n for word, n in counts.items() if n and len(word) >= least_chars}
+        return pa.RecordBatch.from_arrays(
+            [pa.array(list(kept), pa.string()), pa.array(list(kept.values()), pa.int64())], ["word", "n"]
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+        for batch in batches:
+            for doc_id, text in zip(*batch.columns):
+                begin = crc32(f"{doc_id.as_py()}:".encode())
+                for runs in runs_of(text.as_py() or ""):
+                    counts.update(runs)
+                    # The same run of the same document always loses the same letter.
+                    typos = {r for r in set(runs) if not crc32(r.encode(), begin) % typo_rate}
+                    for word, times in Counter(filter(typos.__contains__, runs) if typos else ()).items():
+                        at = crc32(word.encode(), begin) % len(word)
+                        counts[word] -= times
+                        counts[word[:at] + word[at + 1 :]] += times
+                if len(counts) >= HELD_WORDS:
+                    yield out(counts)
+                    counts = Counter()
+        yield out(counts)
+
+    return run
+
+
 def counted_words(
     docs: DataFrame,
     doc_id: str = "doc_id",
@@ -57,23 +109,10 @@ def counted_words(
     typo_rate: int = TYPO_RATE,
 ) -> DataFrame:
     """(word, n) of the words that occur often enough, with the letters that typing errors drop."""
-    runs = docs.select(
-        F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("id"),
-        F.explode(F.regexp_extract_all(F.col(text), F.lit(f"({LETTERS})"))).alias("run"),
-    )
-    # Only A to Z become lower case; most runs have none.
-    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-    plain = F.when(F.col("run").rlike("[A-Z]"), F.translate("run", upper, lower)).otherwise(F.col("run"))
-    # The same run of the same document always loses the same letter.
-    runs = runs.select("id", plain.alias("run")).where(F.length("run") >= least_chars)
-    spot = F.crc32(F.concat_ws(":", "id", "run").cast("binary"))
-    at = (F.col("spot") % F.length("run")).cast("int")
-    cut = F.concat(F.substring("run", F.lit(1), at), F.substring("run", at + 2, F.length("run")))
-    words = runs.withColumn("spot", spot).select(
-        F.when(F.col("spot") % typo_rate == 0, cut).otherwise(F.col("run")).alias("word")
-    )
-    counted = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    return counted.where((F.length("word") >= least_chars) & (F.col("n") >= least_times))
+    bound_batches(docs.sparkSession)
+    rows = docs.select(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("id"), F.col(text).alias("text"))
+    counted = rows.mapInArrow(_counter(least_chars, typo_rate), "word string, n bigint")
+    return counted.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least_times)
 
 
 class Matrix(NamedTuple):
@@ -129,6 +168,7 @@ def grow(counts: np.ndarray, leaf: int) -> tuple[list[Split], np.ndarray]:
 
 def visit(nodes: list[Split], counts: np.ndarray, up: int, down: int) -> Iterator[tuple[Split, int, np.ndarray]]:
     """Leaves, their numbers, and which points reach their boxes by so many steps up and down."""
+    columns = np.ascontiguousarray(counts.T)
     # How far a point lies outside of a box, by letter, changes only where the box is cut.
     free = np.iinfo(np.int32).max
     waiting = [(0, np.arange(len(counts)), np.zeros((2, len(counts)), np.int32), {})]
@@ -141,7 +181,7 @@ def visit(nodes: list[Split], counts: np.ndarray, up: int, down: int) -> Iterato
             yield node, at, points
             continue
         low, high = box.get(node.letter, (0, free))
-        have = counts[points, node.letter]
+        have = columns[node.letter][points]
         for child, bounds in ((node.left, (low, node.most)), (node.right, (node.most + 1, high))):
             further = away.copy()
             further[0] += np.maximum(bounds[0] - have, 0) - np.maximum(low - have, 0)
@@ -183,17 +223,21 @@ class Cells:
                 out[points] = at
         return out
 
-    def visits(self, words: list[str], length: int) -> list[list[tuple[int, int]]]:
-        """(longer by, cell) of the cells whose words may be near each word."""
-        out: list[list[tuple[int, int]]] = [[] for _ in words]
+    def visits(self, words: list[str], length: int, homes: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(word, longer by, cell) of the cells whose words may be near each word.
+
+        Of two cells of one length the words of the lesser visit the greater.
+        """
         counts = matrix(words, length).counts
+        found = []
         for more, up, down in STEPS:
             tree = self.trees.get(length + more)
             reached = visit(tree, counts, up, down) if tree else [(None, 0, np.arange(len(words)))]
             for _, at, points in reached:
-                for point in points.tolist():
-                    out[point].append((more, at))
-        return out
+                if not more:
+                    points = points[homes[points] <= at]
+                found.append((points, np.full(len(points), more), np.full(len(points), at)))
+        return tuple(np.concatenate(column) for column in zip(*found))
 
 
 def _by_length(words: list[str]) -> Iterator[tuple[int, np.ndarray, list[str]]]:
@@ -207,19 +251,26 @@ def _by_length(words: list[str]) -> Iterator[tuple[int, np.ndarray, list[str]]]:
             yield length, some, [words[i] for i in some.tolist()]
 
 
-def _placed(cells):
+def _placed(cells: Cells):
+    """The home of every word, and (longer by, cell) of its visits."""
+
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        upper = cells.value
         for batch in batches:
             words = batch.to_pylist()
-            home: list = [0] * len(words)
-            visited: list = [None] * len(words)
+            home = np.zeros(len(words), np.int64)
+            found = [tuple(np.zeros(0, np.int64) for _ in range(3))]
             for length, at, some in _by_length(words):
-                for i, cell, reached in zip(at.tolist(), upper.homes(some, length).tolist(), upper.visits(some, length)):
-                    home[i] = cell
-                    visited[i] = [{"longer": more, "cell": to} for more, to in reached]
-            kind = pa.list_(pa.struct([("longer", pa.int32()), ("cell", pa.int64())]))
-            yield pa.StructArray.from_arrays([pa.array(home, pa.int64()), pa.array(visited, kind)], ["home", "visits"])
+                home[at] = cells.homes(some, length)
+                points, more, cell = cells.visits(some, length, home[at])
+                found.append((at[points], more, cell))
+            row, more, cell = (np.concatenate(column) for column in zip(*found))
+            order = np.argsort(row, kind="stable")
+            ends = np.searchsorted(row[order], np.arange(len(words) + 1))
+            visits = pa.StructArray.from_arrays(
+                [pa.array(more[order], pa.int32()), pa.array(cell[order], pa.int64())], ["longer", "cell"]
+            )
+            visits = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), visits)
+            yield pa.StructArray.from_arrays([pa.array(home), visits], ["home", "visits"])
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     return F.arrow_udf(run, "struct<home:bigint,visits:array<struct<longer:int,cell:bigint>>>")
@@ -233,21 +284,33 @@ class Block:
         self.tree, order = grow(points.counts, LEAF)
         self.words = [words[i] for i in order.tolist()]
         self.times, self.length = times[order], length
-        self.codes, self.counts = points.codes[order], points.counts[order]
+        self.codes = points.codes[order]
+        # Letters that no word of the block has add nothing to a product.
+        self.used = np.flatnonzero(points.counts.any(axis=0))
+        counts = points.counts[order][:, self.used].astype(np.float32)
+        self.counts, self.half = counts, np.einsum("ij,ij->i", counts, counts) / 2
 
     def near(self, words: list[str], length: int) -> tuple[np.ndarray, np.ndarray]:
         """Pairs of visitors and words of the block that one edit parts."""
         own = matrix(words, length)
         up, down = next((u, d) for more, u, d in STEPS if length + more == self.length)
+        half = np.einsum("ij,ij->i", own.counts, own.counts).astype(np.float32) / 2 - (up + down) / 2
+        counts = own.counts[:, self.used].astype(np.float32)
         pairs = []
         for leaf, _, points in visit(self.tree, own.counts, up, down):
-            one = np.repeat(points, leaf.hi - leaf.lo)
-            two = np.tile(np.arange(leaf.lo, leaf.hi), len(points))
-            step = self.counts[two] - own.counts[one]
-            fit = (np.maximum(step, 0).sum(axis=1) == up) & (np.maximum(-step, 0).sum(axis=1) == down)
-            one, two = one[fit], two[fit]
-            fit = one_edit(own.codes[one], self.codes[two])
-            pairs.append((one[fit], two[fit]))
+            mine, half_mine = self.counts[leaf.lo : leaf.hi].T, self.half[leaf.lo : leaf.hi]
+            # Products this small are left to one thread.
+            step = max(1, PRODUCT // mine.size)
+            for lo in range(0, len(points), step):
+                some = points[lo : lo + step]
+                # Lengths tell how many more steps go up than down, so the squared distance tells both.
+                product = counts[some] @ mine
+                product -= half_mine
+                one, two = np.nonzero(product == half[some][:, None])
+                if len(one):
+                    one, two = some[one], two + leaf.lo
+                    fit = one_edit(own.codes[one], self.codes[two])
+                    pairs.append((one[fit], two[fit]))
         if not pairs:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         return tuple(np.concatenate(side) for side in zip(*pairs))
@@ -263,7 +326,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not batch.num_rows:
             continue
         keys = list(zip(*(batch[name].to_pylist() for name in ("length", "cell", "block"))))
-        visiting = batch["visitor"].to_numpy(zero_copy_only=False)
+        visiting, stranger = (batch[name].to_numpy(zero_copy_only=False) for name in ("visitor", "stranger"))
         words, times = batch["word"].to_pylist(), batch["n"].to_numpy()
         cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
         for lo, hi in zip(cuts, cuts[1:]):
@@ -279,14 +342,13 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for length, at, some in _by_length(words[middle:hi]):
                 one, two = block.near(some, length)
                 theirs = times[middle:hi][at]
+                # Words of one cell meet from both sides, others from one only.
+                back = stranger[middle:hi][at][one]
                 out = [
-                    [some[i] for i in one.tolist()],
-                    [block.words[i] for i in two.tolist()],
-                    block.times[two],
+                    [some[i] for i in one.tolist()] + [block.words[i] for i in two[back].tolist()],
+                    [block.words[i] for i in two.tolist()] + [some[i] for i in one[back].tolist()],
+                    np.concatenate((block.times[two], theirs[one[back]])),
                 ]
-                if length != block.length:
-                    # Words of one length meet from both sides, others from the shorter one only.
-                    out = [out[0] + out[1], out[1] + out[0], np.concatenate((out[2], theirs[one]))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, _links.types)], schema=_links)
 
 
@@ -299,7 +361,7 @@ def neighbours(words: DataFrame, sample: int = SAMPLE_WORDS, block_chars: int =
     bound = (1 << 32) * rate
     # By a hash, so a bounded number on average and the same in every run.
     picked = words.where(F.pmod(F.xxhash64("word"), F.lit(1 << 32)) < bound).select("word")
-    cells = spark.sparkContext.broadcast(Cells([r["word"] for r in picked.collect()], rate, block_chars))
+    cells = Cells([r["word"] for r in picked.collect()], rate, block_chars)
     placed = written(
         words.select("word", "n", F.length("word").alias("length"), _placed(cells)(F.col("word")).alias("at")),
         "placed-words",
@@ -307,9 +369,15 @@ def neighbours(words: DataFrame, sample: int = SAMPLE_WORDS, block_chars: int =
     sizes = placed.groupBy("length", F.col("at.home").alias("cell")).agg(
         F.ceil(F.count(F.lit(1)) * F.col("length") / block_chars).alias("blocks")
     )
-    own = placed.select("length", F.col("at.home").alias("cell"), F.lit(False).alias("visitor"), "word", "n")
-    visits = placed.select("length", "word", "n", F.explode("at.visits").alias("to")).select(
-        (F.col("length") + F.col("to.longer")).alias("length"), "to.cell", F.lit(True).alias("visitor"), "word", "n"
+    no, yes = F.lit(False), F.lit(True)
+    own = placed.select("length", F.col("at.home").alias("cell"), no.alias("visitor"), no.alias("stranger"), "word", "n")
+    visits = placed.select("length", "word", "n", "at.home", F.explode("at.visits").alias("to")).select(
+        (F.col("length") + F.col("to.longer")).alias("length"),
+        "to.cell",
+        yes.alias("visitor"),
+        ((F.col("to.longer") > 0) | (F.col("to.cell") != F.col("home"))).alias("stranger"),
+        "word",
+        "n",
     )
     # A word lives in one block of its cell; a visitor looks into all of them.
     number = F.pmod(F.xxhash64("word"), F.col("blocks"))
@@ -318,7 +386,7 @@ def neighbours(words: DataFrame, sample: int = SAMPLE_WORDS, block_chars: int =
         own.unionByName(visits)
         .join(sizes, ["length", "cell"])
         .withColumn("block", F.explode(F.when(F.col("visitor"), every).otherwise(F.array(number))))
-        .select("length", "cell", "block", "visitor", "word", "n")
+        .select("length", "cell", "block", "visitor", "stranger", "word", "n")
     )
     return (
         meeting.repartition("length", "cell", "block")

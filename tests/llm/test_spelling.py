@@ -106,7 +106,21 @@ def test_counts_and_odd_texts(spark):
     frame = odd(spark).unionByName(documents(spark, [" ".join(["Straße ÀÉÎÕÜ×÷ Thunder thunder"] * n) for n in range(40)], range(500, 540)))
     rows = [(r["doc_id"], r["text"]) for r in frame.collect()]
     words = {r["word"]: r["n"] for r in spelling.counted_words(clashing(frame, "id", "run", "word", "spot")).collect()}
-    assert words == counted(rows) and "thunder" in words
+    assert words == counted(rows) and "thunder" in words and "straße" in words
+
+
+def test_counts_handed_on_early(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(spelling, "HELD_WORDS", 7)
+    monkeypatch.setattr(spelling, "LIST_CHARS", 200)
+    rng = random.Random(8)
+    rows = [(i, " ".join("".join(rng.choices("abÉé", k=rng.randrange(3, 7))) for _ in range(90))) for i in range(60)]
+    batch = pa.RecordBatch.from_arrays([pa.array([str(i) for i, _ in rows]), pa.array([t for _, t in rows])], ["id", "text"])
+    found = Counter()
+    for part in spelling._counter(5, 97)(iter([batch])):
+        found.update(dict(zip(part["word"].to_pylist(), part["n"].to_pylist())))
+    assert {w: n for w, n in found.items() if n >= 3} == counted(rows)
 
 
 def test_empty_table(spark):
