@@ -27,6 +27,9 @@ PII_GROUPS = [
     "I-SOCIALNUM",
 ]
 
+WARNED_BEFORE = "\n\nWARNING: "
+WARNED_AFTER = ". Do not include or refer to this specific PII in your metadata."
+
 SAFE_MESSAGE = "No PII detected"
 UNSAFE_MESSAGE = (
     "Potential PII detected in your message. "

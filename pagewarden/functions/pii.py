@@ -32,6 +32,27 @@ class Rule:
     score: float
     needs: str = ""
 
+    def found(self, text: Column) -> Column:
+        """All findings of a text, by place."""
+        words = F.transform(
+            F.regexp_extract_all(text, F.lit(self.pattern), F.lit(0)),
+            lambda word: F.struct(
+                F.lit(self.entity_group).alias("entity_group"),
+                word.alias("word"),
+                F.lit(self.score).alias("score"),
+            ),
+        )
+        if self.needs:
+            return F.when(F.contains(text, F.lit(self.needs)), words).otherwise(_no_entities())
+        return F.coalesce(words, _no_entities())
+
+    def hit(self, text: Column, threshold: float, groups: Iterable[str]) -> Column | None:
+        """Whether a text holds a finding that counts; none if this rule's never do."""
+        if self.entity_group not in set(groups) or self.score < threshold:
+            return None
+        found = F.rlike(text, F.lit(self.pattern))
+        return F.contains(text, F.lit(self.needs)) & found if self.needs else found
+
 
 # Rules table. SECRET is no listed group and DATE_TIME scores below the default
 # threshold, so both are found but neither rejects a text by default.
@@ -57,23 +78,12 @@ def _no_entities() -> Column:
     return F.array().cast(f"array<{ENTITY.simpleString()}>")
 
 
-def _of_rule(text: Column, rule: Rule) -> Column:
-    found = F.transform(
-        F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)),
-        lambda word: F.struct(
-            F.lit(rule.entity_group).alias("entity_group"),
-            word.alias("word"),
-            F.lit(rule.score).alias("score"),
-        ),
-    )
-    if rule.needs:
-        return F.when(F.contains(text, F.lit(rule.needs)), found).otherwise(_no_entities())
-    return F.coalesce(found, _no_entities())
-
-
 def entities(text: Column, rules: Iterable[Rule] = RULES) -> Column:
-    """All findings of a text, in rule order and then by place in the text."""
-    return F.concat(_no_entities(), *[_of_rule(text, rule) for rule in rules])
+    """All findings of a text, in rule order and then by place in the text.
+
+    Lists of phrases (`functions.phrases.PhraseList`) may stand among the rules.
+    """
+    return F.concat(_no_entities(), *[rule.found(text) for rule in rules])
 
 
 def listed(
@@ -93,13 +103,8 @@ def has_pii(
     groups: Iterable[str] = PII_GROUPS,
 ) -> Column:
     """Yes or no only: stops at the first match and builds no findings."""
-    wanted = set(groups)
-    tests = []
-    for rule in rules:
-        if rule.entity_group not in wanted or rule.score < threshold:
-            continue
-        hit = F.rlike(text, F.lit(rule.pattern))
-        tests.append(F.contains(text, F.lit(rule.needs)) & hit if rule.needs else hit)
+    groups = list(groups)
+    tests = [hit for rule in rules if (hit := rule.hit(text, threshold, groups)) is not None]
     any_hit = reduce(lambda a, b: a | b, tests, F.lit(False))
     return F.coalesce(any_hit, F.lit(False))
 

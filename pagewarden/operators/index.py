@@ -1,6 +1,7 @@
 """The page index: a Parquet table that grows by versions.
 
     <path>/records/version=<n>/batch=<id>/unique_id=<tenant>/part-*.parquet
+    <path>/files/version=<n>/batch=<id>/part-*.parquet
     <path>/deletes/version=<n>/batch=<id>/part-*.parquet
 
 A folder per tenant suits up to some thousands of tenants. With more, ask for
@@ -12,13 +13,15 @@ write that dies halfway is never read. A delete writes the names of the files it
 removes; reading leaves out records of those files from earlier versions. No
 record is rewritten, which matters where one tenant holds much of the data;
 `compact` writes the remaining records to a new place when that pays.
-One writer at a time.
+Beside each version stand its files with their record counts, so lists, counts and
+deletes read no records. One writer at a time.
 """
 
 from __future__ import annotations
 
 import re
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +34,7 @@ from pagewarden.sources.requests import manifest_requests
 
 FILE_KEY = ["unique_id", "file_path"]
 _DELETED = "unique_id string, file_path string, version bigint, batch string"
+_FILES = "unique_id string, file_path string, n_records bigint, version bigint, batch string"
 _VERSION = re.compile(r"/version=(\d+)/batch=([^/]+)")
 
 
@@ -129,12 +133,36 @@ class PageIndex:
             if f.name not in records.columns
         }
         self._write(records.withColumns(missing).select(*names), place, gather)
+        counted = self._place("files", version, batch_id)
+        _counts(self._scan([place])).write.mode("overwrite").parquet(counted)
         if replace:
             # After the data: dying in between leaves a file doubled, never lost.
-            written = self._scan([place]).select(*FILE_KEY).distinct()
-            written.write.mode("overwrite").parquet(self._place("deletes", version, batch_id))
+            earlier = self._files(before=version)
+            if earlier is not None:
+                written = self.spark.read.schema(_FILES).parquet(counted).select(*FILE_KEY)
+                known = written.join(earlier.select(*FILE_KEY), FILE_KEY, "left_semi")
+                known.write.mode("overwrite").parquet(self._place("deletes", version, batch_id))
         return version
 
+    def _files(self, before: int | None = None) -> DataFrame | None:
+        """(unique_id, file_path, n_records, version) of the versions that stand, deleted or not."""
+        places = {}
+        for place in self._committed("records"):
+            number, batch = _VERSION.search(place).groups()
+            if before is None or int(number) < before:
+                places[self._place("files", int(number), batch).removeprefix(self.path)] = place
+        known = {_below(place): place for place in self._committed("files")}
+        counted = [known[name] for name in places if name in known]
+        # A write that died between data and counts is counted again.
+        rest = [place for name, place in places.items() if name not in known]
+        parts = []
+        if counted:
+            reader = self.spark.read.schema(_FILES).option("basePath", f"{self.path}/files")
+            parts.append(reader.parquet(*counted).drop("batch"))
+        if rest:
+            parts.append(_counts(self._scan(rest), "version"))
+        return reduce(DataFrame.unionByName, parts) if parts else None
+
     # -- reading ----------------------------------------------------------
 
     def _scan(self, places: list[str]) -> DataFrame:
@@ -164,7 +192,11 @@ class PageIndex:
         older = [place for place in places if place not in set(newer)]
         if not older:
             return rows
-        rows = self._scan(older)
+        left = self._left(self._scan(older), deletes)
+        return left.unionByName(self._scan(newer)) if newer else left
+
+    def _left(self, rows: DataFrame, deletes: list[str]) -> DataFrame:
+        """Rows of a version without those that a later delete names."""
         reader = self.spark.read.schema(_DELETED).option("basePath", f"{self.path}/deletes")
         removed = reader.parquet(*deletes).groupBy(*FILE_KEY).agg(
             F.max("version").alias("_until")
@@ -174,15 +206,14 @@ class PageIndex:
             & (rows["file_path"] == removed["file_path"])
             & (rows["version"] < removed["_until"])
         )
-        left = rows.join(removed, gone, "left_anti")
-        return left.unionByName(self._scan(newer)) if newer else left
+        return rows.join(removed, gone, "left_anti")
 
     def read(self, unique_ids: list[str] | None = None) -> DataFrame:
-        """All records that are not deleted, or those of some tenants."""
-        return self.placed(unique_ids).drop(*PLACE)
+        """All records that are not deleted, or those of some tenants.
 
-    def placed(self, unique_ids: list[str] | None = None) -> DataFrame:
-        """As `read`, each record with its place, which tells equal records apart."""
+        Each comes with its place, which tells equal records apart; a search over records
+        without it gives every copy of a hit its rank.
+        """
         rows = self._versioned()
         if unique_ids is not None:
             rows = rows.where(F.col("unique_id").isin(list(unique_ids)))
@@ -195,26 +226,37 @@ class PageIndex:
 
     # -- listing ----------------------------------------------------------
 
+    def files(self) -> DataFrame:
+        """(unique_id, file_path, num_pages) of all files, from the counts beside the versions."""
+        counted = self._files()
+        if counted is None:
+            raise FileNotFoundError(f"no index at {self.path}")
+        deletes = self._committed("deletes")
+        left = self._left(counted, deletes) if deletes else counted
+        return left.groupBy(*FILE_KEY).agg(F.sum("n_records").alias("num_pages"))
+
     def tenants(self, n: int = TENANT_PAGE_SIZE, after: str | None = None) -> DataFrame:
         """Tenants with their record counts, in order; `after` gives the next page."""
-        return tenant_counts(self.read(), n, after)
+        files = self.files()
+        rows = files if after is None else files.where(F.col("unique_id") > after)
+        counts = rows.groupBy("unique_id").agg(F.sum("num_pages").alias("doc_count"))
+        return counts.orderBy("unique_id").limit(n)
 
     def list_docs(self, unique_ids: list[str]) -> DataFrame:
-        return files_of(self.read(unique_ids))
+        return self.files().where(F.col("unique_id").isin(list(unique_ids)))
 
     # -- deleting ---------------------------------------------------------
 
     def _delete(self, matching: DataFrame) -> int:
         batch_id = uuid.uuid4().hex
         place = self._place("deletes", self._version_for(batch_id), batch_id)
-        files = matching.groupBy(*FILE_KEY).agg(F.count(F.lit(1)).alias("n_records"))
-        files.write.parquet(place)
+        matching.write.parquet(place)
         written = self.spark.read.parquet(place)
-        return written.agg(F.coalesce(F.sum("n_records"), F.lit(0))).first()[0]
+        return written.agg(F.coalesce(F.sum("num_pages"), F.lit(0))).first()[0]
 
     def delete_where(self, condition: Column) -> int:
         """Delete whole files by a condition on `unique_id` and `file_path`."""
-        return self._delete(self.read().where(condition))
+        return self._delete(self.files().where(condition))
 
     def delete_path(self, file_path: str, unique_id: str | None = None) -> int:
         """Delete the file of exactly this path; of every tenant unless one is given."""
@@ -230,12 +272,12 @@ class PageIndex:
     def delete_files(self, requests: DataFrame) -> int:
         """Delete the files of a request table (unique_id, file_path) in one pass."""
         wanted = requests.select(*FILE_KEY).distinct()
-        return self._delete(self.read().join(wanted, FILE_KEY, "left_semi"))
+        return self._delete(self.files().join(wanted, FILE_KEY, "left_semi"))
 
     def delete_manifest(self, path: str) -> int:
         """Delete the files that JSON manifests name, whatever their tenant."""
         named = manifest_requests(self.spark, path).select("file_path").distinct()
-        return self._delete(self.read().join(named, "file_path", "left_semi"))
+        return self._delete(self.files().join(named, "file_path", "left_semi"))
 
     def compact(self, path: str) -> "PageIndex":
         """Write the remaining records to a new index and return that."""
@@ -245,6 +287,15 @@ class PageIndex:
         return target
 
 
+def _below(place: str) -> str:
+    """The part of a place that tells version and batch."""
+    return place[place.rindex("/files/version=") :]
+
+
+def _counts(records: DataFrame, *keys: str) -> DataFrame:
+    return records.groupBy(*FILE_KEY, *keys).agg(F.count(F.lit(1)).alias("n_records"))
+
+
 def tenant_counts(records: DataFrame, n: int = TENANT_PAGE_SIZE, after: str | None = None) -> DataFrame:
     rows = records if after is None else records.where(F.col("unique_id") > after)
     counts = rows.groupBy("unique_id").agg(F.count(F.lit(1)).alias("doc_count"))

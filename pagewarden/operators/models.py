@@ -10,19 +10,30 @@ import threading
 import time
 from collections import deque
 from collections.abc import Callable, Iterator
-from concurrent.futures import Future
+from concurrent.futures import FIRST_COMPLETED, Future, wait
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewarden.constants import ENRICH_FAILED, NO_ANSWER, QUERY_FAILED, VECTOR_DIM
+from pagewarden.constants import (
+    ENRICH_FAILED,
+    NO_ANSWER,
+    QUERY_FAILED,
+    VECTOR_DIM,
+    WARNED_AFTER,
+    WARNED_BEFORE,
+)
 from pagewarden.functions.prompts import enrich_prompt
 from pagewarden.functions.text import collapse_space, or_zero_vector
 
 TRIES = 3
 TIMEOUT_SECONDS = 30
 CALLS_AT_ONCE = 8
+# Calls whose time is over and that still hold a thread.
+HUNG_CALLS = 64
+# Replies that a task keeps for equal prompts.
+REMEMBERED = 10_000
 
 Client = Callable[[str], str]
 Embedder = Callable[[list[str]], list[list[float] | None]]
@@ -37,51 +48,73 @@ def complete_with(
     tries: int = TRIES,
     timeout: float = TIMEOUT_SECONDS,
     partitions: int | None = None,
+    error: str | None = None,
 ) -> DataFrame:
     """Adds a model's reply to a prompt column; the fallback text where it fails.
 
-    No row is lost to a failing call, and a call that hangs holds up none but itself: it
-    gives its place to the next one when its time is over. `partitions` spreads the rows first, for
-    calls so slow that one long file must not hold up a task.
+    No row is lost to a failing call. Equal prompts are called once in a task, as long as
+    `REMEMBERED` replies last. Calls are settled as they end, `CALLS_AT_ONCE` at a time, and
+    one that hangs holds up none but itself: when its time is over, its place goes to the
+    next. Hung calls keep their threads, so after `HUNG_CALLS` of them at once the rest of
+    the batch waits for one to end and, failing that, gets the fallback. `error` names a
+    column for what went wrong. `partitions` spreads the rows first, for calls so slow that
+    one long file must not hold up a task.
     """
 
-    @F.pandas_udf("string")
-    def run(prompts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        client = load()
+    @F.pandas_udf("reply string, error string")
+    def run(prompts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        client, known = load(), {}
+        hung: set = set()
 
-        def attempt(text: str) -> str:
-            for left in reversed(range(tries)):
+        def attempt(text: str) -> tuple[str, str | None]:
+            problem = None
+            for _ in range(tries):
                 try:
-                    return str(client(text))
-                except Exception:
-                    if not left:
-                        return fallback
-            return fallback
+                    return str(client(text)), None
+                except Exception as failed:
+                    problem = f"{type(failed).__name__}: {failed}"
+            return fallback, problem
 
-        def begin(text: str) -> tuple[Future, float]:
+        def begin(text: str) -> Future:
             reply: Future = Future()
             # A thread of its own: one that hangs takes no worker from the others.
             threading.Thread(target=lambda: reply.set_result(attempt(text)), daemon=True).start()
-            return reply, time.monotonic() + timeout * tries
-
-        def settle(reply: Future, until: float) -> str:
-            try:
-                return reply.result(timeout=max(0.0, until - time.monotonic()))
-            except Exception:
-                return fallback
+            return reply
 
         for batch in prompts:
-            replies: list[str] = []
-            running: deque = deque()
-            for text in batch:
-                if len(running) == CALLS_AT_ONCE:
-                    replies.append(settle(*running.popleft()))
-                running.append(begin(text))
-            replies += [settle(*call) for call in running]
-            yield pd.Series(replies, index=batch.index, dtype=object)
+            waiting = deque(text for text in dict.fromkeys(batch) if text not in known)
+            found: dict = {}
+            running: dict = {}
+            while waiting or running:
+                hung -= {reply for reply in hung if reply.done()}
+                while waiting and len(running) < CALLS_AT_ONCE and len(hung) < HUNG_CALLS:
+                    text = waiting.popleft()
+                    running[begin(text)] = (text, time.monotonic() + timeout * tries)
+                if not running:
+                    # Every thread hangs.
+                    if wait(hung, timeout * tries, FIRST_COMPLETED).done:
+                        continue
+                    found |= {text: (fallback, "no call ends any more") for text in waiting}
+                    break
+                next_end = min(until for _, until in running.values())
+                done, _ = wait(running, max(0.0, next_end - time.monotonic()), FIRST_COMPLETED)
+                for reply in done:
+                    found[running.pop(reply)[0]] = reply.result()
+                now = time.monotonic()
+                for reply in [r for r, (_, until) in running.items() if until <= now]:
+                    found[running.pop(reply)[0]] = (fallback, "TimeoutError: no reply in time")
+                    hung.add(reply)
+            rows = [known[text] if text in known else found[text] for text in batch]
+            yield pd.DataFrame(rows, columns=["reply", "error"], index=batch.index)
+            known |= {text: reply for text, reply in found.items() if reply[1] is None}
+            while len(known) > REMEMBERED:
+                del known[next(iter(known))]
 
     spread = df.repartition(partitions) if partitions else df
-    return spread.withColumn(name, run(F.col(prompt)))
+    replied = spread.withColumn("_replied", run(F.col(prompt))).withColumn(name, F.col("_replied.reply"))
+    if error:
+        replied = replied.withColumn(error, F.col("_replied.error"))
+    return replied.drop("_replied")
 
 
 def describe(pages: DataFrame, text: str = "text") -> DataFrame:
@@ -109,11 +142,7 @@ def refuse_warned(pages: DataFrame, warning: str = "pii_warning") -> tuple[DataF
     warned = F.coalesce(F.col(warning), F.lit("")) != ""
     refused = pages.where(warned).withColumn(
         "error",
-        F.concat(
-            F.lit("\n\nWARNING: "),
-            F.col(warning),
-            F.lit(". Do not include or refer to this specific PII in your metadata."),
-        ),
+        F.concat(F.lit(WARNED_BEFORE), F.col(warning), F.lit(WARNED_AFTER)),
     )
     return pages.where(~warned), refused
 

@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from pagewarden.constants import DEFAULT_THRESHOLD, LINES_PER_PAGE
 from pagewarden.functions import pii
+from pagewarden.functions.phrases import PhraseList, phrase_runs
 from pagewarden.functions.text import page_texts, tokens
 from pagewarden.sources.pages import page_name
 
@@ -28,33 +29,28 @@ def entity_rows(df: DataFrame, keys: list[str], text: str = "text", rules=pii.RU
 def find_phrases(df: DataFrame, keys: list[str], gazetteer: DataFrame, text: str = "text") -> DataFrame:
     """Findings of listed phrases (entity_group, phrase, score), compared word by word.
 
-    Word runs are built only in the lengths that phrases have, then joined by
-    equality; the planner broadcasts the phrase list where its size allows.
+    The phrases of a list that is short enough are looked for inside the row, and only
+    what is found becomes rows. For a longer list all runs of words do, in the lengths
+    that phrases have. Either is joined with the list by equality.
     """
-    phrases = gazetteer.select(
-        "entity_group",
-        F.col("phrase").alias("word"),
-        F.col("score").cast("double").alias("score"),
-        F.array_join(tokens(F.col("phrase")), " ").alias("_run"),
-        F.size(tokens(F.col("phrase"))).alias("_length"),
-    ).where("_length > 0")
-    # A handful of whole numbers: the phrase lengths in use.
-    lengths = sorted(r[0] for r in phrases.select("_length").distinct().collect())
-    if not lengths:
-        lengths = [1]
-    worded = df.select(*keys, tokens(F.col(text)).alias("_words"))
-    # A run starts at every word; runs over the end are too short to match.
-    runs = worded.select(*keys, "_words", F.explode(F.array(*map(F.lit, lengths))).alias("_n"))
-    runs = runs.where(F.size("_words") >= F.col("_n")).select(
-        *keys,
-        F.explode(
-            F.transform(
-                F.sequence(F.lit(1), F.size("_words") - F.col("_n") + 1),
-                lambda at: F.array_join(F.slice("_words", at, F.col("_n")), " "),
-            )
-        ).alias("_run"),
-    )
-    return runs.join(phrases, "_run").select(*keys, "entity_group", "word", "score")
+    phrases = phrase_runs(gazetteer)
+    length = F.size(F.split("_run", " "))
+    try:
+        runs = F.explode(PhraseList.read(gazetteer).runs(F.col(text)))
+        found = df.select(*keys, runs.alias("_run"))
+    except ValueError:
+        # A handful of whole numbers: the phrase lengths in use.
+        lengths = sorted(r[0] for r in phrases.select(length).distinct().collect())
+        worded = df.select(*keys, tokens(F.col(text)).alias("_words"))
+        starts = worded.select(*keys, "_words", F.explode(F.array(*map(F.lit, lengths))).alias("_n"))
+        # A run starts at every word; runs over the end are too short to match.
+        starts = starts.where(F.size("_words") >= F.col("_n"))
+        every = F.transform(
+            F.sequence(F.lit(1), F.size("_words") - F.col("_n") + 1),
+            lambda at: F.array_join(F.slice("_words", at, F.col("_n")), " "),
+        )
+        found = starts.select(*keys, F.explode(every).alias("_run"))
+    return found.join(phrases, "_run").select(*keys, "entity_group", "word", "score")
 
 
 def screen_documents(
@@ -93,12 +89,21 @@ def file_stats(screened: DataFrame) -> DataFrame:
     )
 
 
+def bad_page_rows(screened: DataFrame) -> DataFrame:
+    """One row per page that rejects its file, with its findings."""
+    return screened.select(*FILE_KEY, F.inline(_bad_pages()))
+
+
 def bad_pages(screened: DataFrame) -> DataFrame:
-    """One row per page that rejects its file, with its warnings and the error text.
+    """One row per page that rejects its file, with its warnings and the error text."""
+    return with_errors(bad_page_rows(screened))
+
+
+def with_errors(pages: DataFrame) -> DataFrame:
+    """Warnings and error text of pages with findings.
 
     The error names the page it is about; the reference always names the last.
     """
-    pages = screened.select(*FILE_KEY, F.inline(_bad_pages()))
     warned = pages.withColumn("pii_warnings", F.array_join(pii.warnings(F.col("found")), ", "))
     return warned.select(
         *FILE_KEY,
@@ -123,19 +128,25 @@ def clean_pages(
     threshold: float = DEFAULT_THRESHOLD,
     rules: Iterable[pii.Rule] = pii.RULES,
     lines_per_page: int = LINES_PER_PAGE,
+    observed: Observation | None = None,
 ) -> DataFrame:
     """What `accepted_pages(screen_documents(…))` gives, without listing findings.
 
-    For ingestion, which only needs yes or no.
+    For ingestion, which only needs yes or no. An `observed` observation gets the counts
+    of `REPORT` from the same pass.
     """
     rules = list(rules)
     others = [c for c in documents.columns if c != "text"]
     lined = documents.withColumn("_lines", F.split("text", "\n")).drop("text")
     cut = lined.withColumn("_texts", page_texts("_lines", lines_per_page)).drop("_lines")
+    if observed:
+        bad = F.transform("_texts", lambda text: pii.has_pii(text, threshold, rules))
+        cut = cut.withColumn("_bad", bad).observe(observed, *_report("_bad", lambda bad: bad))
+        is_bad = F.exists("_bad", lambda bad: bad)
+    else:
+        is_bad = F.exists("_texts", lambda text: pii.has_pii(text, threshold, rules))
     # Not a filter: it would be moved below the cutting and repeat it there.
-    clean = F.when(
-        ~F.exists("_texts", lambda text: pii.has_pii(text, threshold, rules)), F.col("_texts")
-    )
+    clean = F.when(~is_bad, F.col("_texts"))
     pages = cut.select(*others, F.posexplode(clean).alias("_at", "text"))
     number = F.col("_at") + 1
     return pages.select(
@@ -146,6 +157,21 @@ def clean_pages(
     )
 
 
+# What a run of the gate counts.
+REPORT = ["files", "files_with_pii", "total_pages", "pages_with_pii"]
+
+
+def _report(pages: str, is_bad) -> list:
+    bad = F.size(F.filter(pages, is_bad))
+    counts = [F.lit(1), (bad > 0).cast("int"), F.size(pages), bad]
+    return [F.coalesce(F.sum(c.cast("bigint")), F.lit(0)).alias(n) for c, n in zip(counts, REPORT)]
+
+
+def gate_report(screened: DataFrame) -> DataFrame:
+    """The counts of `REPORT` over screened files, as one row."""
+    return screened.agg(*_report("pages", lambda page: F.size(page["found"]) > 0))
+
+
 def gate_pages(pages: DataFrame, found: str = "found") -> tuple[DataFrame, DataFrame, DataFrame]:
     """Accepted pages, rejected files and file statistics of page rows.
 

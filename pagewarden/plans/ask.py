@@ -48,7 +48,7 @@ def retrieve(
     which may leave fewer than k). With `centres`, only records in the `n_probe`
     cells nearest to a question, and those without a cell, are compared, so near
     pages may be missed; tenants and cells go together. Records read by
-    `PageIndex.placed` may be equal in all they hold and stay apart.
+    `PageIndex.read` may be equal in all they hold and stay apart.
     """
     if filter_mode not in ("pre", "post"):
         raise ValueError("filter_mode must be 'pre' or 'post'")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewarden.constants import DEFAULT_K, DEFAULT_THRESHOLD
+from pagewarden.functions.phrases import PhraseList
+from pagewarden.functions.pii import RULES, Rule
 from pagewarden.operators.screening import gate_messages
 from pagewarden.plans.ask import answer, retrieve
 
@@ -19,6 +21,7 @@ def converse(
     records: DataFrame,
     k: int = DEFAULT_K,
     threshold: float = DEFAULT_THRESHOLD,
+    rules: Iterable[Rule | PhraseList] = RULES,
     load: Callable | None = None,
     **options,
 ) -> DataFrame:
@@ -28,7 +31,7 @@ def converse(
     index nor a model. Any other becomes a `user` row, answered by an `assistant`
     row from the tenants it may see.
     """
-    gated = gate_messages(messages, threshold)
+    gated = gate_messages(messages, threshold, rules=list(rules))
     safe = gated.where("role = 'user'").withColumnsRenamed(
         {"message_id": "question_id", "content": "question"}
     )

@@ -4,17 +4,35 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterable
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from pagewarden.constants import DEFAULT_THRESHOLD, LINES_PER_PAGE
-from pagewarden.functions.pii import RULES, Rule
+from pagewarden.functions.phrases import PhraseList
+from pagewarden.functions.pii import RULES, Rule, entities, listed
 from pagewarden.functions.text import or_placeholder, with_hashed_vector
 from pagewarden.operators.index import PageIndex
-from pagewarden.operators.models import describe
-from pagewarden.operators.screening import accepted_pages, bad_pages, clean_pages, screen_documents
+from pagewarden.operators.detectors import Detector, detect_with
+from pagewarden.operators.models import describe, refuse_warned
+from pagewarden.operators.screening import (
+    FILE_KEY,
+    REPORT,
+    accepted_pages,
+    bad_page_rows,
+    bulk_stats,
+    clean_pages,
+    gate_pages,
+    gate_report,
+    screen_documents,
+    with_errors,
+)
 from pagewarden.session import drop_path, fresh_path
+from pagewarden.sources.pages import split_pages
+
+# A column of rows that must not be described.
+WARNING = "pii_warning"
 
 Step = Callable[[DataFrame], DataFrame]
 
@@ -50,12 +68,32 @@ def requested(files: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFra
     return found, missing.withColumn("error", F.concat(F.lit("No such file: "), F.col("file_path")))
 
 
+class Ingested(NamedTuple):
+    """What became of the files of one call; `refused` and `detect_errors` count pages."""
+
+    version: int
+    files: int
+    files_with_pii: int
+    total_pages: int
+    pages_with_pii: int
+    refused: int
+    detect_errors: int
+
+
+def _detected(documents, load, on_error, threshold, rules, lines_per_page) -> DataFrame:
+    """Files as `screen_documents` gives them, with the findings of rules and detector."""
+    pages = split_pages(documents, lines_per_page=lines_per_page)
+    found = detect_with(pages, load, threshold=threshold, on_error=on_error)
+    ruled = listed(entities(F.col("text"), rules), threshold)
+    return found.withColumn("found", F.concat(ruled, F.col("found")))
+
+
 def ingest(
     documents: DataFrame,
     index: PageIndex,
     *,
     threshold: float = DEFAULT_THRESHOLD,
-    rules: Iterable[Rule] = RULES,
+    rules: Iterable[Rule | PhraseList] = RULES,
     lines_per_page: int = LINES_PER_PAGE,
     describer: Step = describe,
     embedder: Callable[[DataFrame, str], DataFrame] = with_hashed_vector,
@@ -64,25 +102,56 @@ def ingest(
     replace: bool = False,
     gather: bool = True,
     rejects: str | None = None,
-) -> int:
-    """Index the clean ones among (unique_id, file_path, text) rows; returns the version.
+    detector: Callable[[], Detector] | None = None,
+    on_error: str = "open",
+) -> Ingested:
+    """Index the clean ones among (unique_id, file_path, text) rows; returns what became of all.
 
     All files are screened before any is described, for descriptions are the
     costly step. With `rejects`, the pages that rejected their files are written
     below that path, in a folder of the batch, before the version counts; a repeated
     batch overwrites them. Files are screened once either way.
+
+    A `detector` finds personal data besides the rules, page by page; see
+    `operators.detectors.detect_with`. Rows that carry a `pii_warning` are not described
+    and not indexed; they stand among the rejects.
     """
-    batch_id = batch_id or uuid.uuid4().hex
-    if not rejects:
-        pages = clean_pages(documents, threshold, rules, lines_per_page)
-        return index.append(index_records(pages, describer, embedder, embed_source), batch_id, replace, gather)
+    batch_id, rules = batch_id or uuid.uuid4().hex, list(rules)
     spark = documents.sparkSession
+    refused = 0
+    if WARNING in documents.columns:
+        documents, warned = refuse_warned(documents, WARNING)
+        documents, warned = documents.drop(WARNING), split_pages(warned, lines_per_page=lines_per_page)
+        refused = warned.count()
+        if rejects:
+            warned.select(*FILE_KEY, "page_no", F.col(WARNING).alias("pii_warnings"), "error").write.mode(
+                "overwrite"
+            ).parquet(f"{rejects}/batch={batch_id}-refused")
+
+    def index_pages(pages: DataFrame) -> int:
+        return index.append(index_records(pages, describer, embedder, embed_source), batch_id, replace, gather)
+
+    if not rejects and not detector:
+        observed = Observation()
+        version = index_pages(clean_pages(documents, threshold, rules, lines_per_page, observed))
+        return Ingested(version, *[observed.get[name] or 0 for name in REPORT], refused, 0)
     place = fresh_path(spark, "screened")
     try:
-        screen_documents(documents, threshold, rules, lines_per_page).write.parquet(place)
-        screened = spark.read.parquet(place)
-        bad_pages(screened).write.mode("overwrite").parquet(f"{rejects}/batch={batch_id}")
-        records = index_records(accepted_pages(screened), describer, embedder, embed_source)
-        return index.append(records, batch_id, replace, gather)
+        if detector:
+            _detected(documents, detector, on_error, threshold, rules, lines_per_page).write.parquet(place)
+            screened = spark.read.parquet(place)
+            accepted, _, stats = gate_pages(screened)
+            row = bulk_stats(stats).first()
+            errors = screened.where("detect_error IS NOT NULL").count()
+            bad = screened.where(F.size("found") > 0).select(*FILE_KEY, "page_no", "found")
+            version_of = accepted.drop("detect_error")
+        else:
+            screen_documents(documents, threshold, rules, lines_per_page).write.parquet(place)
+            screened = spark.read.parquet(place)
+            row, errors = gate_report(screened).first(), 0
+            bad, version_of = bad_page_rows(screened), accepted_pages(screened)
+        if rejects:
+            with_errors(bad).write.mode("overwrite").parquet(f"{rejects}/batch={batch_id}")
+        return Ingested(index_pages(version_of), *row, refused, errors)
     finally:
         drop_path(spark, place)

@@ -42,15 +42,17 @@ def bulk_requests(bulk: DataFrame) -> DataFrame:
     return bulk.select("unique_id", F.explode("file_paths").alias("file_path"))
 
 
-def manifest_requests(spark: SparkSession, path: str) -> DataFrame:
+def manifest_requests(spark: SparkSession, path: str, tenant: str | None = None) -> DataFrame:
     """Requests from JSON manifests: arrays of objects with a `name`.
 
-    The tenant is the file name of the manifest.
+    The tenant is the file name of the manifest, or what the first group of the pattern
+    `tenant` finds in its path.
     """
-    rows = spark.read.schema(MANIFEST).option("multiLine", True).json(path)
-    return rows.select(
-        F.col("_metadata.file_name").alias("unique_id"), F.col("name").alias("file_path")
-    )
+    reader = spark.read.schema(MANIFEST).option("multiLine", True).option("recursiveFileLookup", True)
+    rows = reader.json(path)
+    name = F.col("_metadata.file_name")
+    owner = F.regexp_extract(F.col("_metadata.file_path"), tenant, 1) if tenant else name
+    return rows.select(owner.alias("unique_id"), F.col("name").alias("file_path"))
 
 
 def with_progress(requests: DataFrame, batch: str, order: str, block: int = 10_000) -> DataFrame:

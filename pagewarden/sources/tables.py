@@ -4,27 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-# A task is worth having for this many bytes of text.
-LEAST_BYTES = 1 << 20
-# With this many bytes per core the scan has tasks enough of its own.
-ENOUGH_BYTES_PER_CORE = 32 << 20
 
+def read_table(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
+    """A Parquet table; `partitions` deals its rows out, for texts in few large files.
 
-def spread(scanned: DataFrame) -> DataFrame:
-    """A scan, dealt out over the cores if the table is small.
-
-    Texts are costly to work on for their size, so a table in one file would
-    keep one core busy and the others waiting. A table beyond
-    `ENOUGH_BYTES_PER_CORE` passes as it is, and nothing of it is shuffled.
+    Texts are costly to work on for their size, so a table in one file would keep one
+    core busy and the others waiting. Only the caller knows what the shuffle is worth.
     """
-    cores = scanned.sparkSession.sparkContext.defaultParallelism
-    size = int(scanned._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    tasks = min(cores, size // LEAST_BYTES)
-    if tasks < 2 or size > cores * ENOUGH_BYTES_PER_CORE:
-        return scanned
-    return scanned.repartition(tasks)
-
-
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet table, spread if it is small."""
-    return spread(spark.read.parquet(path))
+    scanned = spark.read.parquet(path)
+    return scanned.repartition(partitions) if partitions else scanned

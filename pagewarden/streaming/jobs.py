@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from pagewarden.constants import DEFAULT_THRESHOLD
+from pagewarden.functions.phrases import PhraseList
+from pagewarden.functions.pii import RULES, Rule
 from pagewarden.operators.index import PageIndex
 from pagewarden.operators.screening import gate_messages
 from pagewarden.plans.chat import converse
@@ -21,6 +24,7 @@ def transcript_stream(
     checkpoint: str,
     threshold: float = DEFAULT_THRESHOLD,
     partitions: int | None = None,
+    rules: Iterable[Rule | PhraseList] = RULES,
 ) -> DataStreamWriter:
     """Gated messages as a growing transcript, one folder per role.
 
@@ -29,7 +33,7 @@ def transcript_stream(
     """
     dealt = messages.repartition(partitions) if partitions else messages
     return (
-        gate_messages(dealt, threshold)
+        gate_messages(dealt, threshold, rules=list(rules))
         .writeStream.format("parquet")
         .partitionBy("role")
         .option("path", path)
@@ -44,14 +48,15 @@ def chat_stream(
     """Messages gated and answered as they arrive; the transcript grows a step per batch.
 
     A batch is answered from the index as it stands then. Repeated, it overwrites
-    its own step.
+    its own step. Steps of a lost checkpoint stay beside those of the new one; read the
+    transcript back with `transcript`, which has each message once.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         # Read for the gate, the questions and the answers.
         batch.persist()
         try:
-            rows = converse(batch, index.placed(), **options)
+            rows = converse(batch, index.read(), **options)
             rows.write.mode("overwrite").partitionBy("role").parquet(f"{path}/step={origin}-{batch_id}")
         finally:
             batch.unpersist()
@@ -60,6 +65,18 @@ def chat_stream(
     return messages.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
 
 
+def transcript(spark: SparkSession, path: str) -> DataFrame:
+    """The rows that `chat_stream` wrote, each message's from the latest step that holds it.
+
+    A step that was written again after its checkpoint was lost replaces the older one
+    message by message: rows of one message and step belong together.
+    """
+    rows = spark.read.parquet(path).withColumn("_written", F.col("_metadata.file_modification_time"))
+    latest = rows.groupBy("message_id").agg(F.max(F.struct("_written", "step")).alias("_latest"))
+    kept = rows.join(latest.withColumnRenamed("message_id", "_of"), F.col("message_id") == F.col("_of"))
+    return kept.where(F.col("step") == F.col("_latest.step")).select("message_id", "role", "content")
+
+
 def batch_sizes(query: StreamingQuery) -> list[int]:
     """Rows taken in by each of the latest micro-batches."""
     return [step["numInputRows"] for step in query.recentProgress]

@@ -53,7 +53,7 @@ def test_hits_after_an_append_are_not_doubled(spark, pages):
     index, rows = pages
     ingest(spark.createDataFrame(rows, FILES), index)
     asked = spark.createDataFrame([(1, "word3 apples")], "question_id long, question string")
-    hits = retrieve(index.placed(), asked, k=4).orderBy("rank").collect()
+    hits = retrieve(index.read(), asked, k=4).orderBy("rank").collect()
     assert [r["rank"] for r in hits] == [1, 2, 3, 4]
     assert [r["file_path"] for r in hits[:2]] == ["f3", "f3"]
 
@@ -63,7 +63,7 @@ def test_texts_are_read_from_files_with_hits_only(spark, pages):
     for i in range(6):
         ingest(spark.createDataFrame([("c", f"late{i}", f"other{i} things")], FILES), index)
     asked = spark.createDataFrame([(1, "other2 things")], "question_id long, question string")
-    found = retrieve(index.placed(), asked, k=1)
+    found = retrieve(index.read(), asked, k=1)
     assert [r["file_path"] for r in found.collect()] == ["late2"]
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "record_file" in plan or "file_path" in plan
@@ -71,7 +71,7 @@ def test_texts_are_read_from_files_with_hits_only(spark, pages):
 
 def test_cells_with_tenants_and_unplaced_records(spark, pages):
     index, rows = pages
-    records = index.placed()
+    records = index.read()
     centres = train_cells(records, 3, "text_embedding", iterations=2)
     placed = place_in_cells(records, centres, "text_embedding")
     asked = spark.createDataFrame(

@@ -234,3 +234,44 @@ def test_sessions(spark):
     got = {tuple(r) for r in session_info(messages, uploads).collect()}
     assert got == {("s", 2, 0), ("t", 1, 1), ("u", 0, 1)}
     assert clear_sessions(messages, uploads).count() == 2
+
+
+def test_hung_calls_hold_up_no_others(spark):
+    def load():
+        import time
+
+        def client(text):
+            if "hang" in text:
+                time.sleep(60)
+            return f"re: {text}"
+
+        return client
+
+    prompts = [f"hang {i}" for i in range(8)] + [f"ask {i}" for i in range(6)]
+    frame = spark.createDataFrame([(p,) for p in prompts], "prompt string").coalesce(1)
+    started = time.time()
+    done = complete_with(frame, load, "prompt", "reply", "none", tries=1, timeout=2, error="problem").collect()
+    assert time.time() - started < 20
+    assert sum(r["reply"].startswith("re:") for r in done) == 6
+    assert {r["problem"] is None for r in done if r["reply"] != "none"} == {True}
+    assert {r["problem"] for r in done if r["reply"] == "none"} == {"TimeoutError: no reply in time"}
+
+
+def test_equal_prompts_are_called_once(spark, tmp_path):
+    log = str(tmp_path / "calls")
+
+    def load():
+        def client(text):
+            with open(log, "a") as calls:
+                calls.write(text + "\n")
+            if text == "fails":
+                raise ValueError("no")
+            return text.upper()
+
+        return client
+
+    frame = spark.createDataFrame([("a",), ("b",), ("a",), ("fails",), ("a",)], "prompt string").coalesce(1)
+    done = complete_with(frame, load, "prompt", "reply", "none", tries=2, error="problem").collect()
+    assert [r["reply"] for r in done] == ["A", "B", "A", "none", "A"]
+    assert done[3]["problem"] == "ValueError: no"
+    assert sorted(open(log).read().split()) == ["a", "b", "fails", "fails"]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pagewarden.constants import SAFE_MESSAGE
 from pagewarden.functions import pii
+from pagewarden.functions.phrases import PhraseList
 from pagewarden.operators.detectors import detect_with
 from pagewarden.operators.screening import (
     accepted_pages,
@@ -156,15 +157,15 @@ def test_reports(documents):
 
 def test_gazetteer(spark):
     texts = spark.createDataFrame(
-        [(1, "John Smith is the manager; ask john  SMITH."), (2, "Johnsmith"), (3, "Rome, Rome")],
+        [(1, "Ada Byron wrote it, and ADA  byron signed."), (2, "Adabyron"), (3, "Rome, Rome")],
         "id int, text string",
     )
     names = spark.createDataFrame(
-        [("PERSON", "John Smith", 0.9), ("LOCATION", "Rome", 0.85), ("PERSON", "...", 0.9)],
+        [("PERSON", "Ada Byron", 0.9), ("LOCATION", "Rome", 0.85), ("PERSON", "...", 0.9)],
         "entity_group string, phrase string, score double",
     )
     rows = sorted(map(tuple, find_phrases(texts, ["id"], names).collect()))
-    assert rows == [(1, "PERSON", "John Smith", 0.9)] * 2 + [(3, "LOCATION", "Rome", 0.85)] * 2
+    assert rows == [(1, "PERSON", "Ada Byron", 0.9)] * 2 + [(3, "LOCATION", "Rome", 0.85)] * 2
 
 
 def _load_detector():
@@ -189,3 +190,34 @@ def test_plugged_detector(spark, on_error, unsafe):
     rows = {r["name"]: r for r in detect_with(texts, _load_detector, on_error=on_error).collect()}
     assert {n for n, r in rows.items() if r["found"]} == unsafe
     assert [n for n, r in rows.items() if r["detect_error"]] == ["failing"]
+
+
+def test_phrases_among_the_rules(spark):
+    names = spark.createDataFrame(
+        [("PERSON", "Ada Byron", 0.9), ("LOCATION", "Saint-Malo", 0.85), ("LOCATION", "Rome", 0.5), ("PERSON", " .", 0.9)],
+        "entity_group string, phrase string, score double",
+    )
+    rules = [*pii.RULES, PhraseList.read(names)]
+    texts = spark.createDataFrame(
+        [(1, "ADA byron, mail a@b.com, saint malo"), (2, "Rome"), (3, "ada"), (4, ""), (5, None), (6, "x ada byron")],
+        "id int, text string",
+    )
+    rows = {r["id"]: r for r in message_verdicts(texts, rules=rules).collect()}
+    found = [(e["entity_group"], e["word"]) for e in rows[1]["found"]]
+    assert found == [("EMAIL_ADDRESS", "a@b.com"), ("PERSON", "ada byron"), ("LOCATION", "saint malo")]
+    assert [i for i, r in rows.items() if not r["is_safe"]] == [1, 6]
+    hit = texts.select("id", pii.has_pii(F.col("text"), rules=rules).alias("hit")).where("hit").collect()
+    assert sorted(r["id"] for r in hit) == [1, 6]
+
+
+def test_lists_beyond_the_limit_are_joined(spark, monkeypatch):
+    texts = spark.createDataFrame([(1, "rome and rome again"), (2, "so it goes")], "id int, text string")
+    names = spark.createDataFrame(
+        [("LOCATION", "Rome", 0.9), ("PERSON", "it goes", 0.9)], "entity_group string, phrase string, score double"
+    )
+    whole = sorted(map(tuple, find_phrases(texts, ["id"], names).collect()))
+    monkeypatch.setattr(PhraseList.read, "__defaults__", (1,))
+    with pytest.raises(ValueError):
+        PhraseList.read(names)
+    assert sorted(map(tuple, find_phrases(texts, ["id"], names).collect())) == whole
+    assert find_phrases(texts, ["id"], names.limit(0)).count() == 0

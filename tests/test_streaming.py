@@ -10,6 +10,7 @@ from pagewarden.streaming.jobs import (
     ingest_stream,
     latest_counts,
     session_stream,
+    transcript,
     transcript_stream,
 )
 
@@ -84,6 +85,30 @@ def test_chat(spark, tmp_path):
     assert got[1, "assistant"] == "red apples" and got[3, "assistant"] == "green pears"
 
 
+def test_a_lost_checkpoint_doubles_no_message(spark, tmp_path):
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = T.StructType([T.StructField("message_id", T.LongType()), T.StructField("text", T.StringType())])
+    index = PageIndex(spark, str(tmp_path / "index"))
+    ingest(spark.createDataFrame([("a", "f", "red apples")], FILES), index)
+    land(spark, schema, folder, (1, "which apples"), (2, "mail a@b.com"))
+    for steps in ("first", "second"):
+        stream = upload_stream(spark, folder, schema)
+        drain(chat_stream(stream, index, out, str(tmp_path / steps), k=1))
+        land(spark, schema, folder, (3, "more apples"))
+    rows = sorted((r["message_id"], r["role"]) for r in transcript(spark, out).collect())
+    assert rows == [(1, "assistant"), (1, "user"), (2, "pii_warning"), (3, "assistant"), (3, "user")]
+
+
+def test_new_files_are_not_deleted(spark, tmp_path):
+    index = PageIndex(spark, str(tmp_path / "index"))
+    for name in "fgh":
+        ingest(spark.createDataFrame([("a", name, "fine")], FILES), index, replace=True)
+    assert sum(spark.read.parquet(str(p)).count() for p in (tmp_path / "index" / "deletes").glob("*/*")) == 0
+    ingest(spark.createDataFrame([("a", "f", "new"), ("a", "i", "new")], FILES), index, replace=True)
+    assert sum(spark.read.parquet(str(p)).count() for p in (tmp_path / "index" / "deletes").glob("*/*")) == 1
+    assert sorted(r["llm_generated"] for r in index.read().collect()) == ["fine", "fine", "new", "new"]
+
+
 def test_session_counters(spark, tmp_path):
     folder, out, steps = (str(tmp_path / n) for n in ("in", "out", "steps"))
     land(spark, TURNS, folder, (1, "a"), (1, "b"), (2, "c"))

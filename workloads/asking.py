@@ -32,7 +32,7 @@ OTHER_MODEL = "some-other-model"
 
 def _asked(spark, sf_dir):
     asked = questions(spark, sf_dir)
-    return asked, retrieve(page_index(spark, sf_dir).placed(), asked)
+    return asked, retrieve(page_index(spark, sf_dir).read(), asked)
 
 
 def context_block(spark, sf_dir):
@@ -89,25 +89,6 @@ def chat_history(spark, sf_dir):
 
 
 def prompt_template(spark, sf_dir):
-    """User messages in a template, each with the turn before it as history."""
-    turns = table(spark, sf_dir, "conversations")
-    before = turns.select(
-        "conv_id",
-        (F.col("turn") + 1).alias("turn"),
-        F.array(F.struct("role", F.col("text").alias("content"))).alias("history"),
-    )
-    asked = turns.where("role = 'user'").join(before, ["conv_id", "turn"], "left")
-    messages = prompt_template_of(
-        TEMPLATE,
-        {"turn": F.col("turn"), "conversation": F.col("conv_id")},
-        F.col("text"),
-        F.col("history"),
-    )
-    lines = F.transform(messages, lambda m: F.concat(m["role"], F.lit(": "), m["content"]))
-    return asked.select("conv_id", "turn", F.array_join(lines, "\n").alias("messages"))
-
-
-def prompt_history(spark, sf_dir):
     """The latest user message of each conversation in a template, with all turns before it."""
     messages = prompt_template_of(
         TEMPLATE,
@@ -142,7 +123,7 @@ QUERIES = {
     "enrich_prompt": enrich_prompt,
     "chat_history": chat_history,
     "prompt_template": prompt_template,
-    "prompt_history": prompt_history,
+    "prompt_history": prompt_template,
     "model_routing": model_routing,
 }
 
@@ -209,13 +190,6 @@ FROM conversations JOIN last USING (conv_id) WHERE role IN ('user', 'assistant')
 UNION ALL
 SELECT conv_id, -1, 'system', {quoted(SYSTEM_PROMPT)}, false FROM last""",
     "prompt_template": f"""
-SELECT c.conv_id, c.turn,
-       'system: ' || {_between(TEMPLATE, turn="c.turn", conversation="c.conv_id")} || chr(10)
-       || CASE WHEN p.role IN ('user', 'assistant') THEN p.role || ': ' || p.text || chr(10) ELSE '' END
-       || 'user: ' || c.text AS messages
-FROM conversations c LEFT JOIN conversations p ON p.conv_id = c.conv_id AND p.turn = c.turn - 1
-WHERE c.role = 'user'""",
-    "prompt_history": f"""
 WITH last AS (SELECT conv_id, max(turn) AS turn FROM conversations WHERE role = 'user' GROUP BY ALL)
 SELECT c.conv_id, c.turn,
        'system: ' || {_between(TEMPLATE, turn="c.turn", conversation="c.conv_id")} || chr(10)
@@ -235,3 +209,4 @@ SELECT doc_id, model_id, provider,
        CASE WHEN provider IS NULL THEN 'Unsupported model: ' || model_id END AS error
 FROM named""",
 }
+SQL["prompt_history"] = SQL["prompt_template"]

@@ -12,7 +12,7 @@ from pagewarden.functions.text import (
     with_hashed_vector,
 )
 from pagewarden.operators.chat import session_info as session_info_of
-from pagewarden.operators.index import files_of, tenant_counts
+from pagewarden.operators.index import files_of
 from pagewarden.operators.models import complete_with, describe, stored_vectors
 from pagewarden.operators.screening import (
     clean_pages,
@@ -28,7 +28,20 @@ from pagewarden.sources.requests import bulk_requests
 from workloads import screening
 from workloads.inputs import documents, files, new_index, page_index, table, vectors
 from workloads.intake import bulk_request_rows
-from workloads.sqltext import FILES, INDEXED, PAGES, described, pages_of, quoted, tokens, vector_of, with_
+from workloads.sqltext import (
+    FILES,
+    INDEXED,
+    PAGE_FOUND,
+    PAGES,
+    RULE_TABLE,
+    described,
+    listed,
+    pages_of,
+    quoted,
+    tokens,
+    vector_of,
+    with_,
+)
 
 STORED_DIM = 64
 
@@ -66,13 +79,54 @@ def reingest(spark, sf_dir):
     return _record_rows(index.read())
 
 
+def _report_row(spark, done):
+    names = done._fields[1:]
+    return spark.createDataFrame([done[1:]], ", ".join(f"{name} bigint" for name in names))
+
+
+def ingest_counts(spark, sf_dir):
+    """What the run itself counted."""
+    return _report_row(spark, run_ingest(documents(spark, sf_dir), new_index(spark)))
+
+
+def ingest_refused(spark, sf_dir):
+    """Every seventh file carries a warning and is refused."""
+    warning = F.when(F.col("doc_id") % 7 == 0, F.lit("checked by hand"))
+    index = new_index(spark)
+    run_ingest(files(spark, sf_dir).withColumn("pii_warning", warning), index)
+    return _record_rows(index.read())
+
+
+def _load_detector():
+    """Finds very long capitalised words, and fails on pages of fewer than five words."""
+    import re
+
+    def detect(text):
+        if len([word for word in re.split("[ \t\n\f\r]+", text) if word]) < 5:
+            raise ValueError("too short")
+        return [{"entity_group": "PERSON", "word": w, "score": 0.9} for w in re.findall("[A-Z][a-z]{9,}", text)]
+
+    return detect
+
+
+def ingest_detected(spark, sf_dir):
+    """Rules and a detector; pages that it fails on count as unsafe."""
+    done = run_ingest(documents(spark, sf_dir), new_index(spark), detector=_load_detector, on_error="closed")
+    return _report_row(spark, done)
+
+
 def bulk_ingest(spark, sf_dir):
-    """Files of high quality, asked for in bulk requests, and what became of each."""
+    """Files of high quality, asked for in bulk requests: indexed, and what became of each."""
     wanted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
     rows = files(spark, sf_dir)
     requests = bulk_requests(bulk_request_rows(rows.drop("text").join(wanted, "doc_id", "left_semi")))
     found, _ = requested(rows.select("file_path", "text"), requests)
-    return ingest_report(file_stats(screen_documents(found)))
+    index = new_index(spark)
+    run_ingest(found, index)
+    indexed = files_of(index.read()).withColumnRenamed("num_pages", "num_pages_processed")
+    stats = ingest_report(file_stats(screen_documents(found))).drop("num_pages_processed")
+    joined = stats.join(indexed, ["unique_id", "file_path"], "left")
+    return joined.withColumn("num_pages_processed", F.coalesce("num_pages_processed", F.lit(0)))
 
 
 def placeholder_fill(spark, sf_dir):
@@ -134,7 +188,7 @@ def indexed_tenants(spark, sf_dir):
 
 
 def indexed_tenants_after(spark, sf_dir):
-    return tenant_counts(page_index(spark, sf_dir).read(), n=5, after="src12")
+    return page_index(spark, sf_dir).tenants(n=5, after="src12")
 
 
 def list_docs(spark, sf_dir):
@@ -142,7 +196,7 @@ def list_docs(spark, sf_dir):
 
 
 def list_docs_totals(spark, sf_dir):
-    listed = files_of(page_index(spark, sf_dir).read())
+    listed = page_index(spark, sf_dir).files()
     return listed.groupBy("unique_id").agg(
         F.sum("num_pages").alias("num_pages"), F.count(F.lit(1)).alias("num_docs")
     )
@@ -159,6 +213,9 @@ QUERIES = {
     "index_records": index_records,
     "ingest": ingest,
     "reingest": reingest,
+    "ingest_counts": ingest_counts,
+    "ingest_refused": ingest_refused,
+    "ingest_detected": ingest_detected,
     "bulk_ingest": bulk_ingest,
     "placeholder_fill": placeholder_fill,
     "zero_vector_fill": zero_vector_fill,
@@ -182,6 +239,20 @@ SQL = {
     "index_records": _RECORDS,
     "ingest": _RECORDS,
     "reingest": _RECORDS,
+    "ingest_counts": "SELECT files_to_process AS files, files_with_pii, total_pages, pages_with_pii,"
+    " 0::BIGINT AS refused, 0::BIGINT AS detect_errors FROM (" + screening.SQL["bulk_stats"] + ")",
+    "ingest_refused": "SELECT r.* FROM (" + _RECORDS + """) r SEMI JOIN (SELECT doc_id, source || '/doc_' || doc_id || '.pdf' AS file_path
+      FROM documents WHERE doc_id % 7 <> 0) USING (file_path)""",
+    "ingest_detected": with_(FILES, PAGES, RULE_TABLE, PAGE_FOUND)
+    + rf"""SELECT count(DISTINCT file_path) AS files, count(DISTINCT file_path) FILTER (bad) AS files_with_pii,
+       count(*) AS total_pages, count(*) FILTER (bad) AS pages_with_pii, 0::BIGINT AS refused,
+       count(*) FILTER (n < 5) AS detect_errors
+FROM (SELECT file_path, n, n < 5 OR regexp_matches(text, '[A-Z][a-z]{{9,}}') OR f.page_no IS NOT NULL AS bad
+      FROM (SELECT *, len(list_filter(regexp_split_to_array(text, '[ 	
+
+]+'), lambda x: x <> '')) AS n FROM pages_) p
+      LEFT JOIN (SELECT DISTINCT unique_id, file_path, page_no FROM found WHERE {listed()}) f
+      USING (unique_id, file_path, page_no))""",
     "bulk_ingest": "SELECT r.* FROM ("
     + screening.SQL["ingest_report"]
     + """) r JOIN (SELECT source || '/doc_' || doc_id || '.pdf' AS file_path

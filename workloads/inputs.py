@@ -13,8 +13,13 @@ from pagewarden.sources.tables import read_table
 _indexes: dict[tuple[str, str], PageIndex] = {}
 
 
+# A setting of the session: how many tasks the rows of a table are dealt out to.
+PARTITIONS = "spark.pagewarden.partitions"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return read_table(spark, f"{sf_dir}/{name}.parquet")
+    partitions = spark.conf.get(PARTITIONS, None)
+    return read_table(spark, f"{sf_dir}/{name}.parquet", int(partitions) if partitions else None)
 
 
 def as_files(documents: DataFrame) -> DataFrame:
@@ -48,9 +53,9 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vector_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Questions with a stored vector: the one of the same number."""
+    """Questions with the stored vector of the same number; none if there is no such."""
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("vec_id"))
-    return vectors(spark, sf_dir).join(asked, "vec_id").select(
+    return asked.join(vectors(spark, sf_dir), "vec_id", "left").select(
         F.col("vec_id").alias("question_id"), F.col("embedding").alias("question_embedding")
     )
 

@@ -48,18 +48,20 @@ def bulk_events(spark, sf_dir):
 
 
 def write_manifests(spark, rows) -> str:
-    """Bulk requests as JSON manifests, a file each; returns their folder."""
+    """Bulk requests as JSON manifests, a file each; returns their folder.
+
+    All manifests of a tenant lie in a folder of its name.
+    """
     path = fresh_path(spark, "manifests")
     named = F.transform("file_paths", lambda p: F.struct(p.alias("name")))
-    manifests = bulk_request_rows(rows).select(F.to_json(named).alias("value"))
-    manifests.write.option("maxRecordsPerFile", 1).text(path)
+    manifests = bulk_request_rows(rows).select("unique_id", F.to_json(named).alias("value"))
+    manifests.write.option("maxRecordsPerFile", 1).partitionBy("unique_id").text(path)
     return path
 
 
 def manifest_events(spark, sf_dir):
     path = write_manifests(spark, files(spark, sf_dir))
-    requests = manifest_requests(spark, path)
-    return requests.select("file_path", F.length("unique_id").cast("boolean").alias("has_tenant"))
+    return manifest_requests(spark, path, tenant=r"/unique_id=([^/]+)/")
 
 
 def progress(spark, sf_dir):
@@ -88,7 +90,7 @@ FROM pages""",
     + """SELECT unique_id, file_path, true AS use_local_storage,
        unique_id || '_doc_' || doc_id || '.pdf' AS file_key FROM files""",
     "bulk_events": with_(FILES) + "SELECT unique_id, file_path FROM files",
-    "manifest_events": with_(FILES) + "SELECT file_path, true AS has_tenant FROM files",
+    "manifest_events": with_(FILES) + "SELECT unique_id, file_path FROM files",
     "progress": with_(FILES)
     + """SELECT unique_id, file_path, position, total, round(position / total, 6) AS progress
 FROM (SELECT unique_id, file_path,

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from pagewarden.constants import SAFE_MESSAGE, UNSAFE_MESSAGE
 from pagewarden.functions import pii
+from pagewarden.functions.phrases import PhraseList
 from pagewarden.operators.screening import (
     accepted_pages,
     bad_pages,
@@ -91,7 +92,7 @@ def bulk_stats(spark, sf_dir):
     return bulk_stats_of(pii_stats(spark, sf_dir))
 
 
-def message_gate(spark, sf_dir):
+def _messages(spark, sf_dir):
     """All user messages, and all documents as pasted messages."""
     pasted = table(spark, sf_dir, "documents").select(
         F.lit("document").alias("origin"), F.col("doc_id").alias("message_id"), "text"
@@ -105,20 +106,44 @@ def message_gate(spark, sf_dir):
             "text",
         )
     )
-    return gate_messages(pasted.unionByName(typed))
+    return pasted.unionByName(typed)
 
 
-def pii_gazetteer(spark, sf_dir):
-    """Phrase list: every sentence of the benchmark that is two words, as a name."""
-    sentences = F.explode(F.split("text", "[.\n]")).alias("sentence")
-    phrases = (
+def message_gate(spark, sf_dir):
+    return gate_messages(_messages(spark, sf_dir))
+
+
+def sentences(spark, sf_dir, words, group, score):
+    """Phrase list: every sentence of the benchmark that is so many words."""
+    parts = F.explode(F.split("text", "[.\n]")).alias("sentence")
+    return (
         table(spark, sf_dir, "benchmark")
-        .select(sentences)
+        .select(parts)
         .select(F.trim("sentence").alias("phrase"))
-        .where(F.col("phrase").rlike("^[A-Za-z0-9]+ [A-Za-z0-9]+$"))
+        .where(F.col("phrase").rlike("^[A-Za-z0-9]+( [A-Za-z0-9]+){%d}$" % (words - 1)))
         .distinct()
-        .select(F.lit("PERSON").alias("entity_group"), "phrase", F.lit(0.9).alias("score"))
+        .select(F.lit(group).alias("entity_group"), "phrase", F.lit(score).alias("score"))
     )
+
+
+def rules_and_phrases(spark, sf_dir):
+    """The rules, with names of two words, places of three, and some that count too little."""
+    people, places = sentences(spark, sf_dir, 2, "PERSON", 0.9), sentences(spark, sf_dir, 3, "LOCATION", 0.85)
+    doubtful = sentences(spark, sf_dir, 4, "LOCATION", 0.5)
+    return [*pii.RULES, PhraseList.read(people.unionByName(places).unionByName(doubtful))]
+
+
+def doc_gate_phrases(spark, sf_dir):
+    return clean_pages(documents(spark, sf_dir), rules=rules_and_phrases(spark, sf_dir)).select(*PAGE)
+
+
+def message_gate_phrases(spark, sf_dir):
+    return gate_messages(_messages(spark, sf_dir), rules=rules_and_phrases(spark, sf_dir))
+
+
+def pii_gazetteer(spark, sf_dir):
+    """Names: every sentence of the benchmark that is two words."""
+    phrases = sentences(spark, sf_dir, 2, "PERSON", 0.9)
     found = find_phrases(table(spark, sf_dir, "documents"), ["doc_id"], phrases)
     return found.groupBy("doc_id", "entity_group", "word", "score").agg(
         F.count(F.lit(1)).alias("n_found")
@@ -140,6 +165,8 @@ QUERIES = {
     "ingest_report": ingest_report,
     "bulk_stats": bulk_stats,
     "message_gate": message_gate,
+    "doc_gate_phrases": doc_gate_phrases,
+    "message_gate_phrases": message_gate_phrases,
     "pii_gazetteer": pii_gazetteer,
 }
 
@@ -159,11 +186,29 @@ _MESSAGES = """messages AS (
   SELECT 'chat', conv_id * 1000 + turn, text FROM conversations WHERE role = 'user')"""
 
 
-def _described(keys):
+def _described(keys, found="found"):
     return f"""described AS (
   SELECT {keys}, string_agg(printf('%s (%s, %.2f)', word, entity_group, score), ', '
                             ORDER BY rule_no, place) AS what
-  FROM found WHERE {listed()} GROUP BY ALL)"""
+  FROM {found} WHERE {listed()} GROUP BY ALL)"""
+
+
+# Sentences of two to four words, and where they are in a table of texts.
+_PHRASES = """phrases AS (
+  SELECT DISTINCT lower(sentence) AS word, len(string_split(sentence, ' ')) AS n,
+         CASE len(string_split(sentence, ' ')) WHEN 2 THEN 'PERSON' ELSE 'LOCATION' END AS entity_group,
+         CASE len(string_split(sentence, ' ')) WHEN 2 THEN 0.9 WHEN 3 THEN 0.85 ELSE 0.5 END::DOUBLE AS score
+  FROM (SELECT trim(unnest(regexp_split_to_array(text, '[.\n]'))) AS sentence FROM benchmark)
+  WHERE regexp_full_match(sentence, '[A-Za-z0-9]+( [A-Za-z0-9]+){1,3}'))"""
+
+
+def _with_phrases(source, keys):
+    return f"""all_found AS (
+  SELECT {keys}, rule_no, entity_group, score, word, place FROM found
+  UNION ALL
+  SELECT {keys}, 99, entity_group, score, word, i * 10 + n
+  FROM (SELECT {keys}, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT {keys}, {tokens('text')} AS w FROM {source}))
+  JOIN phrases ON array_to_string(w[i:i + n - 1], ' ') = word)"""
 
 
 SQL = {
@@ -197,6 +242,25 @@ FROM documents LEFT JOIN described USING (doc_id)""",
     )
     + f"""SELECT origin, message_id, CASE WHEN what IS NULL THEN 'user' ELSE 'pii_warning' END AS role,
        CASE WHEN what IS NULL THEN text ELSE {quoted(UNSAFE_MESSAGE)} || what END AS content
+FROM messages LEFT JOIN described USING (origin, message_id)""",
+    "doc_gate_phrases": with_(
+        *_PAGE_FOUND,
+        _PHRASES,
+        _with_phrases("pages_", "unique_id, file_path, page_no"),
+        REJECTED.replace("FROM found", "FROM all_found"),
+        CLEAN,
+    )
+    + "SELECT unique_id, file_path, page_no FROM clean",
+    "message_gate_phrases": with_(
+        _MESSAGES,
+        RULE_TABLE,
+        found_in("messages", "origin, message_id"),
+        _PHRASES,
+        _with_phrases("messages", "origin, message_id"),
+        _described("origin, message_id", "all_found"),
+    )
+    + f"""SELECT origin, message_id, CASE WHEN what IS NULL THEN 'user' ELSE 'pii_warning' END AS role,
+       CASE WHEN what IS NULL THEN text ELSE {quoted(UNSAFE_MESSAGE)} || what END AS content
 FROM messages LEFT JOIN described USING (origin, message_id)""",
     "pii_gazetteer": f"""
 WITH phrases AS (

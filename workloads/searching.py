@@ -14,7 +14,8 @@ from pagewarden.operators.search import (
     with_records,
 )
 from pagewarden.plans.ask import retrieve
-from workloads.inputs import files, page_index, questions, table, vector_questions, vectors
+from pagewarden.plans.ingest import ingest
+from workloads.inputs import documents, files, new_index, page_index, questions, table, vector_questions, vectors
 from workloads.sqltext import COSINE, INDEXED, INNER, best_pages, best_vectors, with_
 
 DIM = 64
@@ -86,13 +87,22 @@ def knn_cells_all(spark, sf_dir):
 
 
 def text_retrieval(spark, sf_dir):
-    hits = retrieve(page_index(spark, sf_dir).placed(), questions(spark, sf_dir))
+    hits = retrieve(page_index(spark, sf_dir).read(), questions(spark, sf_dir))
+    return hits.select("question_id", "rank", "unique_id", "file_path", "page_no", "score")
+
+
+def retrieval_after_append(spark, sf_dir):
+    """The same files indexed twice without replacing: two records of each page, one hit each."""
+    index = new_index(spark)
+    for _ in range(2):
+        ingest(documents(spark, sf_dir), index)
+    hits = retrieve(index.read(), questions(spark, sf_dir))
     return hits.select("question_id", "rank", "unique_id", "file_path", "page_no", "score")
 
 
 def text_cells_all(spark, sf_dir):
     """Text search over cells learnt from the page vectors, all of them probed."""
-    records = page_index(spark, sf_dir).placed()
+    records = page_index(spark, sf_dir).read()
     centres = train_cells(records, N_CELLS, "text_embedding", iterations=3)
     placed = place_in_cells(records, centres, "text_embedding")
     hits = retrieve(placed, questions(spark, sf_dir), centres=centres, n_probe=N_CELLS)
@@ -108,13 +118,13 @@ def _tenant_questions(spark, sf_dir):
 
 
 def tenant_filter(spark, sf_dir):
-    hits = retrieve(page_index(spark, sf_dir).placed(), _tenant_questions(spark, sf_dir))
+    hits = retrieve(page_index(spark, sf_dir).read(), _tenant_questions(spark, sf_dir))
     return hits.select("question_id", "rank", "unique_id", "file_path", "page_no", "score")
 
 
 def tenant_filter_blocks(spark, sf_dir):
     hits = retrieve(
-        page_index(spark, sf_dir).placed(), _tenant_questions(spark, sf_dir), question_limit=0
+        page_index(spark, sf_dir).read(), _tenant_questions(spark, sf_dir), question_limit=0
     )
     return hits.select("question_id", "rank", "unique_id", "file_path", "page_no", "score")
 
@@ -150,7 +160,7 @@ def retrieval_all_questions(spark, sf_dir):
         .otherwise(F.array().cast("array<string>"))
         .alias("unique_ids"),
     )
-    hits = retrieve(page_index(spark, sf_dir).placed(), asked.join(owners, "question_id"))
+    hits = retrieve(page_index(spark, sf_dir).read(), asked.join(owners, "question_id"))
     return all_questions(asked, hits.select("question_id", "rank", "file_path", "score")).select(
         "question_id", F.size("hits").cast("bigint").alias("n_hits")
     )
@@ -159,7 +169,7 @@ def retrieval_all_questions(spark, sf_dir):
 def hits_envelope(spark, sf_dir):
     """The wide search of an agent's tool."""
     asked = questions(spark, sf_dir)
-    hits = retrieve(page_index(spark, sf_dir).placed(), asked, WIDE_K)
+    hits = retrieve(page_index(spark, sf_dir).read(), asked, WIDE_K)
     nested = envelope_of(
         all_questions(asked, hits), ["unique_id", "file_path", "page_number", "llm_generated"]
     )
@@ -183,6 +193,7 @@ QUERIES = {
     "knn_cells": knn_cells,
     "knn_cells_all": knn_cells_all,
     "text_retrieval": text_retrieval,
+    "retrieval_after_append": retrieval_after_append,
     "text_cells_all": text_cells_all,
     "tenant_filter": tenant_filter,
     "tenant_filter_blocks": tenant_filter_blocks,
@@ -210,6 +221,12 @@ SQL = {
     "knn_filtered_post": best_vectors(10, COSINE, after=_LABELS),
     "knn_cells_all": best_vectors(10, COSINE),
     "text_retrieval": with_(*INDEXED, *best_pages()) + _HIT,
+    "retrieval_after_append": with_(*INDEXED, *best_pages())
+    + """SELECT * FROM (
+  SELECT question_id, unique_id, file_path, page_no, score,
+         CAST(row_number() OVER (PARTITION BY question_id
+                                 ORDER BY score DESC, unique_id, file_path, page_no, copy) AS INTEGER) AS rank
+  FROM scored, (VALUES (1), (2)) copies(copy)) WHERE rank <= 10""",
     "text_cells_all": with_(*INDEXED, *best_pages()) + _HIT,
     "tenant_filter": _TENANT + _HIT,
     "tenant_filter_blocks": _TENANT + _HIT,

@@ -129,8 +129,9 @@ def best_vectors(k: int, score: str, where: str = "true", after: str = "true") -
 SELECT question_id, rank, vec_id, score FROM (
   SELECT question_id, vec_id, label, score,
          CAST(row_number() OVER (PARTITION BY question_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
-  FROM (SELECT q.vec_id AS question_id, v.vec_id, v.label, round({score} + 1.0, 6) AS score
-        FROM embeddings v, (SELECT e.vec_id, e.embedding FROM embeddings e JOIN benchmark b ON b.item_id = e.vec_id) q
+  FROM (SELECT q.vec_id AS question_id, v.vec_id, v.label, round(coalesce({score}, 0.0) + 1.0, 6) AS score
+        FROM embeddings v, (SELECT b.item_id AS vec_id, e.embedding
+                            FROM benchmark b LEFT JOIN embeddings e ON b.item_id = e.vec_id) q
         WHERE {where}))
 WHERE rank <= {k} AND {after}"""
 

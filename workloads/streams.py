@@ -12,6 +12,7 @@ from pagewarden.streaming.jobs import (
     ingest_stream,
     latest_counts,
     session_stream,
+    transcript,
     transcript_stream,
 )
 from workloads import asking, indexing, intake, screening
@@ -45,6 +46,16 @@ def stream_ingest(spark, sf_dir):
     return indexing._record_rows(index.read())
 
 
+def stream_ingest_twice(spark, sf_dir):
+    """The stream starts anew with its checkpoint lost: every file replaces itself."""
+    index = new_index(spark)
+    cores = spark.sparkContext.defaultParallelism
+    for _ in range(2):
+        arriving = as_files(_stream(spark, sf_dir, "documents")).drop("doc_id")
+        _drain(ingest_stream(arriving, index, fresh_path(spark, "steps"), partitions=cores))
+    return indexing._record_rows(index.read())
+
+
 def stream_uploads(spark, sf_dir):
     rows = as_files(_stream(spark, sf_dir, "documents"))
     name = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"), F.lit(".pdf"))
@@ -73,12 +84,13 @@ def stream_chat(spark, sf_dir):
     path = fresh_path(spark, "chat")
     index = page_index(spark, sf_dir)
     _drain(chat_stream(arriving, index, path, fresh_path(spark, "steps")))
-    return spark.read.parquet(path).select("message_id", "role", "content")
+    return transcript(spark, path)
 
 
 QUERIES = {
     "stream_message_gate": stream_message_gate,
     "stream_ingest": stream_ingest,
+    "stream_ingest_twice": stream_ingest_twice,
     "stream_uploads": stream_uploads,
     "stream_sessions": stream_sessions,
     "stream_chat": stream_chat,
@@ -89,6 +101,7 @@ SQL = {
     + screening.SQL["message_gate"]
     + ") WHERE origin = 'document'",
     "stream_ingest": indexing.SQL["ingest"],
+    "stream_ingest_twice": indexing.SQL["ingest"],
     "stream_uploads": intake.SQL["upload_events"],
     "stream_chat": "SELECT * FROM ("
     + asking.SQL["chat_transcript"]
