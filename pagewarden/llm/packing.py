@@ -147,9 +147,14 @@ class Encoder:
         return [np.array(code.ids, "<u4").tobytes() for code in codes]
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        plain = [_PLAIN.fullmatch(text) is not None for text in texts]
-        rest = iter(self._whole([text for text, known in zip(texts, plain) if not known]))
-        words = [self.words.findall(text.lower()) if known else None for text, known in zip(texts, plain)]
+        words: list = []
+        for text in texts:
+            if text.isascii() and text.isalpha():
+                # Letters alone are one word.
+                words.append((text.lower(),))
+            else:
+                words.append(self.words.findall(text.lower()) if _PLAIN.fullmatch(text) else None)
+        rest = iter(self._whole([text for text, some in zip(texts, words) if some is None]))
         merges, ids = self.tokenizer.model.tokenize, {}
         for word in set(chain.from_iterable(filter(None, words))):
             tokens = merges(word if word.isascii() else word.translate(_WRITTEN))
