@@ -1,4 +1,5 @@
 import sys
+import time
 
 import pytest
 from pyspark import cloudpickle
