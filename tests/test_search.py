@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pagewarden.operators import search
 from pagewarden.functions.text import with_hashed_vector
 from pagewarden.operators.cells import (
+    CellIndex,
     cell_visits,
     place_in_cells,
     read_centres,
@@ -202,3 +203,44 @@ def test_clauses(spark):
     assert ids(must=[even], must_not=[big]) == [0, 2, 4, 6]
     assert ids(should=[big, five]) == [5, 7, 8, 9]
     assert ids(must=[even], should=[big, five]) == [8]
+
+
+def test_cell_index(spark, data, tmp_path):
+    rows, questions, records, asked = data
+    sound = records.where(f"size(vec) = {DIM}")
+    index = CellIndex(spark, str(tmp_path / "cells"), ["rid"], vector="vec", tenant="grp")
+    with pytest.raises(FileNotFoundError):
+        index.read()
+    centres = train_cells(sound, 6, "vec")
+    assert index.build(records, centres, group_bytes=1 << 14) == 1
+    kept, read = index.read()
+    assert kept.count() == 2 * records.count() and np.allclose(read, centres)
+    whole = index.nearest(asked, 10, n_probe=6)
+    exact = run(data, 10)
+    assert sorted(whole.select(exact.columns).collect()) == sorted(exact.collect())
+    # Fewer cells: hits are scored exactly and each comes once; the filter reaches the scan.
+    some = index.nearest(asked, 10, n_probe=2)
+    found = as_dict(some)
+    assert all(len({rid for rid, _ in hits}) == len(hits) for hits in found.values())
+    scores = as_dict(run(data, len(rows)))
+    assert all(dict(scores[q])[rid] == score for q, hits in found.items() for rid, score in hits)
+    assert "PushedFilters: [In(cell" in index.nearest(asked, 10, n_probe=1)._jdf.queryExecution().executedPlan().toString()
+    # Tenants: what one question sees of its tenant, with all cells probed, is exact.
+    visits = spark.createDataFrame([("q0", "g1"), ("q1", "hot")], "question_id string, grp string")
+    seen = as_dict(index.nearest(asked, 10, n_probe=6, visits=visits))
+    assert seen == brute(rows, [q for q in questions if q[0] in ("q0", "q1")], 10, allowed={"q0": {"g1"}, "q1": {"hot"}})
+    assert index.build(sound, centres) == 2
+
+
+def test_recall_of_cells(spark, tmp_path):
+    rng = np.random.default_rng(11)
+    middles = rng.normal(size=(40, 16))
+    vectors = [(i, (middles[i % 40] + 0.6 * rng.normal(size=16)).tolist()) for i in range(4000)]
+    pool = spark.createDataFrame(vectors, "rid int, v array<double>")
+    asked = pool.where("rid % 40 = 7 and rid < 2000").selectExpr("rid as question_id", "v as question_embedding")
+    index = CellIndex(spark, str(tmp_path / "cells"), ["rid"], vector="v")
+    index.build(pool, train_cells(pool, 32, "v"))
+    exact = nearest(pool, asked, 10, ids=["rid"], vector="v", dim=16)
+    found = index.nearest(asked, 10, n_probe=8)
+    both = found.join(exact.select("question_id", "rid"), ["question_id", "rid"], "left_semi").count()
+    assert both >= 0.9 * exact.count()

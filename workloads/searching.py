@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from pagewarden.constants import WIDE_K
-from pagewarden.operators.cells import cell_visits, place_in_cells, train_cells
+from pagewarden.operators.cells import CellIndex, place_in_cells, train_cells
 from pagewarden.operators.search import (
     all_questions,
     hits_envelope as envelope_of,
@@ -15,11 +16,14 @@ from pagewarden.operators.search import (
 )
 from pagewarden.plans.ask import retrieve
 from pagewarden.plans.ingest import ingest
+from pagewarden.session import fresh_path
 from workloads.inputs import documents, files, new_index, page_index, questions, table, vector_questions, vectors
 from workloads.sqltext import COSINE, INDEXED, INNER, best_pages, best_vectors, with_
 
 DIM = 64
 N_CELLS = 32
+N_LABEL_PROBES = 3
+N_TENANTS = 4
 LABELS = [0, 1, 2]
 
 
@@ -67,23 +71,58 @@ def knn_filtered_post(spark, sf_dir):
     return kept.select("question_id", "rank", "vec_id", "score")
 
 
-def _by_cells(spark, sf_dir, n_probe):
-    pool = vectors(spark, sf_dir)
-    centres = train_cells(pool, N_CELLS)
-    placed = place_in_cells(pool, centres)
-    asked = vector_questions(spark, sf_dir)
-    visits = cell_visits(asked, centres, n_probe)
-    return nearest(
-        placed, asked, ids=["vec_id"], vector="embedding", dim=DIM, cell="cell", visits=visits
-    )
+_cells = {}
+
+
+def cell_index(spark, sf_dir, centres_of):
+    """Vectors by cells, written once per session for each way to make the centres."""
+    key = (spark.sparkContext.applicationId, sf_dir, centres_of.__name__)
+    if key not in _cells:
+        index = CellIndex(spark, fresh_path(spark, "cells"), ["vec_id"], tenant="label")
+        index.build(vectors(spark, sf_dir), centres_of(vectors(spark, sf_dir)))
+        _cells[key] = index
+    return _cells[key]
+
+
+def label_centres(pool):
+    """A cell for each label: the mean of its vectors."""
+    parts = pool.select("label", F.posexplode("embedding").alias("at", "x"))
+    means = parts.groupBy("label", "at").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    rows = means.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("at", "x"))).alias("centre"))
+    centres = np.array([[x for _, x in row["centre"]] for row in rows.orderBy("label").collect()])
+    return centres / np.linalg.norm(centres, axis=1, keepdims=True)
+
+
+def learnt_centres(pool):
+    return train_cells(pool, N_CELLS)
 
 
 def knn_cells(spark, sf_dir):
-    return _by_cells(spark, sf_dir, N_CELLS // 2)
+    """A third of the cells that labels make, each vector kept in two."""
+    asked = vector_questions(spark, sf_dir)
+    return cell_index(spark, sf_dir, label_centres).nearest(asked, n_probe=N_LABEL_PROBES)
+
+
+def knn_cells_tenant(spark, sf_dir):
+    """The same, and a question sees the vectors of one label only."""
+    asked = vector_questions(spark, sf_dir)
+    visits = asked.select("question_id", (F.col("question_id") % N_TENANTS).alias("label"))
+    return cell_index(spark, sf_dir, label_centres).nearest(asked, n_probe=N_LABEL_PROBES, visits=visits)
 
 
 def knn_cells_all(spark, sf_dir):
-    return _by_cells(spark, sf_dir, N_CELLS)
+    """All of the cells that were learnt from the vectors."""
+    asked = vector_questions(spark, sf_dir)
+    return cell_index(spark, sf_dir, learnt_centres).nearest(asked, n_probe=N_CELLS)
+
+
+def knn_cells_learnt(spark, sf_dir):
+    """The nearest of the learnt cells; how many of the exact hits that finds."""
+    asked = vector_questions(spark, sf_dir)
+    found = cell_index(spark, sf_dir, learnt_centres).nearest(asked, n_probe=N_CELLS // 2)
+    exact = knn_exact(spark, sf_dir).select("question_id", "vec_id", F.lit(1).alias("hit"))
+    joined = exact.join(found.select("question_id", "vec_id", F.lit(1).alias("seen")), ["question_id", "vec_id"], "left")
+    return joined.groupBy("question_id").agg(F.count("hit").alias("n_exact"), F.count("seen").alias("n_found"))
 
 
 def text_retrieval(spark, sf_dir):
@@ -191,7 +230,9 @@ QUERIES = {
     "knn_filtered_pre": knn_filtered_pre,
     "knn_filtered_post": knn_filtered_post,
     "knn_cells": knn_cells,
+    "knn_cells_tenant": knn_cells_tenant,
     "knn_cells_all": knn_cells_all,
+    "knn_cells_learnt": knn_cells_learnt,
     "text_retrieval": text_retrieval,
     "retrieval_after_append": retrieval_after_append,
     "text_cells_all": text_cells_all,
@@ -212,6 +253,31 @@ _TENANT = with_(
 _CLAUSES = """(page_no >= 2 AND (unique_id = 'src1' OR contains(llm_generated, 'tion'))
        AND NOT unique_id IN ('src2', 'src3'))"""
 
+
+
+def _in_cells(seen="true"):
+    """Best vectors of the probed cells: of cells by label means, two homes and some probes each."""
+    near = "round(list_cosine_similarity(a.embedding::DOUBLE[], c.centre), 9)"
+    return f"""
+WITH means AS (
+  SELECT label, list(x ORDER BY i) AS centre FROM (
+    SELECT label, i, avg(embedding[i]::DOUBLE) AS x FROM (SELECT label, embedding, unnest(range(1, {DIM} + 1)) AS i FROM embeddings)
+    GROUP BY label, i) GROUP BY label),
+closest AS (
+  SELECT a.vec_id, c.label AS cell, row_number() OVER (PARTITION BY a.vec_id ORDER BY {near} DESC, c.label) AS nth
+  FROM embeddings a, means c),
+asked AS (SELECT b.item_id, e.embedding FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id),
+met AS (
+  SELECT DISTINCT q.vec_id AS item_id, v.vec_id FROM closest q JOIN closest v USING (cell)
+  WHERE q.nth <= {N_LABEL_PROBES} AND v.nth <= 2)
+SELECT question_id, rank, vec_id, score FROM (
+  SELECT item_id AS question_id, vec_id, score,
+         CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+  FROM (SELECT q.item_id, v.vec_id, round({COSINE} + 1.0, 6) AS score
+        FROM asked q JOIN met USING (item_id) JOIN embeddings v USING (vec_id) WHERE {seen}))
+WHERE rank <= 10"""
+
+
 SQL = {
     "knn_exact": best_vectors(10, COSINE),
     "knn_exact_blocks": best_vectors(10, COSINE),
@@ -219,6 +285,8 @@ SQL = {
     "knn_inner_product": best_vectors(10, INNER),
     "knn_filtered_pre": best_vectors(10, COSINE, where=_LABELS),
     "knn_filtered_post": best_vectors(10, COSINE, after=_LABELS),
+    "knn_cells": _in_cells(),
+    "knn_cells_tenant": _in_cells(f"v.label = q.item_id % {N_TENANTS}"),
     "knn_cells_all": best_vectors(10, COSINE),
     "text_retrieval": with_(*INDEXED, *best_pages()) + _HIT,
     "retrieval_after_append": with_(*INDEXED, *best_pages())
