@@ -9,6 +9,8 @@ DEFAULT_K = 10
 WIDE_K = 100
 DEFAULT_THRESHOLD = 0.8
 DEFAULT_TEMPERATURE = 0.7
+# Descriptions and answers from pages; only a chat with its history has the default.
+FIXED_TEMPERATURE = 0.0
 LINES_PER_PAGE = 10
 TENANT_PAGE_SIZE = 10
 

@@ -9,6 +9,7 @@ from pagewarden.constants import (
     BEDROCK_MODELS,
     DEFAULT_MODEL_POSITION,
     DEFAULT_TEMPERATURE,
+    FIXED_TEMPERATURE,
     OPENAI_MODELS,
 )
 
@@ -22,6 +23,10 @@ def model_catalogue(spark: SparkSession) -> DataFrame:
     )
 
 
+# By what a call is for.
+TEMPERATURES = {"describe": FIXED_TEMPERATURE, "answer": FIXED_TEMPERATURE, "chat": DEFAULT_TEMPERATURE}
+
+
 def limit_key(model_id):
     """Name of the reply-length setting in the model's family."""
     camel = F.lower(model_id).contains("amazon") & ~F.lower(model_id).contains("anthropic")
@@ -29,9 +34,14 @@ def limit_key(model_id):
 
 
 def model_settings(
-    model_id, max_tokens: int | None = None, temperature: float = DEFAULT_TEMPERATURE
+    model_id, max_tokens: int | None = None, temperature: float | None = None, path: str = "chat"
 ):
-    """Settings of a call as a map; the reply length under its family's name, if given."""
+    """Settings of a call as a map; the reply length under its family's name, if given.
+
+    The temperature is that of the `path` (`TEMPERATURES`) unless one is given.
+    """
+    if temperature is None:
+        temperature = TEMPERATURES[path]
     settings = F.create_map(F.lit("temperature"), F.lit(float(temperature)))
     if not max_tokens:
         return settings

@@ -20,7 +20,7 @@ from pagewarden.operators.screening import (
     FILE_KEY,
     REPORT,
     accepted_pages,
-    bad_page_rows,
+    bad_pages,
     bulk_stats,
     clean_pages,
     gate_pages,
@@ -80,12 +80,51 @@ class Ingested(NamedTuple):
     detect_errors: int
 
 
-def _detected(documents, load, on_error, threshold, rules, lines_per_page) -> DataFrame:
-    """Files as `screen_documents` gives them, with the findings of rules and detector."""
-    pages = split_pages(documents, lines_per_page=lines_per_page)
-    found = detect_with(pages, load, threshold=threshold, on_error=on_error)
+def _found(pages: DataFrame, threshold, rules, detector, on_error) -> DataFrame:
+    """Page rows with the findings of the rules, and of the detector if there is one."""
     ruled = listed(entities(F.col("text"), rules), threshold)
-    return found.withColumn("found", F.concat(ruled, F.col("found")))
+    if not detector:
+        return pages.withColumns({"found": ruled, "detect_error": F.lit(None).cast("string")})
+    detected = detect_with(pages, detector, threshold=threshold, on_error=on_error)
+    return detected.withColumn("found", F.concat(ruled, F.col("found")))
+
+
+def ingest_pages(
+    pages: DataFrame,
+    index: PageIndex,
+    *,
+    threshold: float = DEFAULT_THRESHOLD,
+    rules: Iterable[Rule | PhraseList] = RULES,
+    describer: Step = describe,
+    embedder: Callable[[DataFrame, str], DataFrame] = with_hashed_vector,
+    embed_source: str = "llm_generated",
+    batch_id: str | None = None,
+    replace: bool = False,
+    gather: bool = True,
+    rejects: str | None = None,
+    detector: Callable[[], Detector] | None = None,
+    on_error: str = "open",
+) -> Ingested:
+    """As `ingest`, for rows of pages: (unique_id, file_path, page_no, page_number, text).
+
+    Pages come as rows from readers of binary files (`sources.pages.read_files`). They are
+    screened once, into a table that the gate reads.
+    """
+    batch_id = batch_id or uuid.uuid4().hex
+    place = fresh_path(pages.sparkSession, "screened")
+    try:
+        _found(pages, threshold, list(rules), detector, on_error).write.parquet(place)
+        screened = pages.sparkSession.read.parquet(place)
+        accepted, _, stats = gate_pages(screened)
+        counts = bulk_stats(stats).first()
+        errors = screened.where("detect_error IS NOT NULL").count()
+        if rejects:
+            bad = screened.where(F.size("found") > 0).select(*FILE_KEY, "page_no", "found")
+            with_errors(bad).write.mode("overwrite").parquet(f"{rejects}/batch={batch_id}")
+        records = index_records(accepted.drop("detect_error"), describer, embedder, embed_source)
+        return Ingested(index.append(records, batch_id, replace, gather), *counts, 0, errors)
+    finally:
+        drop_path(pages.sparkSession, place)
 
 
 def ingest(
@@ -131,27 +170,32 @@ def ingest(
     def index_pages(pages: DataFrame) -> int:
         return index.append(index_records(pages, describer, embedder, embed_source), batch_id, replace, gather)
 
-    if not rejects and not detector:
+    if detector:
+        done = ingest_pages(
+            split_pages(documents, lines_per_page=lines_per_page),
+            index,
+            threshold=threshold,
+            rules=rules,
+            describer=describer,
+            embedder=embedder,
+            embed_source=embed_source,
+            batch_id=batch_id,
+            replace=replace,
+            gather=gather,
+            rejects=rejects,
+            detector=detector,
+            on_error=on_error,
+        )
+        return done._replace(refused=refused)
+    if not rejects:
         observed = Observation()
         version = index_pages(clean_pages(documents, threshold, rules, lines_per_page, observed))
         return Ingested(version, *[observed.get[name] or 0 for name in REPORT], refused, 0)
     place = fresh_path(spark, "screened")
     try:
-        if detector:
-            _detected(documents, detector, on_error, threshold, rules, lines_per_page).write.parquet(place)
-            screened = spark.read.parquet(place)
-            accepted, _, stats = gate_pages(screened)
-            row = bulk_stats(stats).first()
-            errors = screened.where("detect_error IS NOT NULL").count()
-            bad = screened.where(F.size("found") > 0).select(*FILE_KEY, "page_no", "found")
-            version_of = accepted.drop("detect_error")
-        else:
-            screen_documents(documents, threshold, rules, lines_per_page).write.parquet(place)
-            screened = spark.read.parquet(place)
-            row, errors = gate_report(screened).first(), 0
-            bad, version_of = bad_page_rows(screened), accepted_pages(screened)
-        if rejects:
-            with_errors(bad).write.mode("overwrite").parquet(f"{rejects}/batch={batch_id}")
-        return Ingested(index_pages(version_of), *row, refused, errors)
+        screen_documents(documents, threshold, rules, lines_per_page).write.parquet(place)
+        screened = spark.read.parquet(place)
+        bad_pages(screened).write.mode("overwrite").parquet(f"{rejects}/batch={batch_id}")
+        return Ingested(index_pages(accepted_pages(screened)), *gate_report(screened).first(), refused, 0)
     finally:
         drop_path(spark, place)

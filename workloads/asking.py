@@ -16,7 +16,7 @@ from pagewarden.constants import (
 from pagewarden.functions.prompts import enrich_prompt as enrich_prompt_of
 from pagewarden.functions.prompts import prompt_template as prompt_template_of
 from pagewarden.operators.chat import latest_messages, message_rows
-from pagewarden.operators.routing import model_catalogue, route
+from pagewarden.operators.routing import TEMPERATURES, model_catalogue, model_settings, route
 from pagewarden.operators.screening import bad_pages, screen_documents
 from pagewarden.plans.ask import answer, prompts, retrieve, summarise
 from pagewarden.plans.chat import converse
@@ -102,18 +102,37 @@ def prompt_template(spark, sf_dir):
     )
 
 
-def model_routing(spark, sf_dir):
+def _named_models(spark, sf_dir):
     """Each file asks for a model in turn; one place in the row is no known model."""
     catalogue = model_catalogue(spark)
     n = len(BEDROCK_MODELS) + len(OPENAI_MODELS) + 1
     wanted = files(spark, sf_dir).select("doc_id", (F.col("doc_id") % n).cast("int").alias("position"))
-    named = wanted.join(
-        F.broadcast(catalogue.select("position", "model_id")), "position", "left"
-    ).select("doc_id", F.coalesce("model_id", F.lit(OTHER_MODEL)).alias("model_id"))
-    routed, refused = route(named, catalogue)
+    named = wanted.join(F.broadcast(catalogue.select("position", "model_id")), "position", "left")
+    return named.select("doc_id", F.coalesce("model_id", F.lit(OTHER_MODEL)).alias("model_id"))
+
+
+def model_routing(spark, sf_dir):
+    routed, refused = route(_named_models(spark, sf_dir), model_catalogue(spark))
     return routed.unionByName(refused, allowMissingColumns=True)
 
 
+def call_settings(spark, sf_dir):
+    """Settings of every call that a file leads to: its description, an answer, and a chat about it."""
+    routed, _ = route(_named_models(spark, sf_dir), model_catalogue(spark))
+    calls = [
+        F.struct(F.lit(path).alias("path"), model_settings(F.col("model_id"), 500, path=path).alias("settings"))
+        for path in TEMPERATURES
+    ]
+    rows = routed.select("doc_id", "limit_key", F.inline(F.array(*calls)))
+    return rows.select(
+        "doc_id",
+        "path",
+        F.element_at("settings", "temperature").alias("temperature"),
+        F.element_at("settings", F.col("limit_key")).alias("max_length"),
+        F.size("settings").alias("n_settings"),
+    )
+
+
 QUERIES = {
     "context_block": context_block,
     "answer_prompt": answer_prompt,
@@ -125,6 +144,7 @@ QUERIES = {
     "prompt_template": prompt_template,
     "prompt_history": prompt_template,
     "model_routing": model_routing,
+    "call_settings": call_settings,
 }
 
 
@@ -210,3 +230,8 @@ SELECT doc_id, model_id, provider,
 FROM named""",
 }
 SQL["prompt_history"] = SQL["prompt_template"]
+SQL["call_settings"] = f"""
+SELECT doc_id, path, temperature, 500.0::DOUBLE AS max_length, 2::INTEGER AS n_settings
+FROM ({SQL["model_routing"]}),
+     (VALUES ('describe', 0.0::DOUBLE), ('answer', 0.0::DOUBLE), ('chat', 0.7::DOUBLE)) calls(path, temperature)
+WHERE provider IS NOT NULL"""

@@ -22,10 +22,11 @@ from pagewarden.operators.screening import (
 )
 from pagewarden.plans.ingest import index_records as records_of
 from pagewarden.plans.ingest import ingest as run_ingest
-from pagewarden.plans.ingest import requested
-from pagewarden.sources.pages import split_pages
+from pagewarden.plans.ingest import ingest_pages, requested
+from pagewarden.session import fresh_path
+from pagewarden.sources.pages import read_files, split_pages
 from pagewarden.sources.requests import bulk_requests
-from workloads import screening
+from workloads import intake, screening
 from workloads.inputs import documents, files, new_index, page_index, table, vectors
 from workloads.intake import bulk_request_rows
 from workloads.sqltext import (
@@ -129,6 +130,30 @@ def bulk_ingest(spark, sf_dir):
     return joined.withColumn("num_pages_processed", F.coalesce("num_pages_processed", F.lit(0)))
 
 
+def _web_text(content):
+    """The text of a web page's bytes, as one page."""
+    import re
+
+    text = content.decode()
+    text = re.sub(r"(?is)<(script|style|nav)[^>]*>.*?</(script|style|nav)>", " ", text)
+    return [re.sub(r"\s+", " ", re.sub(r"(?s)<[^>]+>", " ", text)).strip()]
+
+
+def ingest_files(spark, sf_dir):
+    """Web pages as binary files, a folder for each, read back with an extractor and indexed."""
+    path = fresh_path(spark, "files")
+    raw = table(spark, sf_dir, "pages").where("html IS NOT NULL")
+    raw.select("page_id", F.regexp_replace("html", "[\r\n]", " ").alias("value")).write.option(
+        "lineSep", " "
+    ).partitionBy("page_id").text(path)
+    pages, _ = read_files(spark, path, _web_text, pattern="*.txt")
+    number = F.regexp_extract("file_path", "page_id=([0-9]+)", 1)
+    named = pages.withColumns({"file_path": number, "unique_id": F.concat(F.lit("web"), (number.cast("long") % 5).cast("string"))})
+    index = new_index(spark)
+    ingest_pages(named, index)
+    return _record_rows(index.read())
+
+
 def placeholder_fill(spark, sf_dir):
     """Single lines as content: many are empty."""
     lines = split_pages(documents(spark, sf_dir), lines_per_page=1)
@@ -216,6 +241,7 @@ QUERIES = {
     "ingest_counts": ingest_counts,
     "ingest_refused": ingest_refused,
     "ingest_detected": ingest_detected,
+    "ingest_files": ingest_files,
     "bulk_ingest": bulk_ingest,
     "placeholder_fill": placeholder_fill,
     "zero_vector_fill": zero_vector_fill,
@@ -253,6 +279,16 @@ FROM (SELECT file_path, n, n < 5 OR regexp_matches(text, '[A-Z][a-z]{{9,}}') OR
 ]+'), lambda x: x <> '')) AS n FROM pages_) p
       LEFT JOIN (SELECT DISTINCT unique_id, file_path, page_no FROM found WHERE {listed()}) f
       USING (unique_id, file_path, page_no))""",
+    "ingest_files": with_(
+        f"""pages_ AS (
+  SELECT 'web' || page_id % 5 AS unique_id, CAST(page_id AS VARCHAR) AS file_path, 1::INTEGER AS page_no,
+         'page_1' AS page_number, text
+  FROM ({intake.SQL["page_text"].replace("html,", "regexp_replace(html, '[\\r\\n]', ' ', 'g'),")}))""",
+        RULE_TABLE,
+        PAGE_FOUND,
+        *INDEXED[-3:],
+    )
+    + _RECORDS[_RECORDS.index("SELECT unique_id, file_path, page_no, page_number, llm_generated,\n       false") :],
     "bulk_ingest": "SELECT r.* FROM ("
     + screening.SQL["ingest_report"]
     + """) r JOIN (SELECT source || '/doc_' || doc_id || '.pdf' AS file_path
