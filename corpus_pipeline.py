@@ -9,7 +9,7 @@ import public_tokenizers
 from pagewarden.llm import bpe, language, lines, minhash, mixing
 from pagewarden.llm.names import own
 from pagewarden.llm.queries import vocabulary
-from pagewarden.session import fresh_path
+from pagewarden.session import drop_path, fresh_path
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -75,8 +75,13 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage over all documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES[:-1]:
         path = fresh_path(spark, f"corpus-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        # No stage reads what came before its predecessor.
+        if before:
+            drop_path(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
