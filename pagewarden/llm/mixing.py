@@ -38,6 +38,10 @@ BLOCK_CHARS = 1 << 16
 # Ranges of the shuffled order in which lengths are added up; a source of any size
 # becomes so many pieces.
 RANGES = 1024
+# Blocks of all sources together, at most about.
+MOST_BLOCKS = 1 << 19
+# Characters that a range of a source holds, about.
+RANGE_CHARS = 1 << 26
 
 
 def parts_of(weights: dict, period: int = PERIOD) -> dict:
@@ -126,6 +130,17 @@ def exact_slots(blocks: dict, weights: dict) -> dict:
     return slots
 
 
+def granularity(sizes: dict, block_chars: int = BLOCK_CHARS, ranges: int = RANGES) -> tuple[int, int]:
+    """How long blocks are, and how many ranges a source has, for sources of these lengths.
+
+    Blocks grow with the corpus, so that their order, which is made on the driver and sent
+    to all tasks, has at most `MOST_BLOCKS` rows besides one for each source. Ranges grow
+    in number, so that each holds about `RANGE_CHARS` of the largest source at most.
+    """
+    most = max(sizes.values(), default=0)
+    return max(block_chars, -(-sum(sizes.values()) // MOST_BLOCKS)), max(ranges, -(-most // RANGE_CHARS))
+
+
 def source_sizes(docs: DataFrame, source: str, length: Column) -> dict:
     """Length of every source."""
     rows = (
@@ -157,6 +172,9 @@ def mix(
     """
     length = F.length(F.coalesce(F.col(text), F.lit(""))).cast("bigint")
     sizes = source_sizes(docs, source, length)
+    if len(sizes) > MOST_BLOCKS:
+        raise ValueError(f"{len(sizes)} sources are more than {MOST_BLOCKS}: their order cannot be planned")
+    block_chars, ranges = granularity(sizes, block_chars, ranges)
     if weights is None:
         weights = {name: max(1.0, float(size) ** 0.5) for name, size in sizes.items()}
     weights = {name: weights.get(name, 0) for name in sizes}

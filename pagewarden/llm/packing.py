@@ -122,7 +122,9 @@ def _word_pattern(source: dict) -> str | None:
         return None
     if letters.get("add_prefix_space") or letters.get("use_regex") or source.get("post_processor"):
         return None
-    return words["pattern"]["Regex"]
+    pattern = words["pattern"].get("Regex", "")
+    # Letters that follow one another must be one word.
+    return pattern if r"[\p{L}]+" in pattern else None
 
 
 class Encoder:

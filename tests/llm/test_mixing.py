@@ -126,3 +126,35 @@ def test_query_keeps_every_document_once(spark):
     assert rows.count() == table(spark, folder, "documents").count()
     assert rows.groupBy("slot", "place").count().where("count > 1").count() == 0
     assert rows.groupBy("slot").agg({"source": "count"}).count() > 1
+
+
+def test_what_is_planned_has_a_bound():
+    for total in (10**6, 10**11, 10**14):
+        sizes = {None: total // 3, **{f"s{i}": total // 30 for i in range(20)}}
+        block, ranges = mixing.granularity(sizes)
+        assert sum(n // block + 1 for n in sizes.values()) <= mixing.MOST_BLOCKS + len(sizes)
+        assert sizes[None] <= ranges * mixing.RANGE_CHARS < 1 << 50
+    assert mixing.granularity({"a": 5}) == (mixing.BLOCK_CHARS, mixing.RANGES)
+    assert mixing.granularity({}) == (mixing.BLOCK_CHARS, mixing.RANGES)
+
+
+def test_rows_follow_a_walk(spark):
+    """Blocks, slots and places of the default way, held against one walk through each source."""
+    rng = random.Random(3)
+    texts = ["w" * rng.randrange(0, 400) for _ in range(300)]
+    frame = documents(spark, texts)
+    rows = mixing.mix(frame, block_chars=500, ranges=4).collect()
+    assert len(rows) == 300
+    by_source = {}
+    for r in sorted(rows, key=lambda r: r["place"]):
+        by_source.setdefault(r["source"], []).append(r)
+    sizes = {name: sum(len(r["text"]) for r in some) for name, some in by_source.items()}
+    weights = {name: max(1.0, float(size) ** 0.5) for name, size in sizes.items()}
+    slots = mixing.exact_slots({name: size // 500 + 1 for name, size in sizes.items()}, weights)
+    for name, some in by_source.items():
+        before = 0
+        for r in some:
+            assert r["block"] == before // 500 and r["slot"] == slots[name][before // 500]
+            before += len(r["text"])
+    order = [(r["slot"], r["place"]) for r in mixing.in_order(mixing.mix(frame, block_chars=500)).collect()]
+    assert order == sorted(order)
