@@ -2,8 +2,9 @@
 
 A page becomes a tree of elements. Each element is described by its tag, the words in
 its class, id and role, what its ancestors say, depth, place among and likeness to its
-siblings, and the length, density, links and punctuation of the text below it. Boosted
-regression trees, grown in numpy on gradients of the log loss, give each element the
+siblings, and the length, density, links and punctuation of the text below it. What an
+attribute word speaks for is learnt beforehand: its log odds among the elements that carry
+it, which elements and their descendants have as features. Boosted regression trees, grown in numpy on gradients of the log loss, give each element the
 log odds of being main text. Decoding then goes through the tree from the leaves: an
 element is kept, or dropped with all that is below it, whichever adds up to more, so a
 dropped ancestor never has a kept descendant.
@@ -24,19 +25,24 @@ from __future__ import annotations
 import html
 import random
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagewarden.llm.batches import bound_batches
 from pagewarden.llm.names import others, own
 
 # Pages that are learnt from, and characters of each.
 SAMPLE_PAGES = 60
 SAMPLE_CHARS = 20_000
-LAYOUTS = 260
+LAYOUTS = 1200
+# What marks the main text of pages laid out anew; no tree sees it.
+MARK = "keepme"
+MOST_ODDS = 4.0
 TREES = 40
 DEPTH = 4
 
@@ -67,7 +73,8 @@ CLOSES = {
     "body": {"head"},
 }
 SCOPES = set("table ul ol dl select article section div body html main aside nav".split())
-# Words in attributes that speak for and against main text.
+# Names that page layouts give to main text and to other parts. Pages laid
+# out anew draw theirs from here; what they speak for is learnt.
 FOR = set(
     "article body content entry main post story text hentry markdown prose page single blog news chapter"
     " headline paragraph".split()
@@ -169,8 +176,9 @@ class Page:
                 continue
             stack.append(self._open(name, attributes, stack[-1]))
 
-    def features(self) -> np.ndarray:
-        """A row for every element."""
+    def features(self, learnt: Mapping[str, float] | None = None) -> np.ndarray:
+        """A row for every element; `learnt` has the log odds of attribute words."""
+        learnt = learnt or {}
         # Lists, for single numbers of arrays are slow to read.
         n, tag, parent = len(self.tag), self.tag, self.parent
         chars, words, linked, stops = ([0] * n for _ in range(4))
@@ -184,12 +192,16 @@ class Page:
                 stops[element] += text.count(".") + text.count(",") + text.count("!") + text.count("?")
         own_chars = chars[:]
         kind = [_KIND.get(t, len(KINDS)) for t in tag]
-        good, bad = [0] * n, [0] * n
+        good, bad = [0.0] * n, [0.0] * n
         for i, ws in enumerate(self.words):
-            if ws:
-                good[i] = sum(w in FOR for w in ws)
-                bad[i] = sum(w in AGAINST for w in ws)
-        depth, above_bad, above_good, in_main, in_aside, in_form, in_link = ([0] * n for _ in range(7))
+            for word in ws:
+                odds = learnt.get(word, 0.0)
+                if odds > 0:
+                    good[i] += odds
+                else:
+                    bad[i] -= odds
+        above_bad, above_good = [0.0] * n, [0.0] * n
+        depth, in_main, in_aside, in_form, in_link = ([0] * n for _ in range(5))
         siblings, nth = [0] * n, [0] * n
         same_tag: dict = {}
         for i in range(1, n):
@@ -262,6 +274,7 @@ class Trees:
         self.edges: list[np.ndarray] = []
         self.trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.start = 0.0
+        self.words: dict[str, float] = {}
 
     def _bins(self, x: np.ndarray) -> np.ndarray:
         return np.stack(
@@ -327,7 +340,7 @@ def _labelled(page: Page) -> np.ndarray | None:
     for i in range(1, len(page.tag)):
         p, kind = page.parent[i], _KIND.get(page.tag[i])
         inside[i] = inside[p] or kind == 5
-        if kind in (6, 7, 8, 10) or any(w in AGAINST for w in page.words[i]):
+        if kind in (6, 7, 8, 10):
             inside[i] = False
     if not any(t in ("article", "main") for t in page.tag):
         return None
@@ -342,7 +355,14 @@ def _layout(rng: random.Random, passages: list[str]) -> str:
     """A page around some passages; elements of the main text carry the word `keepme`."""
     short = lambda most=5: " ".join(rng.choice(passages).split()[: rng.randrange(1, most + 1)]) or "More"
     text = lambda: rng.choice(passages)
-    named = lambda words: f' class="{rng.choice(words)}"' if rng.random() < 0.9 else f' id="{rng.choice(words)}"'
+    others, mains = sorted(AGAINST), sorted(FOR)
+    # Half of the parts go by any of the names there are, alone or with a second word.
+    any_name = lambda names: rng.choice(names) + rng.choice(["", "", f"-{rng.choice(names)}", " box", "-wrap", "_1"])
+
+    def named(words):
+        name = rng.choice(words) if rng.random() < 0.5 else any_name(others)
+        return f' class="{name}"' if rng.random() < 0.9 else f' id="{name}"'
+
     link = lambda: f'<a href="/x">{short()}</a>'
 
     def menu(tag, words):
@@ -392,6 +412,7 @@ def _layout(rng: random.Random, passages: list[str]) -> str:
         [("article", ""), ("main", ""), ("div", "content"), ("div", "post-body"), ("div", "entry"), ("div", ""),
          ("section", "story"), ("div", "article-text"), ("div", "main"), ("article", "post")]
     )
+    words = words if rng.random() < 0.5 else any_name(mains)
     main = f'<{tag} class="{words} keepme">{"".join(body)}</{tag}>'
     for _ in range(rng.randrange(0, 3)):
         main = f'<div class="{rng.choice(["wrap", "container", "row", "page", "", "col", "inner"])} keepme">{main}</div>'
@@ -411,27 +432,44 @@ def train(pages: list[str], seed: int = 0) -> Trees:
         for page in pages
         for p in re.findall(r"<p[^>]*>([^<]{20,})", page)
     ] or [" ".join("word" * rng.randrange(1, 3) for _ in range(rng.randrange(8, 60))) + "." for _ in range(50)]
-    rows, labels, weights = [], [], []
+    read, labels = [], []
     for source in pages:
         page = Page(source)
         inside = _labelled(page)
         if inside is not None:
-            rows.append(page.features())
+            read.append(page)
             labels.append(inside)
-            weights.append(np.full(len(inside), 1.0))
     for _ in range(LAYOUTS):
         page = Page(_layout(rng, passages))
-        keep = np.array(["keepme" in ws for ws in page.words])
+        keep = np.array([MARK in ws for ws in page.words])
         for i in range(len(keep) - 1, 0, -1):
             if keep[i] and page.tag[i] not in INLINE:
                 keep[page.parent[i]] = True
         for i in range(1, len(keep)):
             if page.tag[i] in INLINE:
                 keep[i] = keep[page.parent[i]]
-        rows.append(page.features())
+        page.words = [tuple(w for w in ws if w != MARK) for ws in page.words]
+        read.append(page)
         labels.append(keep)
-        weights.append(np.full(len(keep), 1.0))
-    return Trees().fit(np.concatenate(rows), np.concatenate(labels).astype(float), np.concatenate(weights))
+    words = word_odds(read, labels)
+    rows, truth = np.concatenate([page.features(words) for page in read]), np.concatenate(labels).astype(float)
+    trees = Trees().fit(rows, truth, np.ones(len(truth)))
+    trees.words = words
+    return trees
+
+
+def word_odds(pages: list[Page], labels: list[np.ndarray]) -> dict[str, float]:
+    """Log odds of being main text, against all elements, of the attribute words seen twice or more."""
+    inside, outside = Counter(), Counter()
+    for page, keep in zip(pages, labels):
+        for ws, kept in zip(page.words, keep):
+            (inside if kept else outside).update(set(ws))
+    share = (sum(int(k.sum()) for k in labels) + 1) / (sum(map(len, labels)) + 2)
+    return {
+        word: float(np.clip(np.log((inside[word] + 0.5) / (outside[word] + 0.5)) - np.log(share / (1 - share)), -MOST_ODDS, MOST_ODDS))
+        for word in inside | outside
+        if inside[word] + outside[word] > 1
+    }
 
 
 def sample(pages: DataFrame, page_id: str = "page_id", source: str = "html", most: int = SAMPLE_PAGES) -> list[str]:
@@ -451,6 +489,7 @@ def sample(pages: DataFrame, page_id: str = "page_id", source: str = "html", mos
 
 def extract(pages: DataFrame, trees: Trees, source: str = "html", out: str = "text") -> DataFrame:
     """All rows and columns with the main text, empty if there is none."""
+    bound_batches(pages.sparkSession)
     sent = pages.sparkSession.sparkContext.broadcast(trees)
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -459,7 +498,7 @@ def extract(pages: DataFrame, trees: Trees, source: str = "html", out: str = "te
             out = []
             for lo in range(0, len(batch), 64):
                 read = [Page(t.as_py() or "") for t in batch.slice(lo, 64)]
-                rows = [page.features() for page in read]
+                rows = [page.features(learnt.words) for page in read]
                 odds = learnt.odds(np.concatenate(rows))
                 ends = np.cumsum([len(r) for r in rows])
                 out += [page.main_text(o) for page, o in zip(read, np.split(odds, ends[:-1]))]

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewarden.llm.arrays import inverse, mix, powers, row_groups, text_bytes
-from pagewarden.llm.batches import by_groups
+from pagewarden.llm.batches import bound_batches, by_groups
 from pagewarden.llm.links import written
 from pagewarden.llm.names import others, own
 
@@ -323,6 +323,7 @@ def repeated_places(source: DataFrame, width: int = WIDTH, seed: int = SEED, hel
     """
     if not 0 < seed <= width < seed + _STARTS - 1:
         raise ValueError(f"strings of {width} bytes need a seed of {width - _STARTS + 2} to {width} bytes")
+    bound_batches(source.sparkSession)
     cut = _cutter(width, seed)(F.col("text"))
     found = source.select("doc_id", "row", F.explode(cut).alias("s")).select("doc_id", "row", "s.*")
     found = written(found, "stretches")

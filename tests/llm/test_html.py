@@ -83,7 +83,7 @@ def test_laid_out_pages(trees):
             if page.tag[i] in html.INLINE:
                 keep[i] = keep[page.parent[i]]
         bare = html.Page(source.replace("keepme", ""))
-        exact += bare.main_text(trees.odds(bare.features())) == page.main_text(np.where(keep, 9.0, -9.0))
+        exact += bare.main_text(trees.odds(bare.features(trees.words))) == page.main_text(np.where(keep, 9.0, -9.0))
     assert exact >= 54
 
 
@@ -96,7 +96,7 @@ def test_parts_that_are_not_the_article(trees):
         "<form><label>Your name</label><button>Send</button></form><footer>All rights reserved.</footer></body>"
     )
     page = html.Page(source)
-    text = page.main_text(trees.odds(page.features()))
+    text = page.main_text(trees.odds(page.features(trees.words)))
     assert text.startswith("The title of it A first") and text.endswith("for a while.")
 
 
