@@ -19,7 +19,7 @@ from pagewarden.operators.chat import latest_messages, message_rows
 from pagewarden.operators.routing import TEMPERATURES, model_catalogue, model_settings, route
 from pagewarden.operators.screening import bad_pages, screen_documents
 from pagewarden.plans.ask import answer, prompts, retrieve, summarise
-from pagewarden.plans.chat import converse
+from pagewarden.plans.chat import converse, converse_with_history
 from pagewarden.sources.pages import split_pages
 from workloads.inputs import documents, files, page_index, questions, table
 from workloads import screening
@@ -27,6 +27,7 @@ from workloads.sqltext import CONTEXTS, FILES, INDEXED, PAGES, RULE_TABLE, best_
 
 SYSTEM_PROMPT = "You answer questions about documents."
 TEMPLATE = "You answer message {turn} of conversation {conversation}."
+CHAT_TEMPLATE = "Go on with this conversation. Documents: {context}"
 OTHER_MODEL = "some-other-model"
 
 
@@ -116,6 +117,12 @@ def model_routing(spark, sf_dir):
     return routed.unionByName(refused, allowMissingColumns=True)
 
 
+def chat_with_history(spark, sf_dir):
+    """Every conversation goes on: its latest message answered with the pages and its history."""
+    turns = table(spark, sf_dir, "conversations")
+    return converse_with_history(turns, page_index(spark, sf_dir).read(), CHAT_TEMPLATE)
+
+
 def call_settings(spark, sf_dir):
     """Settings of every call that a file leads to: its description, an answer, and a chat about it."""
     routed, _ = route(_named_models(spark, sf_dir), model_catalogue(spark))
@@ -145,6 +152,7 @@ QUERIES = {
     "prompt_history": prompt_template,
     "model_routing": model_routing,
     "call_settings": call_settings,
+    "chat_with_history": chat_with_history,
 }
 
 
@@ -235,3 +243,14 @@ SELECT doc_id, path, temperature, 500.0::DOUBLE AS max_length, 2::INTEGER AS n_s
 FROM ({SQL["model_routing"]}),
      (VALUES ('describe', 0.0::DOUBLE), ('answer', 0.0::DOUBLE), ('chat', 0.7::DOUBLE)) calls(path, temperature)
 WHERE provider IS NOT NULL"""
+_LATEST = """SELECT conv_id AS question_id, text AS question FROM conversations
+  JOIN (SELECT conv_id, max(turn) AS turn FROM conversations WHERE role = 'user' GROUP BY ALL) USING (conv_id, turn)"""
+SQL["chat_with_history"] = with_(*INDEXED, *best_pages(asked=_LATEST), CONTEXTS) + f"""
+SELECT l.conv_id, l.turn, 'assistant' AS role, coalesce(any_value(best), {quoted(NO_ANSWER)}) AS content,
+       'system: ' || {_between(CHAT_TEMPLATE, context="coalesce(any_value(context), '')")} || chr(10)
+       || coalesce(string_agg(p.role || ': ' || p.text || chr(10), '' ORDER BY p.turn), '')
+       || 'user: ' || any_value(c.text) AS prompt
+FROM (SELECT conv_id, max(turn) AS turn FROM conversations WHERE role = 'user' GROUP BY ALL) l
+JOIN conversations c USING (conv_id, turn) LEFT JOIN contexts ON question_id = l.conv_id
+LEFT JOIN conversations p ON p.conv_id = l.conv_id AND p.turn < l.turn AND p.role IN ('user', 'assistant')
+GROUP BY l.conv_id, l.turn"""
