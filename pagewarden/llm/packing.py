@@ -172,9 +172,10 @@ class Encoder:
         for group in _groups(texts):
             # No token and no step before the tokens reaches across a blank or line feed.
             words = [part.replace("\n", " ").split(" ") for _, part in group]
-            ids_of = self.known.learn(set(chain.from_iterable(words)))
+            ids, at = self.known.look(list(chain.from_iterable(words))), 0
             for (row, _), some in zip(group, words):
-                found[row].append(b"".join(map(ids_of, some)))
+                found[row].append(b"".join(ids[at : at + len(some)]))
+                at += len(some)
         return [b"".join(parts) for parts in found]
 
 

@@ -18,6 +18,16 @@ class Remembered:
         self.lately: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
+    def look(self, strings: list[str]) -> list[bytes]:
+        """The results of all these strings, in order."""
+        found = list(map(self.lately.get, strings))
+        missing = [i for i, result in enumerate(found) if result is None]
+        if missing:
+            result_of = self.learn({strings[i] for i in missing})
+            for i in missing:
+                found[i] = result_of(strings[i])
+        return found
+
     def learn(self, wanted: set[str]) -> Callable[[str], bytes]:
         """What looks up the results of all these strings, until the next call."""
         if len(self.lately) >= self.most:
