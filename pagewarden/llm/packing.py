@@ -142,6 +142,7 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         pattern = _word_pattern(json.loads(source))
         self.words = regex.compile(pattern) if pattern else None
+        self.coded = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.known = Remembered(self._encode)
 
     def _whole(self, texts: list[str]) -> list[bytes]:
@@ -154,13 +155,16 @@ class Encoder:
             if text.isascii() and text.isalpha():
                 # Letters alone are one word.
                 words.append((text.lower(),))
+            elif text.isascii() and text[-1:] in (",", ".") and text[:-1].isalpha():
+                # So is a mark behind them.
+                words.append((text[:-1].lower(), text[-1]))
             else:
                 words.append(self.words.findall(text.lower()) if _PLAIN.fullmatch(text) else None)
         rest = iter(self._whole([text for text, some in zip(texts, words) if some is None]))
-        merges, ids = self.tokenizer.model.tokenize, {}
+        merges, coded, ids = self.tokenizer.model.tokenize, self.coded, {}
         for word in set(chain.from_iterable(filter(None, words))):
             tokens = merges(word if word.isascii() else word.translate(_WRITTEN))
-            ids[word] = b"".join([token.id.to_bytes(4, "little") for token in tokens])
+            ids[word] = b"".join([coded[token.id] for token in tokens])
         ids_of = ids.__getitem__
         return [next(rest) if some is None else b"".join(map(ids_of, some)) for some in words]
 
