@@ -24,7 +24,7 @@ from pagewarden.plans.ingest import index_records as records_of
 from pagewarden.plans.ingest import ingest as run_ingest
 from pagewarden.plans.ingest import ingest_pages, requested
 from pagewarden.session import fresh_path
-from pagewarden.sources.pages import read_files, split_pages
+from pagewarden.sources.pages import read_files, split_pages, write_folders
 from pagewarden.sources.requests import bulk_requests
 from workloads import intake, screening
 from workloads.inputs import documents, files, new_index, page_index, table, vectors
@@ -45,6 +45,9 @@ from workloads.sqltext import (
 )
 
 STORED_DIM = 64
+# Files that a task writes, and shelves that it puts their folders on.
+FILES_PER_TASK = 1000
+SHELVES_PER_TASK = 8
 
 
 def _record_rows(records):
@@ -142,11 +145,17 @@ def _web_text(content):
 def ingest_files(spark, sf_dir):
     """Web pages as binary files, a folder for each, read back with an extractor and indexed."""
     path = fresh_path(spark, "files")
-    raw = table(spark, sf_dir, "pages").where("html IS NOT NULL")
-    raw.select("page_id", F.regexp_replace("html", "[\r\n]", " ").alias("value")).write.option(
-        "lineSep", " "
-    ).partitionBy("page_id").text(path)
+    raw = table(spark, sf_dir, "pages")
+    tasks = max(spark.sparkContext.defaultParallelism, -(-raw.count() // FILES_PER_TASK))
+    # Shelves of folders are listed by tasks; a single folder of all would be by the driver.
+    shelf = F.pmod(F.xxhash64("page_id"), F.lit(tasks * SHELVES_PER_TASK))
+    html = raw.where("html IS NOT NULL").select(
+        shelf.alias("shelf"), "page_id", F.regexp_replace("html", "[\r\n]", " ").alias("value")
+    )
+    write_folders(html.repartition(tasks, "shelf"), ["shelf", "page_id"], path, line_end=" ")
     pages, _ = read_files(spark, path, _web_text, pattern="*.txt")
+    # Spark reads some 30 small files in a task, and each task would write a table of its own.
+    pages = pages.coalesce(tasks)
     number = F.regexp_extract("file_path", "page_id=([0-9]+)", 1)
     named = pages.withColumns({"file_path": number, "unique_id": F.concat(F.lit("web"), (number.cast("long") % 5).cast("string"))})
     index = new_index(spark)
