@@ -2,28 +2,12 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import SparkSession
 
-# A batch ends with the row that fills it, so one longer row is a batch of its own.
-BATCH_BYTES = 8 << 20
-_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
-
-
-def bound_batches(spark: SparkSession) -> None:
-    """Lower the session's batch size to `BATCH_BYTES`, for whole texts go to Python.
-
-    A task holds a batch in the executor and once more in the worker, beside what is
-    worked out from it. A smaller setting of the session stays.
-    """
-    number, unit = re.fullmatch(r"(-?\d+)([kmgt]?)b?", spark.conf.get(_LIMIT).strip().lower()).groups()
-    size = int(number) << 10 * " kmgt".index(unit or " ")
-    if not 0 < size <= BATCH_BYTES:
-        spark.conf.set(_LIMIT, str(BATCH_BYTES))
+from pagewarden.session import BATCH_BYTES, bound_batches  # noqa: F401
 
 
 def by_groups(work: Callable[[pa.Table], pa.RecordBatch], keys: tuple[str, ...]):
