@@ -93,6 +93,26 @@ def test_ids_are_those_of_whole_texts(monkeypatch):
     assert [np.frombuffer(ids, "<u4").tolist() for ids in encoder.encode(pa.array(texts))] == wanted
 
 
+def test_plain_lines_are_cut_like_whole_texts():
+    rng = random.Random(5)
+    marks = ["'s", "'T", "'", "''d", "$$$", "...", ",", "12", "x'll", "a-b", " ", "  ", "\n", "\r\n", "\t", "\xa0", "\x85"]
+    words = ["the", "The", "NAÏVE", "Ärger", "straße", "ÿ", "Þorn", "×", "÷", "µ", "ªº", "²³", "½", "Σας", "ΟΔΟΣ", "e\u0301", "İ"]
+    texts = ["".join(rng.choice(marks + words * 2) for _ in range(rng.randrange(1, 12))) for _ in range(3000)]
+    encoder = packing.Encoder(Path(PATH).read_text())
+    found = encoder.encode(pa.array(texts))
+    for text, ids in zip(texts, found):
+        assert np.frombuffer(ids, "<u4").tolist() == ids_of(text)[:-1], text
+
+
+def test_marks_and_capitals_make_no_other_words(monkeypatch):
+    encoder = packing.Encoder(Path(PATH).read_text())
+    asked, encode = [], encoder.known.work
+    monkeypatch.setattr(encoder.known, "work", lambda texts: asked.extend(texts) or encode(texts))
+    for text in ["Haus, haus. HAUS! haus", "haus; Ärger; ärger$$$\nÄRGER12, haus."]:
+        encoder.encode(pa.array([text]))
+    assert sorted(word for word in asked if word[:1].isalpha()) == ["haus", "ärger"]
+
+
 def test_other_tokenizers_get_whole_texts():
     path = public_tokenizers.path("byte_bpe_50k.json")
     encoder = packing.Encoder(Path(path).read_text(encoding="utf-8"))
