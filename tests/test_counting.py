@@ -121,3 +121,58 @@ def test_hits_are_worked_out_once(spark):
     right = left.toDF("question_id", "question_embedding")
     hits = search.nearest(left, right, 3, ids=["id"], dim=DIM, question_limit=0)
     assert "FlatMapCoGroups" not in hits._jdf.queryExecution().executedPlan().toString()
+
+
+def passing(records, asked, size):
+    """Batches as a task gets them: questions first, then the records."""
+    kind = pa.struct([("indices", pa.list_(pa.int32())), ("values", pa.list_(pa.int32()))])
+    numbers = [None] * len(asked) + list(range(len(records)))
+    ids = [*range(len(asked)), *[None] * len(records)]
+    columns = [pa.array(numbers, pa.int64()), pa.array(ids, pa.int64()), pa.array(asked + records, kind)]
+    batch = pa.record_batch(columns, names=["_no", "_qid", "_vector"])
+    return [batch.slice(at, size) for at in range(0, batch.num_rows, size)]
+
+
+@pytest.mark.parametrize("rows, entries", [(64, 10**6), (10**6, 300), (7, 10**6)])
+def test_a_task_holds_few_of_the_records(monkeypatch, rows, entries):
+    """All records of a block, 16 million places, were held and copied several times at once."""
+    monkeypatch.setattr(search, "PASSING_ROWS", rows)
+    monkeypatch.setattr(search, "PASSING_ENTRIES", entries)
+    rng = np.random.default_rng(6)
+    records, asked = vectors(rng, 500), vectors(rng, 40) + vectors(rng, 5, 300)
+    records[100:300:20] = [{"indices": [3, 5], "values": [-2, 1]}] * 10
+    block = search._Passing(5, DIM, "cosine")
+    for batch in passing(records, asked, 33):
+        block.take(batch)
+        assert block.rows < rows and block.entries < entries
+        assert sum(len(some) for some in block.waiting) == block.rows
+    schema = pa.schema([("q", pa.int64()), ("_no", pa.int64()), ("score", pa.float64())])
+    found = [tuple(row.values()) for batch in block.hits(schema) for row in batch.to_pylist()]
+    # Counts and other records each give their best.
+    best = [hit for q in range(len(asked)) for hit in sorted((h for h in found if h[0] == q), key=lambda h: (-h[2], h[1]))[:5]]
+    assert best == plain(records, asked, 5, np.arange(len(records)))
+
+
+def test_records_offered_in_any_order():
+    rng = np.random.default_rng(8)
+    records, asked = vectors(rng, 300) + [{"indices": [], "values": []}] * 3, vectors(rng, 30)
+    one_by_one = counting.CountSearch(counts(asked), 5, True)
+    offered = counts(records)
+    for some in np.array_split(rng.permutation(len(records)), 9):
+        one_by_one.offer(offered.of(some), some)
+    got = list(zip(*(x.tolist() for x in one_by_one.best())))
+    assert got == plain(records, asked, 5, np.arange(len(records)))
+
+
+def test_ranking_leaves_other_questions_alone(monkeypatch):
+    """Each addition sorted the hits of all questions of the block again."""
+    ranking = counting._Ranking(2, 1000)
+    everyone = np.arange(1000)
+    ranking.add(everyone, everyone, np.ones(1000))
+    sorted_rows = []
+    lexsort = np.lexsort
+    monkeypatch.setattr(np, "lexsort", lambda keys: sorted_rows.append(len(keys[0])) or lexsort(keys))
+    ranking.add(np.array([3, 3, 7]), np.array([1, 2, 5]), np.array([1.5, 1.0, 1.0]))
+    assert sorted_rows == [5]
+    question, ranks, _ = ranking.best()
+    assert ranks[question == 3].tolist() == [1, 2] and ranks[question == 7].tolist() == [5, 7]

@@ -183,6 +183,21 @@ def test_records_of_hits_both_ways(data):
     assert sorted(few) == sorted(many) and len(few) == hits.count()
 
 
+def test_many_hits_keep_records_without_a_key(spark):
+    """Joined by their keys, records with a null in these lost their hits where hits were many."""
+    records = spark.createDataFrame(
+        [(None, "f", 0, "a", 0, "x"), ("t", None, 0, "a", 1, "y"), ("t", "f", 0, "b", 0, "z")],
+        "unique_id string, file_path string, page_no int, record_file string, record_row long, llm_generated string",
+    )
+    ids = [*search.PAGE_KEY, *search.PLACE]
+    hits = records.select(F.lit(1).alias("question_id"), F.lit(1).alias("rank"), *ids, F.lit(1.0).alias("score"))
+    few, many = (
+        with_records(hits, records, None, ids=ids, hit_limit=n).select("unique_id", "file_path", "llm_generated").collect()
+        for n in (search.HIT_LIMIT, 0)
+    )
+    assert len(many) == 3 and set(few) == set(many)
+
+
 def test_every_question_has_a_row(spark, data):
     rows, questions, records, asked = data
     visits = spark.createDataFrame([("q0", "g1")], "question_id string, grp string")
